@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat
+from lectern.llm import chat, quality, sharding
 
-MODULES = [chat]
+MODULES = [chat, sharding, quality]
 
 
 def queries() -> dict:
