@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, quality, sharding
+from lectern.llm import chat, lines, mixing, quality, sharding
 
-MODULES = [chat, sharding, quality]
+MODULES = [chat, sharding, quality, mixing, lines]
 
 
 def queries() -> dict:
