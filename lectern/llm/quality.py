@@ -12,6 +12,7 @@ ones; ties take the highest cutoff. A stratum with too few labels to prove anyth
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import SPACE, stored, table, words
@@ -27,9 +28,10 @@ def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _repeated(n: str, h: str, w: str) -> Column:
-    """Words in three-word windows that occur twice or more. Hashes only rule out; the windows found
-    are compared as words. ``n``, ``h``, ``w``: columns with the windows' number, hashes and the words."""
+def _repeated(h: str, w: str) -> tuple[Column, Column]:
+    """(windows, places): three-word windows sorted so that equal ones meet, and the places of those
+    that occur twice or more, read from the column ``win`` that holds the windows. Hashes only rule
+    out; windows are compared as words. ``h``, ``w``: columns with the windows' hashes and the words."""
     windows = F.sort_array(
         F.transform(
             h, lambda x, i: F.struct(x.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
@@ -56,7 +58,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         {"n": F.size("w"), "h": F.slice(
             F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), 1, F.greatest(F.size("w") - 2, F.lit(0)))}
     )
-    windows, found = _repeated("n", "h", "w")
+    windows, found = _repeated("h", "w")
     three = two.withColumn("win", F.when(F.size(F.array_distinct("h")) < F.size("h"), windows))
     four = three.withColumn("pos", found)
     covered = F.aggregate(
@@ -137,9 +139,9 @@ def select_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL
             F.sum((1 - good) * F.col("p.hit")).alias("bad"),
         )
     )
-    tests = tallies.agg(F.count(F.lit(1)).alias("tests"))
+    tests = F.count(F.lit(1)).over(W.partitionBy())  # one row per stratum, rule and grid point in all
     proven = (
-        tallies.join(F.broadcast(tests))
+        tallies.withColumn("tests", tests)
         .where(F.col("n") > 0)
         .withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)))
         .where(F.col("p_value") * F.col("tests") <= level)

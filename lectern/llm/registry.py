@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, jaccard, lines, mixing, quality, sharding
+from lectern.llm import chat, jaccard, lines, mixing, packing, quality, sharding
 
-MODULES = [chat, sharding, quality, mixing, lines, jaccard]
+MODULES = [packing, chat, sharding, quality, mixing, lines, jaccard]
 
 
 def queries() -> dict:
