@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, embeddings, jaccard, lines, mixing, packing, quality, sharding
+from lectern.llm import chat, embeddings, jaccard, langid, lines, mixing, packing, quality, sharding
 
-MODULES = [packing, embeddings, lines, mixing, jaccard, quality, sharding, chat]
+MODULES = [packing, langid, embeddings, lines, mixing, jaccard, quality, sharding, chat]
 
 
 def queries() -> dict:
