@@ -1,15 +1,33 @@
-"""The corpus pipeline: stages over documents, each written and read again by the caller."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents (the
+last: packed pieces). The caller writes and rereads each result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lectern.llm.common import stored, table
+from lectern.llm.jaccard import near_stage
+from lectern.llm.lines import line_stage
+from lectern.llm.mixing import mix_stage
+from lectern.llm.packing import pack_stage
+from lectern.llm.quality import rule_stage
+
+STAGES = [
+    ("quality rules", rule_stage),
+    ("line dedup", line_stage),
+    ("near duplicates", near_stage),
+    ("mix to targets", mix_stage),
+    ("pack", pack_stage),
+]
+#: Tokenisation and fitted cutoffs are beyond SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

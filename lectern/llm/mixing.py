@@ -157,5 +157,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it. Equal rows share what they take in all: rows
+    that nothing tells apart are numbered to hand it out, all others need no numbering."""
+    taken = (
+        mix(docs).groupBy(F.col("doc_id").alias("took_id"), F.col("text_hash").alias("took_hash"))
+        .agg(F.sum("copies").alias("took"), F.count(F.lit(1)).alias("rows"))
+    )
+    taken = stored(taken)
+    keyed = docs.withColumn("row_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("took_id")) & (F.col("row_hash") == F.col("took_hash"))
+    once = keyed.join(taken.where("rows = 1"), same).withColumn("copies", F.col("took"))
+    number = F.row_number().over(W.partitionBy("doc_id", "row_hash").orderBy("source"))
+    share = F.floor(F.col("took") / F.col("rows")) + (number <= F.col("took") % F.col("rows")).cast("int")
+    more = keyed.join(taken.where("rows > 1"), same).withColumn("copies", share)
+    both = once.unionByName(more).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return both.select(*docs.columns)
+
+
 QUERIES = {"op6_mixing": op6_mixing}
 ORACLES: dict = {}
