@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lectern.plans import flow_queries, text_queries
+
+MODULES = [text_queries, flow_queries]
 
 
 def queries() -> dict:
