@@ -32,6 +32,8 @@ N_GRAM, PERCENT = 5, 80
 #: The table of frequent tokens that every task gets holds at most so many (9 bytes each).
 MAX_KNOWN = 2_000_000
 STAR_ROUNDS = 3
+#: Parity bits of a set's tokens that go with its text.
+SKETCH_BITS = 2048
 _U = np.uint64
 
 
@@ -184,11 +186,38 @@ def _verified(n_gram: int, percent: int):
     return fn
 
 
+def _sketched(n_gram: int):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            rows = np.zeros((len(texts), SKETCH_BITS), bool)
+            sizes = np.zeros(len(texts), np.int32)
+            for i, s in enumerate(shingle_sets(texts, n_gram)):
+                rows[i] = np.bincount((s >> _U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) % 2
+                sizes[i] = len(s)
+            words = np.packbits(rows, axis=1).view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(sizes), lists], names=["node", "text", "size", "sketch"])
+
+    return fn
+
+
+def _may_link(percent: int) -> Column:
+    """A token that only one set has flips at most one parity bit, so sets differ in at least as many
+    tokens as bits. Sets that link differ in at most (100 - T) / (100 + T) of their summed sizes."""
+    flips = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return flips * (100 + percent) <= (100 - percent) * (F.col("u_size") + F.col("v_size"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose texts link. Members bring their texts to the pivot u; rows of a hot pivot
-    are split by the join, and each task holds one batch."""
-    with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
-    both = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u")
+    """The pairs (u, v) whose texts link. Sketches rule out most others before texts move. Members
+    bring their texts to the pivot u; rows of a hot pivot are split by the join."""
+
+    def of(side: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+
+    near = pairs.join(of("v", "size", "sketch"), "v").join(of("u", "size", "sketch"), "u").where(_may_link(percent)).select("u", "v")
+    both = near.join(of("v", "text"), "v").join(of("u", "text"), "u")
     return both.select("u", "v", "u_text", "v_text").mapInArrow(_verified(n_gram, percent), "u long, v long")
 
 
@@ -197,18 +226,19 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _pivot_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
-    """(u, v): in each list and size band the member that comes first by this round's order, with
-    every other member not yet in its component."""
+    """(u, v): each list and size band names as pivot the member that is first in this round's order;
+    each node is paired with the pivot of another component that it shares most lists with."""
     band = F.floor(F.log("n") / math.log(100 / percent) + round_ / STAR_ROUNDS).cast("int")
     order = F.xxhash64("node", F.lit(round_)) if round_ else F.col("node")
     first = F.min(F.struct(order.alias("o"), "node", "n", "comp")).over(W.partitionBy("sig", "band"))
-    return (
+    met = (
         lists.withColumn("band", band)
         .withColumn("p", first)
-        .where((F.col("p.node") != F.col("node")) & (F.col("p.comp") != F.col("comp")) & _fits(F.col("p.n"), F.col("n"), percent))
-        .select(F.least("p.node", "node").alias("u"), F.greatest("p.node", "node").alias("v"))
-        .distinct()
+        .where((F.col("p.comp") != F.col("comp")) & _fits(F.col("p.n"), F.col("n"), percent))
+        .groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"))
     )
+    best = met.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
+    return best.select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
@@ -224,9 +254,14 @@ def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "sig").where((F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & _fits(F.col("un"), F.col("vn"), percent)).select("u", "v").distinct()
 
 
-def _relabelled(lists: DataFrame, found: DataFrame) -> DataFrame:
-    roots = components(found).withColumnRenamed("root", "new")
-    return lists.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("new", "node").alias("comp"))
+def _contracted(labels: DataFrame, good: DataFrame) -> DataFrame:
+    """(comp, root): the components that verified links join, as a graph of components only."""
+    ends = good.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
+    return components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "comp")
+
+
+def _moved(table_: DataFrame, roots: DataFrame) -> DataFrame:
+    return table_.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).select(*table_.columns)
 
 
 def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT, max_known: int = MAX_KNOWN) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +278,7 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = stored(named.mapInArrow(_prints(n_gram), "doc_id long, n_shingles long, f1 long, f2 long"))
     sets = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(sets.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id")))
 
     n_docs = prints.count()
     known = docs.sparkSession.sparkContext.broadcast(known_tokens(named, n_gram, max_known))
@@ -254,38 +289,36 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
         postings.withColumns({"a": F.min("node").over(held), "b": F.max("node").over(held)})
         .where("a <> b").select("sig", "node", "n", F.col("node").alias("comp"))
     )
-    wanted = lists.select("node").distinct()
-    texts = stored(named.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"))
+    labels = stored(lists.select("node").distinct().withColumn("comp", F.col("node")))
+    wanted = named.withColumnRenamed("doc_id", "node").join(labels.select("node"), "node", "left_semi")
+    texts = stored(wanted.mapInArrow(_sketched(n_gram), "node long, text string, size int, sketch array<long>"))
 
     found, tried = None, None
     for round_ in range(STAR_ROUNDS + 1):
         last = round_ == STAR_ROUNDS
-        open_lists = _open_lists(lists) if round_ else lists
-        pairs = _cross_pairs(open_lists, percent) if last else _pivot_pairs(open_lists, round_, percent)
+        if round_:
+            open_lists = stored(_open_lists(lists))
+            dropped(lists)
+            lists = open_lists
+        pairs = _cross_pairs(lists, percent) if last else _pivot_pairs(lists, round_, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stored(pairs)
         good = stored(_verify(pairs, texts, n_gram, percent))
+        roots = stored(_contracted(labels, good))
+        labels = stored(_moved(labels, roots))
+        if not last:
+            lists = stored(_moved(lists, roots))
         found = good if found is None else found.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            break
-        relabelled = stored(_relabelled(lists, found))
-        dropped(lists)
-        lists = relabelled
-
-    # Copies of one set in several tasks have joined lists too; their classes connect them.
-    same = sets.join(classes, ["n_shingles", "f1", "f2"]).select("doc_id", "class_id", "f1", "f2")
-    links = stored(found)
-    to_class = same.select(F.col("doc_id").alias("node"), "class_id").distinct()
-    edges = (
-        links.join(to_class.select(F.col("node").alias("u"), F.col("class_id").alias("cu")), "u")
-        .join(to_class.select(F.col("node").alias("v"), F.col("class_id").alias("cv")), "v")
-        .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    )
-    # A doc_id with several rows ties their classes together.
-    twice = to_class.groupBy("node").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).where("u <> v").select("u", "v")
-    roots = components(edges.unionByName(twice))
+
+    # Nodes that are copies of one set are tied by their class, and rows of one doc_id by their id.
+    same = sets.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("node"), "class_id").distinct()
+    to_class = labels.join(same, "node").select("comp", F.col("class_id").alias("u"))
+    hubs = to_class.groupBy("comp").agg(F.min("u").alias("v"))
+    twice = same.groupBy("node").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).where("u <> v").select("u", "v")
+    roots = components(to_class.join(hubs, "comp").select("u", "v").unionByName(twice))
+    links = found
     members = (
         prints.join(classes, ["n_shingles", "f1", "f2"], "left")
         .withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))

@@ -64,7 +64,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Repeated rows are treated alike; extra columns of any name come back as they were.
     """
     lines = stored(line_table(docs, min_chars))
-    shared = (
+    shared = stored(
         lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs).drop("n")

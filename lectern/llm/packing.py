@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,37 +26,98 @@ NEARLY = 0.995
 FAN_IN = 8
 #: Items that one task packs in a merge round; more are spread over more tasks.
 MAX_ITEMS = 400_000
-#: Distinct white-space free strings whose ids a Python worker remembers; then it starts afresh.
-MEMO = 600_000
+#: Distinct white-space free strings, and as many words, that a Python worker remembers; then it starts afresh.
+MEMO = 1_000_000
+#: Characters whose parts are looked up together.
+CHUNK = 1 << 20
+#: New words that one call encodes.
+AT_ONCE = 1000
 
 _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_memo: dict[str, tuple] = {}
+#: How the tokeniser cuts normalised text into words, and the characters (ASCII and Latin, none of
+#: which composes with a neighbour) for which cutting here is sure to agree.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str):
+class Encoder:
     """text -> little-endian ids as bytes. The tokeniser drops white space and never joins across it,
-    so ids of a text are those of its white-space free parts; parts are remembered."""
-    from tokenizers import Tokenizer
-
-    if path not in _memo:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _memo[path] = (tokenizer, {})
-    tokenizer, known = _memo[path]
-
-    def encode(text: str) -> bytes:
-        parts = text.translate(_SPACES).split(" ")
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > MEMO:
-                known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
-
-    return encode
+    so ids of a text are those of its white-space free parts, and those of a part are its words'.
+    Parts and words are remembered; new words are encoded many at a time."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn_words(self, new: list[str]) -> None:
+        if len(self.words) + len(new) > MEMO:
+            self.words.clear()
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            owners = np.array(e.word_ids, np.int64)
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(owners, np.arange(len(some)), side="right").tolist()
+            if len(owners) and owners[-1] != len(some) - 1 or (np.diff(owners) < 0).any():
+                raise AssertionError("the tokeniser cuts words otherwise")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends):
+                self.words[word] = raw[4 * start : 4 * end]
+                start = end
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.parts) + len(new) > MEMO:
+            self.parts.clear()
+        cut, odd = {}, []
+        for part in new:
+            if _PLAIN.fullmatch(part) and not any(s in part for s in self.specials):
+                cut[part] = _WORD.findall(part.lower())
+            else:
+                odd.append(part)
+        fresh = {w for ws in cut.values() for w in ws} - self.words.keys()
+        held = {w: self.words[w] for ws in cut.values() for w in ws if w not in fresh} if len(self.words) + len(fresh) > MEMO else None
+        self._learn_words(list(fresh))
+        if held:
+            self.words |= held
+        for part, ws in cut.items():
+            self.parts[part] = b"".join([self.words[w] for w in ws])
+        for part, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.parts[part] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the memo may be emptied between calls, never within one."""
+        split = [t.translate(_SPACES).split(" ") for t in texts]
+        needed = set().union(*split) if split else set()
+        if new := needed - self.parts.keys():
+            if len(self.parts) + len(new) > MEMO:
+                new = needed
+            self._learn(list(new))
+        parts = self.parts
+        return [b"".join([parts[p] for p in s]) for s in split]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _encoded(encode: Encoder, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+    """(place, ids) of texts, about CHUNK characters at a time."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= CHUNK or i + 1 == len(texts):
+            yield from enumerate(encode(held), first)
+            held, size, first = [], 0, i + 1
 
 
 def _pieces(path: str, capacity: int):
@@ -63,13 +125,13 @@ def _pieces(path: str, capacity: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = _encoder(path)
+        encode = encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
+            for i, ids in _encoded(encode, batch.column("text").to_pylist()):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     row.append(i)

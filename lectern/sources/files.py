@@ -132,7 +132,7 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
 
 def read_documents(spark: SparkSession, path: str, reject_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): path, source_filename, text, char_count; and path, error. Sizes and
-    extensions are checked before any content is decoded."""
+    extensions are checked before any content is decoded. Spark's scan passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("ext", extension(F.col("path")))
     size_error = F.when(F.col("length") == 0, "empty file").when(F.col("length") > MAX_FILE_BYTES, "larger than 16 MiB")
     error = F.when(~F.col("ext").isin(*EXTENSIONS), F.concat(F.lit("unsupported file type "), F.col("ext"))).otherwise(size_error)
