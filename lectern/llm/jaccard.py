@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import dropped, stored, table
+from lectern.llm.common import bucketed, dropped, stored, table
 from lectern.llm.graph import components
 from lectern.llm.shingles import mixed, shingle_sets
 
@@ -121,16 +121,16 @@ def known_tokens(docs: DataFrame, n_gram: int, max_known: int = MAX_KNOWN) -> tu
 def _signatures(n_gram: int, percent: int, known, frequent_tier: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, tiers = known.value
-        sigs, ids, sizes, size = [], [], [], 0
+        sigs, ids, sizes, odds, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             per = np.fromiter(map(len, sigs), np.int64, len(sigs))
             return pa.RecordBatch.from_arrays(
                 [
                     _signed(np.concatenate(sigs) if sigs else np.zeros(0, _U)), pa.array(np.repeat(np.array(ids, np.int64), per)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), per)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), per)), pa.array(np.repeat(np.array(odds, np.int16), per)),
                 ],
-                names=["sig", "node", "n"],
+                names=["sig", "node", "n", "odd"],
             )
 
         for doc_id, s in _distinct_sets(batches, n_gram):
@@ -142,24 +142,27 @@ def _signatures(n_gram: int, percent: int, known, frequent_tier: int):
                 at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                 tier = np.where(tokens[at] == s, tiers[at], 0)
                 first = np.argsort(tier, kind="stable")[:two]  # equal tiers stay in order of hash
+                odd = 1000 * int((tier < frequent_tier).sum()) // len(s)
                 prefix, tier = s[first], tier[first]
             else:
-                prefix, tier = s[:two], np.zeros(two, np.int8)
+                odd, prefix, tier = 1000, s[:two], np.zeros(two, np.int8)
             rare = prefix[:one][tier[:one] < frequent_tier]
             often = prefix[tier >= frequent_tier]
             sigs.append(rare)
             ids.append(doc_id)
             sizes.append(len(s))
+            odds.append(odd)
             size += len(rare)
             if len(often) > 1:
                 a, b = np.triu_indices(len(often), 1)
                 sigs.append(mixed(often[a] * _U(0x9E3779B97F4A7C15) + mixed(often[b])))
                 ids.append(doc_id)
                 sizes.append(len(s))
+                odds.append(odd)
                 size += len(a)
             if size > 200_000:
                 yield out()
-                sigs, ids, sizes, size = [], [], [], 0
+                sigs, ids, sizes, odds, size = [], [], [], [], 0
         yield out()
 
     return fn
@@ -210,14 +213,18 @@ def _may_link(percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose texts link. Sketches rule out most others before texts move. Members
-    bring their texts to the pivot u; rows of a hot pivot are split by the join."""
+    """The pairs (u, v) whose texts link. Sketches rule out most others before texts move. ``texts`` is
+    bucketed by node, so it stays where it is: pairs go to it as ids, and members then bring their texts
+    to the pivots that remain. The second key has both sides dealt anew, so a hot pivot can be split."""
 
     def of(side: str, *columns: str) -> DataFrame:
         return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
 
-    near = pairs.join(of("v", "size", "sketch"), "v").join(of("u", "size", "sketch"), "u").where(_may_link(percent)).select("u", "v")
-    both = near.join(of("v", "text"), "v").join(of("u", "text"), "u")
+    near = stored(
+        pairs.join(of("v", "size", "sketch"), "v").join(of("u", "size", "sketch"), "u").where(_may_link(percent)).select("u", "v", "u_size")
+    )
+    pivots = of("u", "size", "text").join(near.select("u").distinct(), "u")
+    both = near.join(of("v", "text"), "v").join(pivots, ["u", "u_size"])
     return both.select("u", "v", "u_text", "v_text").mapInArrow(_verified(n_gram, percent), "u long, v long")
 
 
@@ -226,10 +233,11 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _pivot_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
-    """(u, v): each list and size band names as pivot the member that is first in this round's order;
-    each node is paired with the pivot of another component that it shares most lists with."""
+    """(u, v): each list and size band names as pivot the member that is first in this round's order,
+    in the first round the one with the least share of rare tokens: that is the text which near copies
+    were made from, if it is there, and they link with it sooner than with one another. Each node is paired with the pivot of another component that it shares most lists with."""
     band = F.floor(F.log("n") / math.log(100 / percent) + round_ / STAR_ROUNDS).cast("int")
-    order = F.xxhash64("node", F.lit(round_)) if round_ else F.col("node")
+    order = F.xxhash64("node", F.lit(round_)) if round_ else F.col("odd").cast("long")
     first = F.min(F.struct(order.alias("o"), "node", "n", "comp")).over(W.partitionBy("sig", "band"))
     met = (
         lists.withColumn("band", band)
@@ -283,15 +291,15 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     n_docs = prints.count()
     known = docs.sparkSession.sparkContext.broadcast(known_tokens(named, n_gram, max_known))
     frequent = max(6, math.ceil(math.log2(max(1, n_docs) / 200)))
-    postings = named.mapInArrow(_signatures(n_gram, percent, known, frequent), "sig long, node long, n int")
+    postings = named.mapInArrow(_signatures(n_gram, percent, known, frequent), "sig long, node long, n int, odd short")
     held = W.partitionBy("sig")
     lists = stored(
         postings.withColumns({"a": F.min("node").over(held), "b": F.max("node").over(held)})
-        .where("a <> b").select("sig", "node", "n", F.col("node").alias("comp"))
+        .where("a <> b").select("sig", "node", "n", "odd", F.col("node").alias("comp"))
     )
     labels = stored(lists.select("node").distinct().withColumn("comp", F.col("node")))
     wanted = named.withColumnRenamed("doc_id", "node").join(labels.select("node"), "node", "left_semi")
-    texts = stored(wanted.mapInArrow(_sketched(n_gram), "node long, text string, size int, sketch array<long>"))
+    texts = bucketed(wanted.mapInArrow(_sketched(n_gram), "node long, text string, size int, sketch array<long>"), "node")
 
     found, tried = None, None
     for round_ in range(STAR_ROUNDS + 1):
