@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +55,19 @@ def _buckets(bits: int, tables: int):
     return fn
 
 
+def _matrix(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    """A column of lists of one length as the rows of a matrix."""
+    values = rows.column(column).combine_chunks().flatten().to_numpy()
+    return values.reshape(rows.num_rows, -1).astype(kind, copy=False)
+
+
 def _compare(threshold: float):
-    def fn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, at_table, _, i, j = key
-        block = frame["block"].to_numpy()
-        v = np.array(frame["embedding"].tolist(), np.float64)
+    def fn(key: tuple, rows: pa.Table) -> pa.Table:
+        _, _, at_table, _, i, j = (k.as_py() for k in key)
+        block = rows.column("block").to_numpy()
+        v = _matrix(rows, "embedding", np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", v, v))
-        codes = np.array(frame["codes"].tolist(), np.int32)
+        codes = _matrix(rows, "codes", np.int32)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         near = (v[left] @ v[right].T) / np.outer(norms[left], norms[right]) >= threshold
         if i == j:
@@ -69,8 +76,8 @@ def _compare(threshold: float):
         a, b = left[a], right[b]
         new = ~(codes[a, :at_table] == codes[b, :at_table]).any(axis=1)
         a, b = a[new], b[new]
-        weight, ids = frame["weight"].to_numpy(), frame["class_id"].to_numpy()
-        n = np.zeros(len(frame), np.int64)
+        weight, ids = rows.column("weight").to_numpy(), rows.column("class_id").to_numpy()
+        n = np.zeros(rows.num_rows, np.int64)
         np.add.at(n, a, weight[b])
         np.add.at(n, b, weight[a])
         # Least id reached inside the block: enough edges to connect what links here.
@@ -83,7 +90,7 @@ def _compare(threshold: float):
                 break
             root = low
         hit = np.flatnonzero(n > 0)
-        return pd.DataFrame({"class_id": ids[hit], "n": n[hit], "to": np.sort(ids)[root[hit]]})
+        return pa.table({"class_id": ids[hit], "n": n[hit], "to": np.sort(ids)[root[hit]]})
 
     return fn
 
@@ -106,14 +113,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, miss: floa
     link as such, under the one id. Other columns are ignored; an empty table gives no rows.
     ``miss`` bounds the chance that a pair at the threshold is not found.
     """
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    # Floats travel as floats, half the bytes, and become doubles where products are taken.
+    kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = embeddings.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label")
     good = rows.where(_is_usable())
     # NaN and -0.0 aside, equal arrays group; the class is named by its smallest id.
     classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")))
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits = max(4, min(20, math.ceil(math.log2(max(1, largest / per_bucket)))))
     tables = n_tables(bits, threshold, miss)
-    coded = stored(classes.mapInPandas(_buckets(bits, tables), "class_id long, label " + dict(classes.dtypes)["label"] + ", dim int, weight long, embedding array<double>, codes array<int>"))
+    coded = stored(classes.mapInPandas(_buckets(bits, tables), "class_id long, label " + dict(classes.dtypes)["label"] + ", dim int, weight long, embedding " + kind + ", codes array<int>"))
     spots = coded.select("class_id", "label", "dim", F.posexplode("codes").alias("t", "bucket"))
     sizes = spots.groupBy("label", "dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
@@ -125,7 +134,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, miss: floa
     )
     dealt = placed.withColumn("pair", F.explode(pairs)).select("class_id", "label", "dim", "t", "bucket", "block", "pair.i", "pair.j")
     full = dealt.join(coded.select("class_id", "label", "dim", "weight", "embedding", "codes"), ["class_id", "label", "dim"])
-    found = stored(full.groupBy("label", "dim", "t", "bucket", "i", "j").applyInPandas(_compare(threshold), "class_id long, n long, to long"))
+    found = stored(full.groupBy("label", "dim", "t", "bucket", "i", "j").applyInArrow(_compare(threshold), "class_id long, n long, to long"))
     sums = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     named = good.join(classes.select("label", "embedding", "class_id", "weight"), ["label", "embedding"]).select("vec_id", "class_id", "weight")
