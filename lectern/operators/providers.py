@@ -96,6 +96,13 @@ def _with_retries(call: Callable[[], str], attempts: int, cap: int = 8) -> str:
     raise AssertionError("attempts must be positive")
 
 
+def reply_or_error(provider: Provider, task: str, prompt: str) -> tuple[str | None, str | None]:
+    try:
+        return provider(task, prompt), None
+    except Exception as e:  # a provider may fail in any way; each is one row's result
+        return None, str(e) or type(e).__name__
+
+
 def answered(prompts: DataFrame, provider: Provider, max_concurrency: int | None = None) -> DataFrame:
     """Adds reply and error to rows with task and prompt; null prompts pass unanswered. A failed call is
     data. For a metered provider, ``max_concurrency`` bounds how many tasks call it at once."""
@@ -105,12 +112,7 @@ def answered(prompts: DataFrame, provider: Provider, max_concurrency: int | None
         for frame in frames:
             replies, errors = [], []
             for task, prompt in zip(frame["task"], frame["prompt"]):
-                reply = error = None
-                if prompt is not None:
-                    try:
-                        reply = provider(task, prompt)
-                    except Exception as e:  # a provider may fail in any way; each is one row's result
-                        error = str(e) or type(e).__name__
+                reply, error = (None, None) if prompt is None else reply_or_error(provider, task, prompt)
                 replies.append(reply)
                 errors.append(error)
             yield frame[names].assign(reply=pd.array(replies, "string"), error=pd.array(errors, "string"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WINDOWS, diagram_source, filled, is_retryable, window
 from lectern.operators.chunking import Chunking, chunks
-from lectern.operators.providers import Provider, answered
+from lectern.operators.providers import Provider, answered, reply_or_error
 
 NAMES = ("summary", "quotes", "mindmap", "mermaid", "evaluation")
 REQUIRED = ("summary", "quotes", "mindmap")
@@ -57,6 +60,41 @@ def summaries(docs: DataFrame, provider: Provider, how: Chunking = Chunking(), k
     return merged.select(key, reply.alias("reply"), F.coalesce("failed", "error").alias("error"))
 
 
+def streamed_summaries(docs: DataFrame, provider: Provider, how: Chunking = Chunking(), key: str = "doc_id") -> DataFrame:
+    """``summaries`` without a shuffle or state, so of streams too: the chunks of a text follow each other
+    in its partition, and its merge is asked when the last is answered. One text's calls are in turn."""
+    parts = chunks(docs, how, key=key).select(key, "chunk_idx", F.col("text").alias("prompt"))
+
+    def merged(k, replies: list[str], error: str | None) -> tuple:
+        if error is not None or len(replies) < 2:
+            return (k, None if error is not None else (replies or [NO_SUMMARY])[0], error)
+        return (k, *reply_or_error(provider, "summary", MERGE_RULE.join(replies)))
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            keys, replies, errors = zip(*rows)
+            return pd.DataFrame({key: pd.Series(keys), "reply": pd.array(replies, "string"), "error": pd.array(errors, "string")})
+
+        held = None
+        for frame in frames:
+            done = []
+            for k, idx, prompt in zip(frame[key], frame["chunk_idx"], frame["prompt"]):
+                if idx == 0:
+                    if held is not None:
+                        done.append(merged(*held))
+                    held = (k, [], None)
+                reply, error = reply_or_error(provider, "summary", prompt)
+                if reply:
+                    held[1].append(reply)
+                held = (*held[:2], error if held[2] is None else held[2])
+            if done:
+                yield table(done)
+        if held is not None:
+            yield table([merged(*held)])
+
+    return parts.mapInPandas(fn, f"`{key}` {docs.schema[key].dataType.simpleString()}, reply string, error string")
+
+
 def analysed(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking(), key: str = "doc_id", concurrency: int | None = None) -> DataFrame:
     """(key, name, section) for all five sections of each document."""
     tasks = enabled_tasks(mermaid, evaluation)

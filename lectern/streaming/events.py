@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions.sse import frame
-from lectern.operators.providers import Provider
-from lectern.operators.sections import enabled_tasks, outcome, window_prompts
+from lectern.functions.text import cleaned, diagram_source
+from lectern.operators.chunking import Chunking
+from lectern.operators.providers import Provider, answered
+from lectern.operators.sections import enabled_tasks, outcome, streamed_summaries, window_prompts
 
 
-def section_events(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False) -> DataFrame:
+def section_events(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking()) -> DataFrame:
     """One event row per task of each document of a stream (or table), as tasks complete: doc_id, name,
-    section. Stateless, so it runs on unbounded input; the summary reads the first window."""
-    from lectern.operators.providers import answered
-
-    tasks = enabled_tasks(mermaid, evaluation)
-    first = docs.select("doc_id", F.lit("summary").alias("task"), F.left("text", F.lit(4000)).alias("prompt"))
-    done = answered(first.unionByName(window_prompts(docs, tasks)), provider)
-    return done.select("doc_id", F.col("task").alias("name"), outcome(F.lit(True), F.col("reply"), F.col("error")).alias("section"))
+    section, as ``pipelines.analyse`` has them. Texts are cleaned, and the summary reads all chunks.
+    Stateless, so it runs on unbounded input."""
+    clean = docs.select("doc_id", cleaned(F.col("text")).alias("text"))
+    done = streamed_summaries(clean, provider, how).select("doc_id", F.lit("summary").alias("name"), "reply", "error")
+    other = answered(window_prompts(clean, enabled_tasks(mermaid, evaluation)), provider).select("doc_id", F.col("task").alias("name"), "reply", "error")
+    reply = F.when(F.col("name") == "mermaid", diagram_source(F.col("reply"))).otherwise(F.col("reply"))
+    return done.unionByName(other).select("doc_id", "name", outcome(F.lit(True), reply, F.col("error")).alias("section"))
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:

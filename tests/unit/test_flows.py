@@ -126,6 +126,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(events.section_events(docs, OfflineProvider()))
 
 
+def test_stream_equals_analysis_of_long_texts(spark, tmp_path):
+    long = "".join(f"Part {k}  says\tthis. " + "x" * 70 + ".\n\n\n\n" for k in range(200))
+    docs = spark.createDataFrame([(1, long), (2, long + "bad " * 1200), (3, ""), (4, None), (5, " short.  text "), (6, "y" * 13000)], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    out = events.section_events(stream, failing, mermaid=True)
+    events.run_available(out, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
+    got = {(r.doc_id, r.name): r.section for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    wide = pipelines.analyse(docs, failing, mermaid=True).collect()
+    assert got == {(r.doc_id, n): s for r in wide for n, s in r.sections.items() if s.status != "disabled"}
+    assert got[2, "summary"].status == "failed" and len(got) == 24
+
+
 def test_answers_by_state(spark, tmp_path):
     log = [(1, "delta", 1, 1, "bad"), (1, "delta", 2, 1, "a"), (1, "delta", 2, 2, "b"), (1, "done", 2, 3, ""), (2, "delta", 1, 1, "x"), (2, "error", 1, 2, "HTTP"), (3, "delta", 1, 1, "open"), (4, "done", 1, 1, "whole")]
     df = spark.createDataFrame(log, "request_id long, event string, attempt int, seq int, text string")
