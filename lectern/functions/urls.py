@@ -40,7 +40,7 @@ def secure_name(c: Column) -> Column:
 
 def extension(c: Column) -> Column:
     """The lower-cased extension; names that only begin with dots have none."""
-    return F.lower(F.regexp_extract(filled(c), r"^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)$", 1))
+    return F.lower(F.regexp_extract(filled(c), r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1))
 
 
 def is_allowed_file(c: Column) -> Column:
@@ -144,7 +144,7 @@ def import_name(title: Column, url: Column, disposition: Column, ctype: Column)
     named = [F.nullif(x, F.lit("")) for x in (disposition_name(disposition), base, slug)]
     name = F.coalesce(*named, F.lit("imported_paper"))
     # splitext: the last dot that is not among leading ones
-    own = F.regexp_extract(name, r"^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)$", 1)
+    own = F.regexp_extract(name, r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1)
     root = F.left(name, F.length(name) - F.length(own))
     ext = F.when(F.lower(own).isin(*EXTENSIONS), F.lower(own)).otherwise(F.coalesce(F.nullif(type_extension(ctype), F.lit("")), F.lit(".pdf")))
     safe = F.coalesce(F.nullif(secure_name(root), F.lit("")), F.nullif(slug, F.lit("")), F.lit("imported_paper"))

@@ -170,8 +170,7 @@ def secure_filename(spark, d):
 
 def upload_names(spark, d):
     raw = F.concat(F.left("text", F.lit(12)), F.element_at(F.array(*map(F.lit, [".PDF", ".txt", ".exe", "", ".tar.docx"])), (F.col("doc_id") % 5 + 1).cast("int")))
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("^[^A-Za-z]{0,12}$"))
-    return docs.select("doc_id", urls.is_allowed_file(raw).alias("allowed"), urls.extension(raw).alias("ext"))
+    return table(spark, d, "documents").select("doc_id", urls.is_allowed_file(raw).alias("allowed"), urls.extension(raw).alias("ext"))
 
 
 _LINK = "concat(url, element_at(array('', '/a.PDF', '/b.docx?x=1', '#f.pdf'), cast(page_id % 4 + 1 as int)))"

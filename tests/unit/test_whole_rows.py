@@ -1,6 +1,24 @@
 """Registered queries against plain rules over every row and whole texts."""
 
-from lectern.plans import flow_queries
+import os.path
+
+from lectern.plans import flow_queries, text_queries
+
+LONG = "A first line of words, long enough. " * 20
+TEXTS = {
+    0: "x" * 130 + "/é b\\c\r\nÄ.tail", 1: LONG + "one", 2: LONG + "two", 3: "", 4: "12 34", 5: "...", 6: "a/b.c\nd/e.f. ", 7: "\\(y\\) " + "z" * 30 + " \\[q\\] \r\nend",
+    8: "word " * 20 + "\n  pie of the day\nrest\n```mermaid\nx\n```", 9: "数" * 40 + "名.b", 10: "w" * 59 + " one", 11: "w" * 59 + " two", 12: "k" * 31 + "_-_",
+    13: ".PDF", 14: "a.b/c", 15: "..", 16: "/", 17: "a.b\n/.c", 18: "x.TXT\n", 20: "plain " * 9 + "\n\x1cgraph LR\nend", 24: "# t\n\n" + "many words here. " * 30,
+    28: "word " * 20 + "and more",
+}
+
+
+def folder(spark, path, texts=TEXTS):
+    docs = [(i, t, "en", "web", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "b" * 70 + " item"), (2, "b" * 70 + " other")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
 
 
 def test_completion_order_numbers_all_events(spark, tmp_path):
@@ -12,3 +30,11 @@ def test_completion_order_numbers_all_events(spark, tmp_path):
             want.add((user, n, f"event: {e[3]}\ndata: {e[4] or '{}'}\n\n"))
     got = flow_queries.completion_order(spark, str(tmp_path)).collect()
     assert len(got) == 60 and set(map(tuple, got)) == want
+
+
+def test_upload_names_has_every_document(spark, tmp_path):
+    d = folder(spark, tmp_path, TEXTS | {30: None, 33: None})
+    got = {r.doc_id: (r.allowed, r.ext) for r in text_queries.upload_names(spark, d).collect()}
+    ends = [".PDF", ".txt", ".exe", "", ".tar.docx"]
+    ext = {i: os.path.splitext(t + ends[i % 5])[1].lower() for i, t in TEXTS.items()} | {30: "", 33: ""}
+    assert got == {i: (e in (".txt", ".pdf", ".docx", ".pptx"), e) for i, e in ext.items()}
