@@ -97,7 +97,7 @@ def diagram_source(c: Column) -> Column:
     with a default heading where none is."""
     begins = "^(?:" + "|".join(DIAGRAM_STARTS) + ")"
     lines = F.split(stripped(c), "\n", -1)
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: stripped(F.get(lines, i)).rlike(begins))
+    starts = F.array_compact(F.transform(lines, lambda x, i: F.when(stripped(x).rlike(begins), i)))
     tail = stripped(F.array_join(F.slice(lines, F.get(starts, F.lit(0)) + 1, F.size(lines)), "\n"))
     fence = F.regexp_extract(c, r"(?is)```(?:mermaid)?\s*\n(.*?)\n```", 1)
     fenced = c.rlike(r"(?is)```(?:mermaid)?\s*\n.*?\n```")

@@ -59,7 +59,7 @@ def prompt_build(spark, d):
 def session_markdown(spark, d):
     docs = table(spark, d, "documents")
     held = docs.select(
-        F.col("doc_id").alias("session_id"), F.col("source").alias("source_filename"), F.col("n_chars").alias("char_count"), F.left("text", F.lit(50)).alias("summary"),
+        F.col("doc_id").alias("session_id"), F.col("source").alias("source_filename"), F.col("n_chars").alias("char_count"), F.col("text").alias("summary"),
         F.lit("").alias("quotes"), F.when(F.col("doc_id") % 2 == 0, "tree").alias("mindmap"), F.lit(None).cast("string").alias("evaluation"), F.when(F.col("doc_id") % 3 == 0, "graph TD").alias("mermaid"),
     )
     return as_markdown(held, turns(spark, d)).select("session_id", F.sha2("markdown", 256).alias("sha256"))
@@ -69,7 +69,7 @@ def report_markdown(spark, d):
     from lectern.functions.render import analysis_report
 
     docs = table(spark, d, "documents")
-    r = docs.select("doc_id", F.col("source").alias("source_filename"), F.col("n_chars").alias("char_count"), F.left("text", F.lit(99)).alias("summary"), F.col("lang").alias("quotes"), F.lit("m").alias("mindmap"), F.lit("e").alias("evaluation"))
+    r = docs.select("doc_id", F.col("source").alias("source_filename"), F.col("n_chars").alias("char_count"), F.col("text").alias("summary"), F.col("lang").alias("quotes"), F.lit("m").alias("mindmap"), F.lit("e").alias("evaluation"))
     at = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
     return r.select("doc_id", F.sha2(analysis_report(r, "1", at, True, F.lit(1.5)), 256).alias("sha256"))
 
@@ -84,7 +84,7 @@ def turn_numbers(spark, d):
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Two sources: documents and benchmark items, as records of query doc_id % 20."""
     shared = lambda df, key, src: df.select(
-        (F.col(key) % 20).alias("query_id"), F.col(key).alias("pos"), F.lit(src).alias("src_ord"), papers.compacted(F.col("text"), 60).alias("title"))
+        (F.col(key) % 20).alias("query_id"), F.col(key).alias("pos"), F.lit(src).alias("src_ord"), papers.compacted(F.col("text"), 300).alias("title"))
     return shared(table(spark, d, "documents"), "doc_id", 1).unionByName(shared(table(spark, d, "benchmark"), "item_id", 0))
 
 
@@ -105,7 +105,7 @@ def search_union_limit(spark, d):
 
 def paper_cards(spark, d):
     i = table(spark, d, "documents").select("doc_id", F.struct(
-        F.col("source").alias("paperId"), F.left("text", F.lit(20)).alias("title"), F.lit(None).cast("string").alias("abstract"), (F.lit(1990) + F.col("doc_id") % 40).cast("int").alias("year"),
+        F.col("source").alias("paperId"), F.col("text").alias("title"), F.lit(None).cast("string").alias("abstract"), (F.lit(1990) + F.col("doc_id") % 40).cast("int").alias("year"),
         F.when(F.col("doc_id") % 2 == 0, "Venue").alias("venue"), F.lit("https://x.org/p").alias("url"), F.array(F.struct(F.col("lang").alias("name"), F.lit("").alias("author"))).alias("authors"),
         F.struct(F.lit(None).cast("string").alias("url")).alias("openAccessPdf")).alias("item"))
     rec = papers.from_scholar(i)

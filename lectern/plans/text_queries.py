@@ -125,7 +125,7 @@ def message_parts(spark, d):
 def mermaid_salvage(spark, d):
     kind = F.col("doc_id") % 4
     reply = (
-        F.when(kind == 0, F.concat(F.left("text", F.lit(40)), F.lit("\n  graph LR\n  A[x] --> B\n")))
+        F.when(kind == 0, F.concat(F.col("text"), F.lit("\n  graph LR\n  A[x] --> B\n")))
         .when(kind == 1, F.concat(F.lit("Sure:\n```mermaid\nA --> B\n```"), F.lit("\nbye")))
         .when(kind == 2, F.lit("A --> B")).otherwise(F.lit("pie title x"))
     )
@@ -138,7 +138,7 @@ def html_escape(spark, d):
 
 
 def file_stem(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.file_stem(F.concat(F.left("text", F.lit(30)), F.lit(".v1.pdf"))).alias("stem"))
+    return table(spark, d, "documents").select("doc_id", text.file_stem(F.concat(F.col("text"), F.lit(".v1.pdf"))).alias("stem"))
 
 
 def human_size(spark, d):
@@ -147,7 +147,7 @@ def human_size(spark, d):
 
 
 def math_text(spark, d):
-    raw = F.concat(F.lit("\\["), F.left("text", F.lit(20)), F.lit("\\]\r\n\\(x_1\\) and $y$"))
+    raw = F.concat(F.lit("\\["), F.col("text"), F.lit("\\]\r\n\\(x_1\\) and $y$"))
     return table(spark, d, "documents").select("doc_id", text.math_delimiters(raw).alias("math"))
 
 
@@ -165,11 +165,11 @@ def status_message(spark, d):
 
 
 def secure_filename(spark, d):
-    return table(spark, d, "documents").select("doc_id", urls.secure_name(F.left("text", F.lit(120))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", urls.secure_name(F.col("text")).alias("name"))
 
 
 def upload_names(spark, d):
-    raw = F.concat(F.left("text", F.lit(12)), F.element_at(F.array(*map(F.lit, [".PDF", ".txt", ".exe", "", ".tar.docx"])), (F.col("doc_id") % 5 + 1).cast("int")))
+    raw = F.concat(F.col("text"), F.element_at(F.array(*map(F.lit, [".PDF", ".txt", ".exe", "", ".tar.docx"])), (F.col("doc_id") % 5 + 1).cast("int")))
     return table(spark, d, "documents").select("doc_id", urls.is_allowed_file(raw).alias("allowed"), urls.extension(raw).alias("ext"))
 
 

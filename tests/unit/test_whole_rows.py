@@ -1,6 +1,9 @@
 """Registered queries against plain rules over every row and whole texts."""
 
+import hashlib
 import os.path
+import re
+import unicodedata
 
 from lectern.plans import flow_queries, text_queries
 
@@ -38,3 +41,72 @@ def test_upload_names_has_every_document(spark, tmp_path):
     ends = [".PDF", ".txt", ".exe", "", ".tar.docx"]
     ext = {i: os.path.splitext(t + ends[i % 5])[1].lower() for i, t in TEXTS.items()} | {30: "", 33: ""}
     assert got == {i: (e in (".txt", ".pdf", ".docx", ".pptx"), e) for i, e in ext.items()}
+
+
+def compact(t, n=300):
+    t = re.sub(r"\s+", " ", t).strip()
+    return t if len(t) <= n else t[:n].rstrip() + "..."
+
+
+def stem(t):
+    t = re.sub(r"\.[^.]+\Z", "", t + ".v1.pdf")
+    return re.sub(r"^_+|_+\Z", "", re.sub("[^A-Za-z0-9_一-龥-]+", "_", t)) or "session"
+
+
+def math(t):
+    t = re.sub("\r\n", "\n", f"\\[{t}\\]\r\n\\(x_1\\) and $y$")
+    t = re.sub(r"\\\[([\s\S]*?)\\\]", lambda m: f"$${m[1]}$$", t)
+    return re.sub(r"\\\(([\s\S]*?)\\\)", lambda m: f"${m[1]}$", t)
+
+
+def secure(t):
+    t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()
+    t = "_".join(t.replace("/", " ").replace("\\", " ").split())
+    return re.sub("_+", "_", re.sub("[^A-Za-z0-9_.-]", "", t)).strip("._")
+
+
+STARTS = ("graph ", "mindmap", "flowchart ", "pie", "sequenceDiagram", "stateDiagram", "classDiagram")
+
+
+def diagram(reply):
+    lines = reply.strip().split("\n")
+    at = next(i for i, x in enumerate(lines) if x.strip().startswith(STARTS))
+    out = "\n".join(lines[at:]).strip()
+    return out, re.sub(r"```mermaid\n?|```\n?", "", reply, flags=re.I).strip()
+
+
+def test_text_rules_over_whole_texts(spark, tmp_path):
+    d = folder(spark, tmp_path)
+    rows = lambda q: {r[0]: tuple(r)[1:] for r in q(spark, d).collect()}
+    assert rows(text_queries.math_text) == {i: (math(t),) for i, t in TEXTS.items()}
+    assert rows(text_queries.file_stem) == {i: (stem(t),) for i, t in TEXTS.items()}
+    assert rows(text_queries.secure_filename) == {i: (secure(t),) for i, t in TEXTS.items()}
+    got = rows(text_queries.mermaid_salvage)
+    assert {i: got[i] for i in TEXTS if i % 4 == 0} == {i: diagram(t + "\n  graph LR\n  A[x] --> B\n") for i, t in TEXTS.items() if i % 4 == 0}
+
+
+def test_records_and_reports_over_whole_texts(spark, tmp_path):
+    d = folder(spark, tmp_path)
+    hashed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rule = "\n\n---\n\n"
+    records = sorted([(0, 1, "b" * 70 + " item"), (0, 2, "b" * 70 + " other"), *((1, i, compact(t)) for i, t in TEXTS.items())])
+    first = {}
+    for r in records:
+        first.setdefault(r[2].lower(), r)
+    assert {tuple(r) for r in flow_queries.dedup_titles(spark, d).collect()} == {r for k, r in first.items() if k}
+    found = {(r.src_ord, r.pos): r.title for r in flow_queries.search_union_limit(spark, d).collect()}
+    # Query 1 has room for its benchmark item only; 8 and 28 share a query.
+    assert found == {r[:2]: r[2] for r in records if r[2] and r[:2] != (1, 1)}
+    cards = sorted(r.title for r in flow_queries.paper_cards(spark, d).collect())
+    assert cards == sorted(compact(t) or "Untitled" for t in TEXTS.values())
+    reports = {r.doc_id: r.sha256 for r in flow_queries.report_markdown(spark, d).collect()}
+    assert reports == {i: hashed(f"# Analysis report\n\n> Generated: 2024-05-06 07:08:09\n> Source: web\n> Elapsed: 1.5s{rule}## Summary\n\n{t}{rule}## Quotes\n\nen{rule}## Structure\n\nm{rule}## Evaluation\n\ne\n\n---\n## About\n\n- Version: 1\n- Characters: {len(t)}\n") for i, t in TEXTS.items()}
+    sessions = {r.session_id: r.sha256 for r in flow_queries.session_markdown(spark, d).collect()}
+    want = {}
+    for i, t in TEXTS.items():
+        parts = [
+            f"# Session report\n\n## Session\n\n| Item | Value |\n| --- | --- |\n| Source file | web |\n| Session ID | {i} |\n| Character count | {len(t)} |",
+            "## Overview\n\n" + (t or "_No summary generated._"), "## Citations\n\n_No citations generated._", "## Structure\n\n" + ("_No structure generated._" if i % 2 else "tree"),
+        ]
+        want[i] = hashed(rule.join(parts + ["## Diagram\n\n```mermaid\ngraph TD\n```"] * (i % 3 == 0)))
+    assert sessions == want
