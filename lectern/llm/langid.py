@@ -9,7 +9,9 @@ many texts in step, one table look-up per byte and language.
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import crc_mod, table
 
-#: Labelled text per language, in characters, at most; less where many languages share ALL_CHARS.
-SAMPLE_CHARS, ALL_CHARS = 40_000, 1_200_000
+#: Labelled text per language, in characters, at most.
+SAMPLE_CHARS = 40_000
 #: Of one document at most this part of a sample is learned.
 PARTS = 8
-MAX_LANGUAGES = 200
+#: Languages whose samples one scan of the labelled rows draws.
+SCAN_LANGUAGES = 200
+#: About what the tables of a group of languages may take of a worker's memory; one language may exceed it.
+TABLE_BYTES = 256 << 20
 STRETCH = 2048
 CHUNK = 4 << 20
 UNKNOWN = "und"
@@ -36,29 +41,27 @@ def folded(text: str) -> bytes:
 
 def samples(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """lang -> folded sample. ``labelled``: doc_id, text, lang. Documents are drawn by a hash of
-    their id at a rate that yields about twice the sample, then taken in hash order."""
+    their id at a rate that yields about twice the sample, then taken in hash order. Any number of
+    languages; the driver, and later each worker, holds up to ``sample_chars`` of each."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     share = F.least(F.length("text"), F.lit(sample_chars // PARTS))
-    sizes = known.groupBy("lang").agg(F.sum(share).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return {}
-    sample_chars = min(sample_chars, ALL_CHARS // len(sizes))
+    sizes = sorted(known.groupBy("lang").agg(F.sum(share).alias("chars")).collect())
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, 2.0 * sample_chars / r.chars) * (1 << 40)))])
-    drawn = (
-        known.withColumn("draw", draw)
-        .where(F.col("draw") < F.element_at(rate, F.col("lang")))
-        .select("lang", "draw", "doc_id", F.left("text", F.lit(sample_chars // PARTS)).alias("text"))
-        .collect()
-    )
     out: dict[str, list[str]] = {}
-    room = {r.lang: sample_chars for r in sizes}
-    for r in sorted(drawn, key=lambda r: (r.draw, str(r.doc_id), r.text)):
-        if room[r.lang] > 0:
-            out.setdefault(r.lang, []).append(r.text[: room[r.lang]])
-            room[r.lang] -= len(r.text)
+    for at in range(0, len(sizes), SCAN_LANGUAGES):
+        some = sizes[at : at + SCAN_LANGUAGES]
+        rate = F.create_map(*[F.lit(x) for r in some for x in (r.lang, int(min(1.0, 2.0 * sample_chars / r.chars) * (1 << 40)))])
+        drawn = (
+            known.withColumn("draw", draw)
+            .where(F.col("draw") < F.try_element_at(rate, F.col("lang")))
+            .select("lang", "draw", "doc_id", F.left("text", F.lit(sample_chars // PARTS)).alias("text"))
+            .collect()
+        )
+        room = {r.lang: sample_chars for r in some}
+        for r in sorted(drawn, key=lambda r: (r.draw, str(r.doc_id), r.text)):
+            if room[r.lang] > 0:
+                out.setdefault(r.lang, []).append(r.text[: room[r.lang]])
+                room[r.lang] -= len(r.text)
     folds = {lang: folded("\n".join(texts)) for lang, texts in sorted(out.items())}
     return {lang: x for lang, x in folds.items() if x}
 
@@ -161,46 +164,106 @@ def _parser(by_language: dict[str, bytes]) -> CrossParser:
     return _parsers[key]
 
 
+def _groups(by_language: dict[str, bytes]) -> list[dict[str, bytes]]:
+    """Languages in order, in groups whose tables fit TABLE_BYTES (an automaton has at most two states a byte)."""
+    groups: list[dict[str, bytes]] = []
+    size, used = 0, set()
+    for lang, data in by_language.items():
+        size, used = size + len(data), used | set(data)
+        if not groups or 8 * size * (len(used) + 1) > TABLE_BYTES:
+            groups.append({})
+            size, used = len(data), set(data)
+        groups[-1][lang] = data
+    return groups
+
+
+_MOST = np.iinfo(np.int64).max
+
+
+class _Best:
+    """Of each text the fewest phrases of the languages seen so far, which language, and the runner-up's."""
+
+    def __init__(self, n: int):
+        self.least, self.next, self.at = np.full(n, _MOST), np.full(n, _MOST), np.zeros(n, np.int64)
+
+    def see(self, start: int, counts: np.ndarray, base: int) -> None:
+        part = slice(start, start + len(counts))
+        low = counts.argmin(1)
+        least = np.take_along_axis(counts, low[:, None], 1)[:, 0]
+        second = np.partition(counts, 1, 1)[:, 1] if counts.shape[1] > 1 else np.full(len(counts), _MOST)
+        better = least < self.least[part]
+        self.next[part] = np.where(better, np.minimum(self.least[part], second), np.minimum(self.next[part], least))
+        self.at[part] = np.where(better, base + low, self.at[part])
+        self.least[part] = np.minimum(self.least[part], least)
+
+
 def _predicted(by_language: dict[str, bytes]):
-    def verdicts(texts: list[bytes]) -> tuple[list[str], list[float]]:
-        parser = _parser(by_language)
+    groups, names = _groups(by_language), list(by_language)
+
+    def chunks(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+        held, size = [], 0
+        for text in batch.column("text").to_pylist():
+            held.append(folded(text or ""))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def lettered(texts: list[bytes]) -> list[bool]:
+        return [any(map(str.isalpha, set(t.decode()))) for t in texts]
+
+    def shown(batch: pa.RecordBatch, known: list[bool], best: _Best, start: int) -> pa.RecordBatch:
         langs, scores = [], []
-        for t, counts in zip(texts, parser.phrases(texts)):
-            if not t or not len(counts) or not any(map(str.isalpha, set(t.decode()))):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            best = int(counts.argmin())
-            rest = np.delete(counts, best)
-            langs.append(parser.languages[best])
-            scores.append(float(1 - counts[best] / rest.min()) if len(rest) else 1.0)
-        return langs, scores
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, good in enumerate(known, start):
+            good = good and bool(names)
+            langs.append(names[best.at[i]] if good else UNKNOWN)
+            scores.append(0.0 if not good else 1.0 if best.next[i] == _MOST else float(1 - best.least[i] / best.next[i]))
+        rest = [c for c in batch.schema.names if c != "text"]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, held, size = [], [], [], 0
-            for text in batch.column("text").to_pylist():
-                held.append(folded(text or ""))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    a, b = verdicts(held)
-                    langs += a
-                    scores += b
-                    held, size = [], 0
-            a, b = verdicts(held)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(langs + a, pa.string()), pa.array(scores + b, pa.float64())],
-                names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"],
-            )
-
-    return fn
+            best, known = _Best(batch.num_rows), []
+            for texts in chunks(batch):
+                if groups:
+                    best.see(len(known), _parser(groups[0]).phrases(texts), 0)
+                known += lettered(texts)
+            yield shown(batch, known, best, 0)
+
+    def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as spool:
+            held, known, n_chunks = [], [], 0
+            for batch in batches:
+                held.append(batch.drop_columns(["text"]))
+                for texts in chunks(batch):
+                    pickle.dump((len(known), texts), spool)
+                    known += lettered(texts)
+                    n_chunks += 1
+            best, base = _Best(len(known)), 0
+            for group in groups if known else []:
+                spool.seek(0)
+                parser = _parser(group)
+                for _ in range(n_chunks):
+                    start, texts = pickle.load(spool)
+                    best.see(start, parser.phrases(texts), base)
+                base += len(group)
+        start = 0
+        for batch in held:
+            yield shown(batch, known[start : start + batch.num_rows], best, start)
+            start += batch.num_rows
+
+    return at_once if len(groups) < 2 else in_turn
 
 
 def predict(docs: DataFrame, by_language: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text). Texts without a letter, null
     or empty, are ``und`` with score 0, as is all text when nothing was learned. Score: by how much of
     the runner-up's phrases the best language needs fewer. Ties go to the lesser language name.
-    Repeated rows are predicted alike; other columns are ignored; whole texts are parsed."""
+    Repeated rows are predicted alike; other columns are ignored; whole texts are parsed. Where the
+    tables of all languages exceed TABLE_BYTES, a partition's texts go to a temporary file and are
+    parsed against groups of languages in turn; each task then builds every group's tables."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return named.mapInArrow(_predicted(by_language), "doc_id long, lang_pred string, score double")
 

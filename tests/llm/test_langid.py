@@ -43,3 +43,29 @@ def test_odd_texts(spark):
     assert [got[i].lang_pred for i in range(5)] == ["und", "und", "und", "en", "de"] and got[5].lang_pred in learned
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
     assert langid.predict(docs.limit(0), learned).count() == 0
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(7)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(230)}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    train = spark.createDataFrame([(i, say(k, 60), k) for i, k in enumerate(sorted(words) * 2)], "doc_id long, text string, lang string")
+    learned = langid.samples(train, 4000)
+    assert list(learned) == sorted(words) and all(len(x) > 800 for x in learned.values())
+    texts = [*[say(k, 8) for k in words], "", None, "12", "qqq zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    whole = langid.predict(docs, learned).collect()
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1 << 20)
+    assert len(langid._groups(learned)) > 2
+    assert sorted(langid.predict(docs, learned).collect()) == sorted(whole)
+    got = {r.doc_id: r.lang_pred for r in whole}
+    assert [got[i] for i in range(230)] == list(words) and [got[i] for i in (230, 231, 232)] == ["und"] * 3
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1)
+    assert len(langid._groups(learned)) == 230
+
+
+def test_full_samples_of_many_languages(spark):
+    """Forty languages get as much each as few do."""
+    train = spark.range(80).selectExpr("id doc_id", "repeat(concat('w', id, ' abc '), 8000) text", "concat('l', lpad(id % 40, 2, '0')) lang")
+    learned = langid.samples(train, 80_000)
+    assert len(learned) == 40 and all(len(x) >= 20_000 * 0.7 for x in learned.values())
