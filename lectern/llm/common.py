@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -47,12 +49,16 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n, name = partitions(spark), f"lectern_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/lectern/{name}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._lectern_path, out._lectern_table = path, name
+    return out
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete what ``stored`` wrote for these; nothing may read them afterwards."""
+    """Delete what ``stored`` or ``bucketed`` wrote for these; nothing may read them afterwards."""
     for df in frames:
+        if name := getattr(df, "_lectern_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._lectern_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

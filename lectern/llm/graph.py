@@ -24,7 +24,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected edge table (u, v), root the smallest node it
-    reaches; loops are ignored. Each round is written to the shared folder; the driver sees counts."""
+    reaches; loops are ignored. Each round is written to the shared folder; the driver sees counts.
+    ``dropped`` may be called on the result."""
     state = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
     seen = None
     while True:
@@ -36,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     roots = state.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out._lectern_path = state._lectern_path
+    return out

@@ -15,7 +15,7 @@ def brute_sets(texts, n=5):
     return out
 
 
-def brute(rows):
+def brute(rows, percent=80):
     ids, sets = [r[0] for r in rows], brute_sets([r[1] for r in rows])
     root = {i: i for i in ids}
 
@@ -28,7 +28,7 @@ def brute(rows):
         for j in range(i):
             b = sets[j]
             inter = len(a & b)
-            if a and b and 100 * inter >= 80 * (len(a) + len(b) - inter):
+            if a and b and 100 * inter >= percent * (len(a) + len(b) - inter):
                 x, y = sorted((find(ids[i]), find(ids[j])))
                 root[y] = x
     return {i: (len(s), find(i)) for i, s in zip(ids, sets)}
@@ -40,12 +40,13 @@ def test_equals_brute_force_on_documents(spark, sf_dir):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_groups_and_odd_texts(spark, seed):
+@pytest.mark.parametrize("seed, percent, block, known", [(1, 80, 512, 1000), (2, 80, 4, 0), (3, 50, 8, 1000)])
+def test_chains_groups_and_odd_texts(spark, seed, percent, block, known):
+    """Small blocks make lists go by combinations of tokens and by pairs of blocks."""
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     passage = [f"p{i}" for i in range(60)]
-    texts = [None, "", " \n", "one", "ONE ", "a b c d", "A  b c\td", "a b c d e", "a b c d e f", "É a b c d e", "é a b c d e"]
+    texts = [None, "", " \n", "z y x w v", "z y x w v u", "one", "ONE ", "a b c d", "A  b c\td", "a b c d e", "a b c d e f", "É a b c d e", "é a b c d e"]
     for _ in range(6):
         base = [rng.choice(vocabulary) for _ in range(rng.randrange(30, 120))]
         for _ in range(12):  # a chain: each a few words away from the last
@@ -61,9 +62,9 @@ def test_chains_groups_and_odd_texts(spark, seed):
     rows = [(100 + i, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    members, links = jaccard.near_duplicates(docs)
+    members, links = jaccard.near_duplicates(docs, percent=percent, block=block, max_known=known)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()}
-    assert got == brute(rows)
+    assert got == brute(rows, percent)
 
 
 def test_repeated_null_and_empty(spark):
