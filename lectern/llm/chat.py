@@ -62,19 +62,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
         ).alias("t"),
     )
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks_type = "array<struct<role:string,texts:array<string>>>"
-
-    def merged(acc: Column, t: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escaped(t["text"]))).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(escaped(t["text"])).alias("texts"))
-        return F.when(
-            last["role"] == t["role"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
-        ).otherwise(F.concat(acc, F.array(fresh)))
-
-    blocks = sorted_turns.select(
-        "conv_id", F.aggregate("turns", F.array().cast(blocks_type), merged).alias("blocks")
+    # Blocks begin where the role changes; each is then cut out once, so the work is linear in turns.
+    begins = sorted_turns.withColumn(
+        "starts", F.array_compact(F.transform("turns", lambda t, i: F.when((i == 0) | (F.get("turns", i - 1)["role"] != t["role"]), i)))
     )
+
+    def block(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("turns"))
+        texts = F.transform(F.slice("turns", start + 1, end - start), lambda t: escaped(t["text"]))
+        return F.struct(F.get("turns", start)["role"].alias("role"), texts.alias("texts"))
+
+    blocks = begins.select("conv_id", F.transform("starts", block).alias("blocks"))
     pieces = blocks.select(
         "conv_id",
         F.transform(

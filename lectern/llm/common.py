@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +44,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -51,9 +58,26 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._lectern_path, out._lectern_table = path, name
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What is ``stored`` or ``bucketed`` inside goes at the end, but for the frames put in the list."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        dropped(*[df for df in made if not any(df is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete what ``stored`` or ``bucketed`` wrote for these; nothing may read them afterwards."""
     for df in frames:

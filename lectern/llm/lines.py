@@ -15,11 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import scratch, stored, table
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Salts of the join that brings shared lines back to their documents.
+PARTS = 16
 
 
 def _line_hashes(min_chars: int):
@@ -63,18 +65,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Rows with one doc_id are one document, whatever their texts; a null doc_id is the smallest.
     Repeated rows are treated alike; extra columns of any name come back as they were.
     """
-    lines = stored(line_table(docs, min_chars))
-    shared = stored(
-        lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs).drop("n")
-    )
-    drops = (
-        lines.join(shared, ["h1", "h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
-        .agg(F.collect_set("place").alias("places"))
-    )
+    with scratch() as held:
+        lines = stored(line_table(docs, min_chars))
+        shared = stored(
+            lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+            .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+            .where(F.col("n") >= min_docs).drop("n")
+        )
+        # Each line has one of PARTS salts, and each shared key a row for each: a line of very many
+        # documents is met in as many places.
+        spread = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        salted = lines.withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), F.lit(PARTS)).cast("int"))
+        drops = stored(
+            salted.join(spread, ["h1", "h2", "part"])
+            .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
+            .agg(F.collect_set("place").alias("places"))
+        )
+        held.append(drops)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"),

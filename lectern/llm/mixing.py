@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import dropped, n_words, stored, table
+from lectern.llm.common import dropped, n_words, scratch, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-N_BUCKETS = 256
+#: Documents of one source and size are dealt in buckets: so many at least, and one for each BUCKET_ROWS documents.
+N_BUCKETS, BUCKET_ROWS = 256, 50_000
 MAX_STEPS = 60
 
 
@@ -116,6 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, n
     The widest group a task holds is the sizes of one source: bounded by the longest text, not by rows.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    n_buckets = max(n_buckets, docs.count() // BUCKET_ROWS)
     sized = stored(
         docs.select(
             "doc_id", "source", key.alias("source_key"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
@@ -160,19 +162,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it. Equal rows share what they take in all: rows
     that nothing tells apart are numbered to hand it out, all others need no numbering."""
-    taken = (
-        mix(docs).groupBy(F.col("doc_id").alias("took_id"), F.col("text_hash").alias("took_hash"))
-        .agg(F.sum("copies").alias("took"), F.count(F.lit(1)).alias("rows"))
-    )
-    taken = stored(taken)
-    keyed = docs.withColumn("row_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("took_id")) & (F.col("row_hash") == F.col("took_hash"))
-    once = keyed.join(taken.where("rows = 1"), same).withColumn("copies", F.col("took"))
-    number = F.row_number().over(W.partitionBy("doc_id", "row_hash").orderBy("source"))
-    share = F.floor(F.col("took") / F.col("rows")) + (number <= F.col("took") % F.col("rows")).cast("int")
-    more = keyed.join(taken.where("rows > 1"), same).withColumn("copies", share)
-    both = once.unionByName(more).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return both.select(*docs.columns)
+    with scratch() as held:
+        taken = stored(
+            mix(docs).groupBy(F.col("doc_id").alias("took_id"), F.col("text_hash").alias("took_hash"))
+            .agg(F.sum("copies").alias("took"), F.count(F.lit(1)).alias("n_rows"))
+        )
+        held.append(taken)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("took_id")) & (F.col("row_hash") == F.col("took_hash"))
+    once = rows.join(taken.where("n_rows = 1"), same).select("row", F.col("took").alias("copies"))
+    number = F.row_number().over(W.partitionBy("row_id", "row_hash").orderBy(F.col("row.source")))
+    share = F.floor(F.col("took") / F.col("n_rows")) + (number <= F.col("took") % F.col("n_rows")).cast("int")
+    more = rows.join(taken.where("n_rows > 1"), same).select("row", share.alias("copies"))
+    both = once.unionByName(more).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 QUERIES = {"op6_mixing": op6_mixing}

@@ -151,6 +151,11 @@ def select_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL
     return proven.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
 
 
+def _stratum() -> Column:
+    """The language, null apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, lang, any others) with ``lectern_quality``,
     the counts and measures, and ``lectern_kept``, the verdict.
@@ -165,7 +170,7 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     labelled = (
         measured.where(~q["base_failed"])
-        .select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *[q[r].alias(r) for r in RULES])
+        .select("doc_id", _stratum().alias("stratum"), *[q[r].alias(r) for r in RULES])
         .dropDuplicates(["doc_id"])
         .join(known, "doc_id")
     )
@@ -179,7 +184,7 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
         over = over | F.coalesce(q[r] > F.try_element_at("lectern_cutoffs", F.lit(r)), F.lit(False))
     joined = measured.join(
         cutoffs.select(F.col("stratum").alias("lectern_stratum"), F.col("cutoffs").alias("lectern_cutoffs")),
-        F.coalesce("lang", F.lit("")) == F.col("lectern_stratum"),
+        _stratum() == F.col("lectern_stratum"),
         "left",
     )
     return joined.withColumn("lectern_kept", ~q["base_failed"] & ~over).drop("lectern_stratum", "lectern_cutoffs")

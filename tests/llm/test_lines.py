@@ -43,3 +43,17 @@ def test_odd_rows_and_columns(spark):
     assert digest(out) == brute(rows)
     assert sorted((r.place, r.h1) for r in out) == [(i, "k") for i in range(len(rows))]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_scratch_drops_what_is_not_kept(spark):
+    import os
+
+    from lectern.llm.common import scratch, stored
+
+    with scratch() as outer:
+        with scratch() as inner:
+            kept, gone = stored(spark.range(3)), stored(spark.range(4))
+            inner.append(kept)
+        assert os.path.isdir(kept._lectern_path.removeprefix("file:")) and not os.path.isdir(gone._lectern_path.removeprefix("file:"))
+        assert outer == []
+    assert not os.path.isdir(kept._lectern_path.removeprefix("file:"))

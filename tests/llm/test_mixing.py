@@ -1,7 +1,9 @@
+import math
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import mixing
 
@@ -59,3 +61,43 @@ def test_hot_source_is_dealt_exactly(spark):
         sums[r.source] += r.size * r.copies
         goal[r.source] = r.target
     assert all(abs(sums[s] - goal[s]) <= 4 for s in goal)
+
+
+def test_rates_are_the_tilt(spark):
+    """Rates equal min(cap, exp(dual x)) with the dual found by bisection, and copies add up to them."""
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('w ', int(1 + (id * id) % 40)) text", "if(id % 5 = 0, 'a', if(id % 5 < 3, 'b', 'c')) source")
+    sizes = defaultdict(Counter)
+    for i in range(3000):
+        sizes["a" if i % 5 == 0 else "b" if i % 5 < 3 else "c"][1 + (i * i) % 40] += 1
+    words = {s: sum(k * n for k, n in c.items()) for s, c in sizes.items()}
+    want = brute_targets(words)
+    solved = {}
+    for s, c in sizes.items():
+        mean = words[s] / sum(c.values())
+        got = lambda d: sum(k * n * min(3, math.exp(min(50, d * k / mean))) for k, n in c.items())  # noqa: E731, B023
+        low, high = -64.0, 64.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if got(mid) < want[s] else (low, mid)
+        solved[s] = low, mean
+    counts = spark.createDataFrame([(s, k / solved[s][1], float(k * n)) for s, c in sizes.items() for k, n in c.items()], "source_key string, x double, mass double")
+    goals = spark.createDataFrame(list(want.items()), "source_key string, target double")
+    capped = {s for s in want if want[s] >= 3 * words[s] - 1e-6}
+    for r in mixing.duals(counts, goals).collect():
+        if r.source_key not in capped:
+            assert r.dual == pytest.approx(solved[r.source_key][0], abs=1e-6)
+    taken = defaultdict(Counter)
+    for r in mixing.mix(docs).collect():
+        taken[r.source][r.size] += r.copies
+    for s, c in sizes.items():
+        for k, n in c.items():
+            rate = min(3, math.exp(min(50, solved[s][0] * k / solved[s][1])))
+            assert abs(taken[s][k] - n * rate) <= 0.5 + 40 / k, (s, k)
+
+
+def test_stage_keeps_columns_with_clashing_names(spark):
+    names = ["row_hash", "copies", "copy", "took", "rows", "took_id", "took_hash", "row", "row_id", "n_rows", "a.b"]
+    docs = spark.range(30).selectExpr("id doc_id", "repeat('w ', int(1 + id % 3)) text", "concat('s', id % 2) source").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = mixing.mix_stage(spark, docs.union(docs.limit(3)), "")
+    assert out.columns == docs.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))}

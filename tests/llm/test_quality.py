@@ -64,3 +64,61 @@ def test_cutoffs_hold_the_risk(spark):
         data = data.withColumn(r, F.lit(0.0))
     got = quality.select_cutoffs(data).collect()
     assert [(r.stratum, r.rule, r.cutoff) for r in got] == [("s", "symbol_rate", max(c for c in quality.GRID if c < 0.9))]
+
+
+def brute_cutoffs(rows, risk=0.05, level=0.05):
+    """rows: (stratum, quality, measures by rule)."""
+    strata = {r[0] for r in rows}
+    tests = len(strata) * len(quality.RULES) * len(quality.GRID)
+    p = risk / len(quality.RULES)
+    out = {}
+    for s in strata:
+        for rule in quality.RULES:
+            best = None
+            for c in quality.GRID:
+                good = [m[rule] > c for x, q, m in rows if x == s and q == 1]
+                bad = sum(m[rule] > c for x, q, m in rows if x == s and q == 0)
+                n, k = len(good), sum(good)
+                if not n or k >= n * p:
+                    continue
+                tail = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+                gain = bad - quality.GOOD_WEIGHT * k
+                if tail * tests <= level and gain > 0:
+                    best = max(best or (0, 0), (gain, c))
+            if best:
+                out[s, rule] = best[1]
+    return out
+
+
+def test_cutoffs_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for s, n in (("sa", 1800), ("sb", 900), ("n", 1200), ("s", 60)):
+        for _ in range(n):
+            good = rng.random() < 0.8
+            rows.append((s, int(good), {r: rng.random() ** (6 if good else 2) * (0.4 if good else 1) for r in quality.RULES}))
+    data = spark.createDataFrame([(s, q, *m.values()) for s, q, m in rows], "stratum string, quality int, " + ", ".join(f"{r} double" for r in quality.RULES))
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.select_cutoffs(data).collect()}
+    assert got == brute_cutoffs(rows) and len(got) > 4
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Texts whose languages, null and empty among them, need different cutoffs."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(6400):
+        lang = (None, "", "x")[i % 3]
+        good = i % 4 > 0
+        words = [f"w{rng.randrange(10**6)}" for _ in range(55)]
+        if not good and lang != "x":
+            words = [w + "#" * (8 if lang is None else 2) for w in words]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).select("doc_id", "lang", "lectern_kept", "lectern_quality").collect()
+    key = lambda lang: "n" if lang is None else "s" + lang
+    cutoffs = brute_cutoffs([(key(r.lang), labels[r.doc_id][1], {k: r.lectern_quality[k] for k in quality.RULES}) for r in got])
+    assert {s for s, _ in cutoffs} == {"n", "s"}
+    for r in got:
+        over = any(r.lectern_quality[k] > cutoffs.get((key(r.lang), k), 9) for k in quality.RULES)
+        assert r.lectern_kept == (not over and not r.lectern_quality.base_failed)
