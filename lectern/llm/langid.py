@@ -1,25 +1,29 @@
 """Language identification by cross-parsing.
 
 For each language a suffix automaton of labelled text gives longest matches. A text is cut greedily
-into phrases, each the longest match from its place on; the language that needs fewest phrases per
-byte wins. Letters are lower-cased and all else becomes one space, so symbols and digits don't vote.
+into phrases, each the longest match from its place on. A phrase is a pointer into the language's
+sample, so it costs the logarithm of the sample's length: the language in which the text costs fewest
+bits a byte wins, and a language with little labelled text isn't charged for its smaller automaton.
+Letters are lower-cased, with their marks, and all else becomes one space, so symbols and digits don't
+vote.
 Text is parsed in stretches of STRETCH bytes (a phrase ends where its stretch does), all stretches of
 many texts in step, one table look-up per byte and language.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
-import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_mod, table
+from lectern.llm.common import crc_mod, dropped, stored, table
 
 #: Labelled text per language, in characters, at most.
 SAMPLE_CHARS = 40_000
@@ -32,7 +36,7 @@ TABLE_BYTES = 256 << 20
 STRETCH = 2048
 CHUNK = 4 << 20
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def folded(text: str) -> bytes:
@@ -40,28 +44,36 @@ def folded(text: str) -> bytes:
 
 
 def samples(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """lang -> folded sample. ``labelled``: doc_id, text, lang. Documents are drawn by a hash of
-    their id at a rate that yields about twice the sample, then taken in hash order. Any number of
-    languages; the driver, and later each worker, holds up to ``sample_chars`` of each."""
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    share = F.least(F.length("text"), F.lit(sample_chars // PARTS))
-    sizes = sorted(known.groupBy("lang").agg(F.sum(share).alias("chars")).collect())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
+    """lang -> folded sample. ``labelled``: doc_id, text, lang. Different texts are drawn by a hash of the
+    text at a rate that yields about twice the sample, so copies count once, and taken in hash order; of
+    a long text a stretch from a hashed place is learned. Any number of languages; the driver, and later
+    each worker, holds up to ``sample_chars`` of each."""
+    most = sample_chars // PARTS
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
+    share = F.least(F.length("text"), F.lit(most)).alias("share")
+    texts = stored(known.select("lang", "h", share, F.col("doc_id").cast("long").alias("doc_id")).groupBy("lang", "h").agg(F.min("share").alias("share"), F.min("doc_id").alias("doc_id")))
+    sizes = sorted(texts.groupBy("lang").agg(F.sum("share").alias("chars")).collect())
+    draw = F.pmod(F.xxhash64("h", F.lit("langid")), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64("h", F.lit("place")), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
     out: dict[str, list[str]] = {}
     for at in range(0, len(sizes), SCAN_LANGUAGES):
         some = sizes[at : at + SCAN_LANGUAGES]
         rate = F.create_map(*[F.lit(x) for r in some for x in (r.lang, int(min(1.0, 2.0 * sample_chars / r.chars) * (1 << 40)))])
+        chosen = texts.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(rate, F.col("lang"))).select("lang", "h", "doc_id", "draw")
+        # Each language's choice is about twice its sample: a bounded table, so it is the side to send.
         drawn = (
-            known.withColumn("draw", draw)
-            .where(F.col("draw") < F.try_element_at(rate, F.col("lang")))
-            .select("lang", "draw", "doc_id", F.left("text", F.lit(sample_chars // PARTS)).alias("text"))
+            known.join(F.broadcast(chosen.withColumnRenamed("doc_id", "first")), ["lang", "h"])
+            .where(F.col("doc_id").cast("long").eqNullSafe(F.col("first")))
+            .select("lang", "draw", "h", F.substring("text", place + 1, F.lit(most)).alias("text"))
             .collect()
         )
-        room = {r.lang: sample_chars for r in some}
-        for r in sorted(drawn, key=lambda r: (r.draw, str(r.doc_id), r.text)):
-            if room[r.lang] > 0:
+        room, seen = {r.lang: sample_chars for r in some}, set()
+        for r in sorted(drawn, key=lambda r: (r.draw, r.h, r.text)):
+            if room[r.lang] > 0 and (r.lang, r.h) not in seen:
+                seen.add((r.lang, r.h))
                 out.setdefault(r.lang, []).append(r.text[: room[r.lang]])
                 room[r.lang] -= len(r.text)
+    dropped(texts)
     folds = {lang: folded("\n".join(texts)) for lang, texts in sorted(out.items())}
     return {lang: x for lang, x in folds.items() if x}
 
@@ -102,6 +114,8 @@ class CrossParser:
 
     def __init__(self, by_language: dict[str, bytes]):
         self.languages = list(by_language)
+        #: Bits of a phrase of each language.
+        self.cost = np.array([math.log2(len(x) + 2) for x in by_language.values()])
         used = sorted(set().union(*map(set, by_language.values()))) if by_language else []
         self.classes = np.zeros(256, np.uint8)
         self.classes[used] = np.arange(1, len(used) + 1)
@@ -177,20 +191,18 @@ def _groups(by_language: dict[str, bytes]) -> list[dict[str, bytes]]:
     return groups
 
 
-_MOST = np.iinfo(np.int64).max
-
-
 class _Best:
-    """Of each text the fewest phrases of the languages seen so far, which language, and the runner-up's."""
+    """Of each text the fewest bits of the languages seen so far, which language, and the runner-up's."""
 
     def __init__(self, n: int):
-        self.least, self.next, self.at = np.full(n, _MOST), np.full(n, _MOST), np.zeros(n, np.int64)
-
-    def see(self, start: int, counts: np.ndarray, base: int) -> None:
-        part = slice(start, start + len(counts))
-        low = counts.argmin(1)
-        least = np.take_along_axis(counts, low[:, None], 1)[:, 0]
-        second = np.partition(counts, 1, 1)[:, 1] if counts.shape[1] > 1 else np.full(len(counts), _MOST)
+        self.least, self.next, self.at = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+
+    def see(self, start: int, parser: CrossParser, texts: list[bytes], base: int) -> None:
+        bits = parser.phrases(texts) * parser.cost
+        part = slice(start, start + len(bits))
+        low = bits.argmin(1)
+        least = np.take_along_axis(bits, low[:, None], 1)[:, 0]
+        second = np.partition(bits, 1, 1)[:, 1] if bits.shape[1] > 1 else np.full(len(bits), np.inf)
         better = least < self.least[part]
         self.next[part] = np.where(better, np.minimum(self.least[part], second), np.minimum(self.next[part], least))
         self.at[part] = np.where(better, base + low, self.at[part])
@@ -219,7 +231,7 @@ def _predicted(by_language: dict[str, bytes]):
         for i, good in enumerate(known, start):
             good = good and bool(names)
             langs.append(names[best.at[i]] if good else UNKNOWN)
-            scores.append(0.0 if not good else 1.0 if best.next[i] == _MOST else float(1 - best.least[i] / best.next[i]))
+            scores.append(0.0 if not good else 1.0 if best.next[i] == np.inf else float(1 - best.least[i] / best.next[i]))
         rest = [c for c in batch.schema.names if c != "text"]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
@@ -228,7 +240,7 @@ def _predicted(by_language: dict[str, bytes]):
             best, known = _Best(batch.num_rows), []
             for texts in chunks(batch):
                 if groups:
-                    best.see(len(known), _parser(groups[0]).phrases(texts), 0)
+                    best.see(len(known), _parser(groups[0]), texts, 0)
                 known += lettered(texts)
             yield shown(batch, known, best, 0)
 
@@ -247,7 +259,7 @@ def _predicted(by_language: dict[str, bytes]):
                 parser = _parser(group)
                 for _ in range(n_chunks):
                     start, texts = pickle.load(spool)
-                    best.see(start, parser.phrases(texts), base)
+                    best.see(start, parser, texts, base)
                 base += len(group)
         start = 0
         for batch in held:
@@ -260,7 +272,7 @@ def _predicted(by_language: dict[str, bytes]):
 def predict(docs: DataFrame, by_language: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs`` (doc_id, text). Texts without a letter, null
     or empty, are ``und`` with score 0, as is all text when nothing was learned. Score: by how much of
-    the runner-up's phrases the best language needs fewer. Ties go to the lesser language name.
+    the runner-up's bits the best language needs fewer. Ties go to the lesser language name.
     Repeated rows are predicted alike; other columns are ignored; whole texts are parsed. Where the
     tables of all languages exceed TABLE_BYTES, a partition's texts go to a temporary file and are
     parsed against groups of languages in turn; each task then builds every group's tables."""

@@ -69,3 +69,22 @@ def test_full_samples_of_many_languages(spark):
     train = spark.range(80).selectExpr("id doc_id", "repeat(concat('w', id, ' abc '), 8000) text", "concat('l', lpad(id % 40, 2, '0')) lang")
     learned = langid.samples(train, 80_000)
     assert len(learned) == 40 and all(len(x) >= 20_000 * 0.7 for x in learned.values())
+
+
+def test_little_labelled_text_and_close_languages(spark):
+    """Two close languages, one with a sample 80 times smaller, are told apart; copies count once, and
+    letters keep their combining marks."""
+    rng = random.Random(11)
+    stems = ["".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    forms = {k: [s + rng.choice(ends) for s in stems] for k, ends in (("aa", ["n", "t", "s"]), ("ab", ["r", "m", "v"]))}
+    say = lambda k, n: " ".join(rng.choice(forms[k]) for _ in range(n))
+    rows = [(i, say("aa", 120), "aa") for i in range(60)] + [(100, say("ab", 80)[:500], "ab")]
+    learned = langid.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned["aa"]) > 30_000 and len(learned["ab"]) <= 500
+    texts = [(i, say(("aa", "ab")[i % 2], 40)) for i in range(200)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), learned).collect()}
+    assert sum(got[i] == ("aa", "ab")[i % 2] for i in range(200)) >= 190
+    copies = spark.createDataFrame([(i, "the same text again " * 300, "xx") for i in range(50)] + [(99, "something else here " * 300, "xx")], "doc_id long, text string, lang string")
+    sample = langid.samples(copies)["xx"]
+    assert b"something else" in sample and len(sample) < 11_000
+    assert langid.folded("नमस्ते 12!") == "नमस्ते".encode()
