@@ -1,6 +1,8 @@
 """LM scoring by context-tree weighting over bytes.
 
-Each byte is eight binary decisions; each decision has a tree of byte contexts up to DEPTH long. A
+Before each byte it is decided whether the text ends; a byte is eight binary decisions more, so the
+scores are probabilities of whole texts, of any bytes. Each decision has a tree of byte contexts up to
+DEPTH long. A
 node's Krichevsky-Trofimov estimate is weighed half and half against the product of its children's
 weighted probabilities, from the deepest contexts to the root; a text is then coded with the fixed
 weights that all training counts leave, each bit's probability mixing the KT estimates of all depths.
@@ -26,6 +28,10 @@ from lectern.llm.common import crc_mod, stored, table
 from lectern.llm.shingles import word_hashes
 
 DEPTH = 4
+#: A gram is a symbol, a byte or END, below the bytes of its context.
+SYMBOL_BITS, END = 9, 256
+#: Grams of one two-byte context that are weighed together; more are taken by their three-byte contexts.
+STRETCH = 1 << 20
 BLOCK_BYTES = 12 << 20
 CHUNK = 2 << 20
 _U = np.uint64
@@ -46,15 +52,16 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ends): each byte of each text and an end byte 0, with the DEPTH bytes before it (0 before
-    the start), as one integer; and where each text's keys end."""
+    """(keys, ends): each byte of each text and its END, with the DEPTH bytes before it (0 before the
+    start), as one integer; and where each text's keys end."""
     pad = b"\0" * DEPTH
-    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8)
+    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8).astype(_U)
     sizes = np.fromiter((len(t) + DEPTH + 1 for t in texts), np.int64, len(texts))
     starts = np.cumsum(sizes) - sizes
-    keys = np.zeros(len(raw), _U)
-    for back in range(DEPTH + 1):
-        keys[back:] |= raw[: len(raw) - back].astype(_U) << _U(8 * back)
+    keys = raw.copy()
+    keys[starts + sizes - 1] = END
+    for back in range(1, DEPTH + 1):
+        keys[back:] |= raw[: len(raw) - back] << _U(SYMBOL_BITS + 8 * (back - 1))
     real = np.ones(len(raw), bool)
     real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
     return keys[real], np.cumsum(sizes - DEPTH)
@@ -102,57 +109,88 @@ def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class _Levels:
-    """Depths DEPTH..2 below one two-byte context. index[d][j]: for each gram its node for bit j at
-    depth d; stop[d], kt[d]: a node's weight against its children's, and its estimate of a one."""
+    """Depths DEPTH..3 below one two-byte context, of a stretch of its grams. Decision 0 is whether the
+    text ends, at node 0; 1 to 8 are the byte's, which an END doesn't make. index[d][j]: for each gram its
+    node for decision j at depth d; stop[d], kt[d]: a node's weight against its children's, and its
+    estimate of a one. n0, n1, children: what the nodes of depth 2 get from this stretch."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         keys = keys.view(_U)
-        symbol = (keys & _U(255)).astype(np.int64)
-        self.bits = np.array([(symbol >> (7 - j)) & 1 for j in range(8)])
-        self.nodes = np.array([(1 << j) | (symbol >> (8 - j)) for j in range(8)])
+        symbol = (keys & _U((1 << SYMBOL_BITS) - 1)).astype(np.int64)
+        ends, byte = symbol == END, symbol & 255
+        self.bits = np.array([ends, *[(byte >> (7 - j)) & 1 for j in range(8)]], np.int64)
+        self.live = np.array([np.ones(len(keys), bool), *[~ends] * 8])
+        self.nodes = np.where(self.live, np.array([np.zeros(len(keys), np.int64), *[(1 << j) | (byte >> (8 - j)) for j in range(8)]]), 0)
+        ones, zeros = (self.bits * self.live * n).ravel(), ((1 - self.bits) * self.live * n).ravel()
         self.index, self.stop, self.kt = {}, {}, {}
         weighted = below = None
-        for d in range(DEPTH, 1, -1):
-            context = (keys >> _U(8)) & _U((1 << (8 * d)) - 1)
+        for d in range(DEPTH, 2, -1):
+            context = (keys >> _U(SYMBOL_BITS)) & _U((1 << (8 * d)) - 1)
             ids, inverse = np.unique((context << _U(8))[None, :] | self.nodes.astype(_U), return_inverse=True)
-            inverse = inverse.reshape(8, -1)
-            ones = np.bincount(inverse.ravel(), (self.bits * n).ravel(), len(ids))
-            zeros = np.bincount(inverse.ravel(), ((1 - self.bits) * n).ravel(), len(ids))
-            own = _log_kt(zeros, ones)
+            inverse = inverse.reshape(9, -1)
+            n1, n0 = np.bincount(inverse.ravel(), ones, len(ids)), np.bincount(inverse.ravel(), zeros, len(ids))
+            own = _log_kt(n0, n1)
             if weighted is None:
                 self.stop[d], total = np.ones(len(ids)), own
             else:
-                parent = np.zeros(len(weighted), np.int64)
-                parent[below.ravel()] = inverse.ravel()
-                children = np.bincount(parent, weighted, len(ids))
-                total = np.logaddexp(own, children) - _LOG2
+                total = np.logaddexp(own, self._sums(weighted, below, inverse, len(ids))) - _LOG2
                 self.stop[d] = np.exp(own - _LOG2 - total)
-            self.kt[d], self.index[d] = (ones + 0.5) / (ones + zeros + 1.0), inverse
+            self.kt[d], self.index[d] = (n1 + 0.5) / (n1 + n0 + 1.0), inverse
             weighted, below = total, inverse
-            self.ids, self.zeros, self.ones = ids, zeros, ones
-        self.log_weighted = weighted
+        self.n0, self.n1 = np.bincount(self.nodes.ravel(), zeros, 256), np.bincount(self.nodes.ravel(), ones, 256)
+        self.children = self._sums(weighted, below, self.nodes, 256)
+
+    @staticmethod
+    def _sums(weighted: np.ndarray, below: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
+        parent = np.zeros(len(weighted), np.int64)
+        parent[below.ravel()] = above.ravel()
+        return np.bincount(parent, weighted, n)
+
+
+def _stretches(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the grams of one two-byte context: whole three-byte contexts, about STRETCH at a time."""
+    third = (keys.view(_U) >> _U(SYMBOL_BITS + 16)) & _U(255)
+    order = np.argsort(third, kind="stable")
+    starts = np.flatnonzero(np.diff(third[order].astype(np.int64), prepend=-1))
+    begin = 0
+    for at in [*starts[1:].tolist(), len(order)]:
+        if at - begin >= STRETCH or at == len(order):
+            yield order[begin:at]
+            begin = at
 
 
 def _weigh_low(frame: pd.DataFrame) -> pd.DataFrame:
-    levels = _Levels(frame["key"].to_numpy(), frame["n"].to_numpy())
-    ids = levels.ids
-    return pd.DataFrame({"context": (ids >> _U(8)).astype(np.int64), "node": (ids & _U(255)).astype(np.int64), "n0": levels.zeros, "n1": levels.ones, "lw": levels.log_weighted})
+    """The nodes at depth 2 of one context: their counts and log weighted probabilities."""
+    keys, n = frame["key"].to_numpy(), frame["n"].to_numpy()
+    n0, n1, children, met = np.zeros(256), np.zeros(256), np.zeros(256), np.zeros(256, bool)
+    for part in _stretches(keys):
+        levels = _Levels(keys[part], n[part])
+        n0, n1, children = n0 + levels.n0, n1 + levels.n1, children + levels.children
+        met[levels.nodes.ravel()] = True
+    lw = np.logaddexp(_log_kt(n0, n1), children) - _LOG2
+    nodes = np.flatnonzero(met)
+    return pd.DataFrame({"context": frame["context"].iloc[0], "node": nodes, "n0": n0[nodes], "n1": n1[nodes], "lw": lw[nodes]})
 
 
 def _mix_low(grams_: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
-    """log10 of each gram's last byte given the bytes before it; ``top``: what depths 0 and 1 give."""
-    levels = _Levels(grams_["key"].to_numpy(), grams_["n"].to_numpy())
+    """log10 of each gram's symbol given the bytes before it; ``top``: what depths 0 and 1 give the nodes
+    of depth 2, and those nodes' own counts and weights."""
+    keys, n = grams_["key"].to_numpy(), grams_["n"].to_numpy()
+    n0, n1, lw = (top[c].to_numpy() for c in ("n0", "n1", "lw"))
+    stop, kt = np.exp(_log_kt(n0, n1) - _LOG2 - lw), (n1 + 0.5) / (n0 + n1 + 1.0)
     acc, rem = np.zeros(256), np.ones(256)
-    acc[top["node"]], rem[top["node"]] = top["acc"], top["rem"]
-    out = np.zeros(len(grams_))
-    for j in range(8):
-        p, left = acc[levels.nodes[j]], rem[levels.nodes[j]]
-        for d in range(2, DEPTH + 1):
-            at = levels.index[d][j]
-            p = p + left * levels.stop[d][at] * levels.kt[d][at]
-            left = left * (1 - levels.stop[d][at])
-        out += np.log10(np.where(levels.bits[j] == 1, p, 1 - p))
-    return pd.DataFrame({"key": grams_["key"], "value": out})
+    acc[top["node"]], rem[top["node"]] = top["acc"] + top["rem"] * stop * kt, top["rem"] * (1 - stop)
+    out = np.zeros(len(keys))
+    for part in _stretches(keys):
+        levels = _Levels(keys[part], n[part])
+        for j in range(9):
+            p, left = acc[levels.nodes[j]], rem[levels.nodes[j]]
+            for d in range(3, DEPTH + 1):
+                at = levels.index[d][j]
+                p = p + left * levels.stop[d][at] * levels.kt[d][at]
+                left = left * (1 - levels.stop[d][at])
+            out[part] += np.where(levels.live[j], np.log10(np.where(levels.bits[j] == 1, p, 1 - p)), 0.0)
+    return pd.DataFrame({"key": keys, "value": out})
 
 
 def _sql_log_gamma(x: Column) -> Column:
@@ -180,7 +218,7 @@ def _level_above(below: DataFrame, *keys: str) -> DataFrame:
 def tree(counts: DataFrame) -> DataFrame:
     """(key, value): log10 probability of every gram in ``counts`` (key, n); those with n = 0 were seen
     in no training text and get what the contexts they share leave for them."""
-    context = F.shiftright("key", 8).bitwiseAND(65535)
+    context = F.shiftright("key", SYMBOL_BITS).bitwiseAND(65535)
     keyed = counts.select("key", "n", context.alias("context"))
     low = stored(keyed.groupBy("context").applyInPandas(_weigh_low, "context long, node long, n0 double, n1 double, lw double"))
     one = stored(_level_above(low.withColumn("last", F.col("context").bitwiseAND(255)), "last", "node"))
@@ -190,7 +228,7 @@ def tree(counts: DataFrame) -> DataFrame:
     upper = one.join(root, "node").select(
         "last", "node", (F.col("acc0") + F.col("rem0") * F.col("stop") * F.col("kt")).alias("acc"), (F.col("rem0") * (1 - F.col("stop"))).alias("rem")
     )
-    top = low.select("context", "node", F.col("context").bitwiseAND(255).alias("last")).join(upper, ["last", "node"]).select("context", "node", "acc", "rem")
+    top = low.withColumn("last", F.col("context").bitwiseAND(255)).join(upper, ["last", "node"]).select("context", "node", "n0", "n1", "lw", "acc", "rem")
     return keyed.groupBy("context").cogroup(top.groupBy("context")).applyInPandas(_mix_low, "key long, value double")
 
 
@@ -268,7 +306,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Null text is empty: it has its end alone. A null held_out counts as true. Repeated rows are learned
     as often as they stand; other columns are ignored; an empty table gives no rows. Without training
-    texts every byte has probability 2**-8.
+    texts every decision is a toss of a coin.
     """
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(True)).alias("held_out")

@@ -17,7 +17,8 @@ def brute_model(train, depth):
     def walk(text):
         raw = b"\0" * depth + text + b"\0"
         for i in range(depth, len(raw)):
-            for j in range(8):
+            yield raw[i - depth : i], 0, int(i + 1 == len(raw))
+            for j in range(8 if i + 1 < len(raw) else 0):
                 yield raw[i - depth : i], (1 << j) | (raw[i] >> (8 - j)), (raw[i] >> (7 - j)) & 1
 
     for text in train:
@@ -74,7 +75,7 @@ def check(got, rows):
 
 @pytest.mark.parametrize("block", [300, 1 << 20])
 def test_equals_plain_weighting(spark, block):
-    texts = ["the cat sat on the mat", "The CAT  sat", "", None, "été à la plage 😀", "aaaa aaaa aaaa", "zq\nx\x00y", "the dog sat on the log " * 8, "the cat"]
+    texts = ["the cat sat on the mat", "The CAT  sat", "", None, "été à la plage 😀", "aaaa aaaa aaaa", "zq\nx\x00y", "\x00", "\x00\x00", "".join(map(chr, range(128))) * 2, "the dog sat on the log " * 8, "the cat"]
     rows = [(i, t, i % 3 == 2) for i, t in enumerate(texts)] + [(0, texts[0], False), (None, "null id", None)]
     docs = spark.createDataFrame([r + (1.0,) for r in rows], "doc_id long, text string, held_out boolean, score double")
     check(ctw.score_texts(docs, block).collect(), rows)
@@ -83,7 +84,7 @@ def test_equals_plain_weighting(spark, block):
 def test_nothing_learned_and_empty(spark):
     docs = spark.createDataFrame([(1, "ab", True)], "doc_id long, text string, held_out boolean")
     r = ctw.score_texts(docs).first()
-    assert r.score == pytest.approx(-3 * 8 * math.log10(2)) and r.n_known == 0 and r.train_tokens == 0
+    assert r.score == pytest.approx(-(3 + 2 * 8) * math.log10(2)) and r.n_known == 0 and r.train_tokens == 0
     assert ctw.score_texts(docs.limit(0)).count() == 0
 
 
@@ -104,3 +105,18 @@ def test_lookup():
     at = rng.integers(0, len(keys), 20000)
     assert (table(keys[at]) == at / 7).all()
     assert len(ctw.Lookup(keys[:0], np.zeros(0))(keys[:0])) == 0
+
+
+def test_scores_are_probabilities_and_stretches_agree(spark, monkeypatch):
+    """Texts with NULs don't share their code with ends: those of one byte and none sum to at most one."""
+    rows = [(-1, "a\x00b", False), (-2, "\x00", False), (-3, "", False)] + [(i, chr(i), True) for i in range(128)] + [(200, "", True), (201, "\x00\x00", True)]
+    got = {r.doc_id: r.score for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert sum(10 ** got[i] for i in (*range(128), 200, 201)) < 1 and got[200] > got[201]
+    keys, _ = ctw.grams([bytes(range(256)) * 2, b"abc abd", b""])
+    keys = keys[(keys >> np.uint64(ctw.SYMBOL_BITS)) & np.uint64(65535) < 300]
+    frame = ctw.pd.DataFrame({"key": np.unique(keys).view(np.int64), "n": 1})
+    frame["context"] = 0
+    whole = ctw._weigh_low(frame)
+    monkeypatch.setattr(ctw, "STRETCH", 2)
+    parts = ctw._weigh_low(frame)
+    assert np.allclose(whole.to_numpy(float), parts.to_numpy(float))
