@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import dropped, scratch, stored, table
 from lectern.llm.jaccard import near_stage
 from lectern.llm.lines import line_stage
 from lectern.llm.mixing import mix_stage
@@ -27,7 +27,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written once; what it was made from goes then."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as kept:
+            made = stored(stage(spark, docs, sf_dir))
+            kept.append(made)
+        if k:
+            dropped(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
