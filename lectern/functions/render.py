@@ -142,3 +142,8 @@ def standalone_svg(svg: Column) -> Column:
     """An SVG as a file of its own: namespace and prolog added where missing."""
     named = F.when(svg.contains("xmlns="), svg).otherwise(F.regexp_replace(svg, r"^\s*<svg", '<svg xmlns="http://www.w3.org/2000/svg"'))
     return F.when(named.startswith("<?xml"), named).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), named))
+
+
+def export_timestamp(at: Column) -> Column:
+    """A time as exports show it."""
+    return F.date_format(at, "M/d/yyyy, h:mm:ss a")

@@ -92,16 +92,18 @@ def host(c: Column) -> Column:
     return F.lower(F.when(netloc.startswith("["), bracketed).otherwise(F.split_part(netloc, F.lit(":"), F.lit(1))))
 
 
+def is_inner(name: str) -> bool:
+    """Whether a host is the literal address of an inner network."""
+    try:
+        ip = ipaddress.ip_address(name)
+    except ValueError:
+        return False
+    return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
+
+
 @F.pandas_udf(T.BooleanType())
 def _is_inner_address(hosts: pd.Series) -> pd.Series:
-    def inner(name: str) -> bool:
-        try:
-            ip = ipaddress.ip_address(name)
-        except ValueError:
-            return False
-        return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
-
-    return hosts.map(lambda x: bool(x) and inner(x)).astype(bool)
+    return hosts.map(lambda x: bool(x) and is_inner(x)).astype(bool)
 
 
 def is_public_http(c: Column) -> Column:

@@ -32,21 +32,42 @@ def _last_break(part: Column) -> Column:
     return F.greatest(*[F.when(part.contains(mark), a).otherwise(-1) for mark, a in zip(BREAKS, at)])
 
 
-def spans(text: Column, how: Chunking = Chunking()) -> Column:
-    """array<struct<start, len>> of the windows of one text, in order, 0-based in code points."""
+def _strips(text: Column, how: Chunking) -> Column:
+    """The text cut into strips of four windows, so that no window walks the text from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{4 * how.size}}}"), F.lit(0))
+
+
+def _piece(strips: Column, at: Column, size: Column, how: Chunking) -> Column:
+    """Up to a window's size of the text from ``at`` on: of one strip and the next."""
+    k = F.floor(at / (4 * how.size)).cast("int")
+    two = F.concat(F.get(strips, k), F.coalesce(F.get(strips, k + 1), F.lit("")))
+    return F.substring(two, at % (4 * how.size) + 1, size)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; Spark repeats it within lambdas otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spans(text: Column, strips: Column, how: Chunking = Chunking()) -> Column:
+    """array<struct<start, len>> of the windows of one text, in order, 0-based in code points. Linear in
+    the text's length."""
     n, half = F.length(text), how.size // 2
     kind = "array<struct<start:int,len:int>>"
 
     def step(state: Column, _: Column) -> Column:
         at = state["at"]
-        part = F.substring(text, at + 1, F.lit(how.size))
-        cut = _last_break(part)
-        taken = F.when(at + how.size >= n, F.least(F.lit(how.size), n - at)).when(cut > half, cut + 1).otherwise(how.size)
-        # The next start follows from where the window would end, text or not.
-        end = F.when((at + how.size < n) & (cut > half), at + cut + 1).otherwise(at + how.size)
-        grown = F.concat(state["out"], F.array(F.struct(at.alias("start"), taken.cast("int").alias("len"))))
-        more = F.struct((end - how.overlap).cast("int").alias("at"), grown.alias("out"))
-        return F.when(at < n, more).otherwise(state)
+        inner = at + how.size < n
+        cut = F.when(inner, _once(_piece(strips, at, F.lit(how.size), how), _last_break)).otherwise(F.lit(-1))
+
+        def grown(cut: Column) -> Column:
+            # The next start follows from where the window would end, text or not.
+            taken = F.when(~inner, n - at).when(cut > half, cut + 1).otherwise(how.size)
+            end = F.when(cut > half, at + cut + 1).otherwise(at + how.size)
+            out = F.concat(state["out"], F.array(F.struct(at.alias("start"), taken.cast("int").alias("len"))))
+            return F.struct((end - how.overlap).cast("int").alias("at"), out.alias("out"))
+
+        return F.when(at < n, _once(cut, grown)).otherwise(state)
 
     least = half + 2 - how.overlap
     steps = F.sequence(F.lit(1), F.ceil(n / least).cast("int") + 1)
@@ -55,13 +76,18 @@ def spans(text: Column, how: Chunking = Chunking()) -> Column:
     return F.when(n <= how.size, whole).otherwise(F.aggregate(steps, start, step, lambda s: s["out"]))
 
 
+def chunk_arrays(docs: DataFrame, how: Chunking = Chunking(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, t, chunks: each text and the array<struct<start, len, raw>> of its chunks, as in ``chunks``."""
+    t, strips = F.col("t"), F.col("strips")
+    cut = docs.select(F.col(key), filled(F.col(text)).alias("t")).withColumn("strips", _strips(t, how)).withColumn("spans", spans(t, strips, how))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("len"), t.alias("raw")))
+    part = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), stripped(_piece(strips, s["start"], s["len"], how)).alias("raw")))
+    kept = F.when(F.length(t) <= how.size, whole).otherwise(F.filter(part, lambda p: p["raw"] != ""))
+    return cut.select(key, "t", kept.alias("chunks"))
+
+
 def chunks(docs: DataFrame, how: Chunking = Chunking(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, chunk_idx, start, len, text. A text within one window is one chunk as it is, even empty;
     those of longer texts are stripped, and blank ones left out before numbering. No shuffle."""
-    t = F.col("t")
-    cut = docs.select(F.col(key), filled(F.col(text)).alias("t")).withColumn("spans", spans(t, how))
-    part = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.substring(t, s["start"] + 1, s["len"]).alias("raw")))
-    shown = F.transform(part, lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), stripped(p["raw"]).alias("raw")))
-    kept = F.when(F.length(t) <= how.size, part).otherwise(F.filter(shown, lambda p: p["raw"] != ""))
-    out = cut.select(key, F.posexplode(kept).alias("chunk_idx", "c"))
+    out = chunk_arrays(docs, how, text, key).select(key, F.posexplode("chunks").alias("chunk_idx", "c"))
     return out.select(key, "chunk_idx", "c.start", "c.len", F.col("c.raw").alias("text"))

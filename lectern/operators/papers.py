@@ -75,8 +75,9 @@ def numbered(records: DataFrame, src_ord: int) -> DataFrame:
 def first_wins(records: DataFrame, by: list[str]) -> DataFrame:
     """Per ``by`` and title key the first record by (src_ord, pos); records without title go."""
     keyed = records.withColumn("title_key", title_key(F.col("title"))).where("title_key <> ''")
-    order = W.partitionBy(*by, "title_key").orderBy("src_ord", "pos")
-    return keyed.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "title_key")
+    # An aggregation keeps one record per task and title before anything is shuffled, however common a title.
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in records.columns]), F.struct("src_ord", "pos"))
+    return keyed.groupBy(*by, "title_key").agg(first.alias("first")).select("first.*")
 
 
 def federated(records: DataFrame, limits: DataFrame, by: str = "query_id") -> DataFrame:
@@ -120,3 +121,15 @@ def source_error(source: Column, status: Column, reason: Column) -> Column:
         .when(F.lower(filled(reason)).contains("ssl"), F.concat(source, F.lit(": secure connection failed")))
         .otherwise(F.concat(source, F.lit(": "), filled(reason)))
     )
+
+
+def download_error(status: Column, reason: Column) -> Column:
+    """What to tell of a download that failed with an HTTP status, or before any."""
+    return (
+        F.when(status == 404, "the file is not at its source")
+        .when(status == 403, "the source refuses access to the file")
+        .when(status == 429, "the source limits downloads, try again later")
+        .when(status.isNotNull(), F.concat(F.lit("the download failed with HTTP "), status.cast("string")))
+        .when(F.upper(filled(reason)).contains("CERTIFICATE_VERIFY_FAILED"), "secure connection failed during the download")
+        .otherwise(F.concat(F.lit("the download failed: "), filled(reason)))
+    )

@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RETRYABLE = re.compile("超时|timeout|连接失败|connection|429|限流|502|503|504|网关", re.IGNORECASE)
+#: Calls that a task of a metered provider has open at once.
+CALLS_PER_TASK = 4
 
 
 class Provider(Protocol):
@@ -54,6 +56,8 @@ class OfflineProvider:
 
 @dataclass(frozen=True)
 class HttpProvider:
+    """Metered: flows bound how many calls are open at once."""
+
     base_url: str
     api_key: str
     model: str
@@ -63,14 +67,25 @@ class HttpProvider:
     max_tokens: int = 4000
     system: str = "You are an assistant for scholarly documents."
 
-    def __call__(self, task: str, prompt: str) -> str:
-        body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]}
-        request = urllib.request.Request(
+    metered = True
+
+    def _request(self, prompt: str, stream: bool) -> urllib.request.Request:
+        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+        body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": messages} | ({"stream": True} if stream else {})
+        return urllib.request.Request(
             f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(),
             {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"},
         )
+
+    def __call__(self, task: str, prompt: str) -> str:
+        request = self._request(prompt, False)
         return _with_retries(lambda: self._once(request), self.attempts)
 
+    def deltas(self, prompt: str) -> Iterator[str]:
+        """The pieces of one streamed reply as they come; one attempt."""
+        with urllib.request.urlopen(self._request(prompt, True), timeout=self.timeout) as reply:
+            yield from stream_deltas(reply)
+
     def _once(self, request: urllib.request.Request) -> str:
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
             raw = reply.read().decode("utf-8", "replace")
@@ -86,16 +101,79 @@ class HttpProvider:
 
 
 def _with_retries(call: Callable[[], str], attempts: int, cap: int = 8) -> str:
+    """Any failure is repeated, each time after a longer wait."""
     for attempt in range(attempts):
         try:
             return call()
-        except (urllib.error.URLError, TimeoutError, OSError, ValueError) as error:
+        except (urllib.error.URLError, TimeoutError, OSError, ValueError):
             if attempt + 1 == attempts:
                 raise
-            time.sleep(min(2 * (attempt + 1), cap) if RETRYABLE.search(str(error)) else 1)
+            time.sleep(min(2 * (attempt + 1), cap))
     raise AssertionError("attempts must be positive")
 
 
+def stream_deltas(lines) -> Iterator[str]:
+    """Texts of a provider's streamed lines: ``data:`` lines with JSON whose first choice has a delta with
+    content. Comments, blanks, the closing mark and what isn't JSON are skipped; a reply without any text
+    is an error."""
+    found = False
+    for line in lines:
+        line = (line.decode("utf-8") if isinstance(line, bytes) else line).strip()
+        data = line[5:].strip() if line.startswith("data:") else ""
+        if not data or data == "[DONE]":
+            continue
+        try:
+            choices = json.loads(data).get("choices") or []
+        except (ValueError, AttributeError):
+            continue
+        text = (choices[0].get("delta") or {}).get("content") if choices else None
+        if text:
+            found = True
+            yield str(text)
+    if not found:
+        raise ValueError("empty reply")
+
+
+def streamed(prompts: DataFrame, provider, attempts: int = 3, max_concurrency: int | None = None, pause: float = 2.0) -> DataFrame:
+    """request_id, event, attempt, seq, text: the pieces of each answer as they come, then ``done`` with no
+    text or ``error`` with the reason. A failed attempt is repeated, and its pieces count no more: readers
+    take those of the last attempt. ``prompts``: request_id, prompt, error; rows with an error or without
+    a prompt are that error. ``provider`` has ``deltas``."""
+
+    def events(request_id, prompt, refused) -> Iterator[tuple]:
+        if refused is not None or prompt is None:
+            yield request_id, "error", 1, 1, refused or "no prompt"
+            return
+        for attempt in range(1, attempts + 1):
+            seq = 0
+            try:
+                for text in provider.deltas(prompt):
+                    seq += 1
+                    yield request_id, "delta", attempt, seq, text
+                yield request_id, "done", attempt, seq + 1, ""
+                return
+            except Exception as e:  # as in reply_or_error
+                if attempt == attempts:
+                    yield request_id, "error", attempt, seq + 1, str(e) or type(e).__name__
+                else:
+                    time.sleep(min(pause * attempt, 8))
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in zip(frame["request_id"], frame["prompt"], frame["error"]):
+                rows = list(events(*row))
+                yield pd.DataFrame(rows, columns=["request_id", "event", "attempt", "seq", "text"])
+
+    spread = prompts if max_concurrency is None else prompts.repartition(max_concurrency)
+    kind = prompts.schema["request_id"].dataType.simpleString()
+    return spread.select("request_id", "prompt", "error").mapInPandas(fn, f"request_id {kind}, event string, attempt int, seq int, text string")
+
+
+def concurrency_of(provider: Provider, configured: int) -> int | None:
+    """How many calls may be open at once: only metered providers have a bound."""
+    return configured if getattr(provider, "metered", False) else None
+
+
 def reply_or_error(provider: Provider, task: str, prompt: str) -> tuple[str | None, str | None]:
     try:
         return provider(task, prompt), None
@@ -105,19 +183,23 @@ def reply_or_error(provider: Provider, task: str, prompt: str) -> tuple[str | No
 
 def answered(prompts: DataFrame, provider: Provider, max_concurrency: int | None = None) -> DataFrame:
     """Adds reply and error to rows with task and prompt; null prompts pass unanswered. A failed call is
-    data. For a metered provider, ``max_concurrency`` bounds how many tasks call it at once."""
+    data. ``max_concurrency`` bounds how many calls are open at once: so many tasks, with so many threads
+    each; without it, a task answers row by row."""
     names = prompts.columns
+    tasks = None if max_concurrency is None else -(-max_concurrency // CALLS_PER_TASK)
+    threads = 1 if tasks is None else max(1, max_concurrency // tasks)
+
+    def one(task: str, prompt: str | None) -> tuple[str | None, str | None]:
+        return (None, None) if prompt is None else reply_or_error(provider, task, prompt)
 
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies, errors = [], []
-            for task, prompt in zip(frame["task"], frame["prompt"]):
-                reply, error = (None, None) if prompt is None else reply_or_error(provider, task, prompt)
-                replies.append(reply)
-                errors.append(error)
-            yield frame[names].assign(reply=pd.array(replies, "string"), error=pd.array(errors, "string"))
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                done = list((map if threads == 1 else pool.map)(one, frame["task"], frame["prompt"]))
+                replies, errors = [r for r, _ in done], [e for _, e in done]
+                yield frame[names].assign(reply=pd.array(replies, "string"), error=pd.array(errors, "string"))
 
-    spread = prompts if max_concurrency is None else prompts.repartition(max_concurrency)
+    spread = prompts if tasks is None else prompts.repartition(tasks)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", reply string, error string"
     return spread.mapInPandas(fn, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WINDOWS, diagram_source, filled, is_retryable, window
-from lectern.operators.chunking import Chunking, chunks
+from lectern.operators.chunking import Chunking, chunk_arrays, chunks
 from lectern.operators.providers import Provider, answered, reply_or_error
 
 NAMES = ("summary", "quotes", "mindmap", "mermaid", "evaluation")
@@ -60,39 +60,47 @@ def summaries(docs: DataFrame, provider: Provider, how: Chunking = Chunking(), k
     return merged.select(key, reply.alias("reply"), F.coalesce("failed", "error").alias("error"))
 
 
-def streamed_summaries(docs: DataFrame, provider: Provider, how: Chunking = Chunking(), key: str = "doc_id") -> DataFrame:
-    """``summaries`` without a shuffle or state, so of streams too: the chunks of a text follow each other
-    in its partition, and its merge is asked when the last is answered. One text's calls are in turn."""
-    parts = chunks(docs, how, key=key).select(key, "chunk_idx", F.col("text").alias("prompt"))
+STREAMED = "seq int, name string, reply string, error string, char_count int"
 
-    def merged(k, replies: list[str], error: str | None) -> tuple:
+
+def streamed_replies(docs: DataFrame, provider: Provider, tasks: list[str], how: Chunking = Chunking(), key: str = "doc_id") -> DataFrame:
+    """(key, seq, name, reply, error, char_count) of each task of each document as they complete, then a
+    row ``done``, which alone has the text's length; without a shuffle or state, so of streams too. The prompts of a document follow each other in its
+    partition: its chunks first, whose merge is asked when the last is answered, then the windows."""
+    one = lambda task, prompt: F.struct(F.lit(task).alias("task"), prompt.alias("prompt"))
+    asked = F.concat(
+        F.transform("chunks", lambda c: one("summary", c["raw"])),
+        F.array(*[one(t, window(F.col("t"), t)) for t in tasks if t in WINDOWS], one("done", F.length("t").cast("string"))),
+    )
+    rows = chunk_arrays(docs, how, key=key).select(key, F.posexplode(asked).alias("at", "p")).select(key, "at", "p.task", "p.prompt")
+
+    def merged(replies: list[str], error: str | None) -> tuple[str | None, str | None]:
         if error is not None or len(replies) < 2:
-            return (k, None if error is not None else (replies or [NO_SUMMARY])[0], error)
-        return (k, *reply_or_error(provider, "summary", MERGE_RULE.join(replies)))
+            return None if error is not None else (replies or [NO_SUMMARY])[0], error
+        return reply_or_error(provider, "summary", MERGE_RULE.join(replies))
 
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def table(rows: list[tuple]) -> pd.DataFrame:
-            keys, replies, errors = zip(*rows)
-            return pd.DataFrame({key: pd.Series(keys), "reply": pd.array(replies, "string"), "error": pd.array(errors, "string")})
-
-        held = None
+        replies, error, seq = [], None, 0
         for frame in frames:
             done = []
-            for k, idx, prompt in zip(frame[key], frame["chunk_idx"], frame["prompt"]):
-                if idx == 0:
-                    if held is not None:
-                        done.append(merged(*held))
-                    held = (k, [], None)
-                reply, error = reply_or_error(provider, "summary", prompt)
-                if reply:
-                    held[1].append(reply)
-                held = (*held[:2], error if held[2] is None else held[2])
+            for k, at, task, prompt in zip(frame[key], frame["at"], frame["task"], frame["prompt"]):
+                if at == 0:
+                    replies, error, seq = [], None, 0
+                if task == "summary":
+                    reply, failed = reply_or_error(provider, task, prompt)
+                    replies += [reply] if reply else []
+                    error = failed if error is None else error
+                    continue
+                if seq == 0:
+                    seq = 1
+                    done.append((k, seq, "summary", *merged(replies, error), None))
+                seq += 1
+                done.append((k, seq, task, *((None, None, int(prompt)) if task == "done" else (*reply_or_error(provider, task, prompt), None))))
             if done:
-                yield table(done)
-        if held is not None:
-            yield table([merged(*held)])
+                keys, seqs, names, texts, errors, counts = zip(*done)
+                yield pd.DataFrame({key: pd.Series(keys), "seq": seqs, "name": names, "reply": pd.array(texts, "string"), "error": pd.array(errors, "string"), "char_count": pd.array(counts, "Int32")})
 
-    return parts.mapInPandas(fn, f"`{key}` {docs.schema[key].dataType.simpleString()}, reply string, error string")
+    return rows.mapInPandas(fn, f"`{key}` {docs.schema[key].dataType.simpleString()}, {STREAMED}")
 
 
 def analysed(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking(), key: str = "doc_id", concurrency: int | None = None) -> DataFrame:

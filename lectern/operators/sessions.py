@@ -7,6 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import EXCERPT, excerpt, filled
 from lectern.functions.urls import secure_name
@@ -73,16 +74,64 @@ def cleanup_due(last_run: Column, now: Column, interval: int = 600, force: bool
     return F.lit(force) | last_run.isNull() | (now >= last_run + F.make_dt_interval(secs=F.lit(interval)))
 
 
-def with_defaults(sessions: DataFrame) -> DataFrame:
-    """Fields that older versions lack, filled in on reading."""
-    empty = {"source_filename": F.lit(""), "document_content": F.lit(""), "qa_history": F.array()}
-    out = sessions
-    for name, value in empty.items():
-        if name in sessions.columns:
-            out = out.withColumn(name, F.coalesce(name, value.cast(sessions.schema[name].dataType)))
-    if {"document_content", "document_excerpt"} <= set(sessions.columns):
-        out = out.withColumn("document_excerpt", F.coalesce("document_excerpt", F.left("document_content", F.lit(EXCERPT))))
-    return out
+def _member(column: str, field: str, kind: str, sessions: DataFrame) -> Column:
+    """A field of a struct column that may lack it, or be missing itself."""
+    have = column in sessions.columns and field in sessions.schema[column].dataType.names
+    return (F.col(column)[field] if have else F.lit(None)).cast(kind)
+
+
+def with_defaults(sessions: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """All fields of SESSION_SCHEMA; those that older versions lack are filled in on reading: empty texts,
+    lists and structs, the excerpt from the content, times from ``generated_at`` or ``now``, a full life."""
+    schema = T.StructType.fromDDL(SESSION_SCHEMA)
+    held = {f.name: (F.col(f.name) if f.name in sessions.columns else F.lit(None)).cast(f.dataType) for f in schema.fields}
+    made = F.coalesce(held["generated_at"], now)
+    content = filled(held["document_content"])
+
+    def struct(name: str, empty: dict[str, Column]) -> Column:
+        kinds = {f.name: f.dataType.simpleString() for f in schema[name].dataType.fields}
+        return F.struct(*[F.coalesce(_member(name, k, kind, sessions), empty[k].cast(kind)).alias(k) if k in empty else _member(name, k, kind, sessions).alias(k) for k, kind in kinds.items()])
+
+    filled_in = {
+        "session_id": filled(held["session_id"]), "source_filename": filled(held["source_filename"]), "generated_at": made,
+        "created_at": F.coalesce(held["created_at"], made), "updated_at": F.coalesce(held["updated_at"], made), "expires_at": F.coalesce(held["expires_at"], expiry(now, ttl)),
+        "document_content": content, "document_excerpt": F.coalesce(held["document_excerpt"], F.left(content, F.lit(EXCERPT))),
+        "qa_history": F.coalesce(held["qa_history"], F.array().cast(schema["qa_history"].dataType)),
+        "paper_search": struct("paper_search", {"last_query": F.lit(""), "last_results": F.array()}),
+        "session_auth": struct("session_auth", {"token_hash": F.lit("")}), "analysis": struct("analysis", {"sections": F.create_map()}),
+    }
+    rest = [c for c in sessions.columns if c not in filled_in]
+    return sessions.select(*[c.alias(k) for k, c in filled_in.items()], *rest)
+
+
+def with_last_search(sessions: DataFrame, items: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Sessions with their last search kept: items (query_id, rank and the fields of a paper) and outcomes
+    (query_id, query), where query_id is the session's. Sessions that didn't search stay as they are.
+    The results of a query are bounded by the limit, so a session's fit one row."""
+    kind = T.DataType.fromDDL(f"array<{PAPER}>")
+    paper = F.struct(*[F.col(f.name) for f in kind.elementType.fields])
+    results = items.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", paper.alias("p")))), lambda x: x["p"]).alias("found"))
+    last = outcomes.select("query_id", F.col("query").alias("asked")).join(results, "query_id", "left")
+    joined = sessions.join(last, sessions["session_id"] == last["query_id"], "left")
+    kept = F.col("paper_search").withField("last_query", F.col("asked")).withField("last_results", F.coalesce("found", F.array().cast(kind)))
+    return joined.withColumn("paper_search", F.when(F.col("asked").isNotNull(), kept).otherwise(F.col("paper_search"))).select(*sessions.columns)
+
+
+def with_last_recommendation(sessions: DataFrame, items: DataFrame, outcomes: DataFrame, now: Column, model: str = "") -> DataFrame:
+    """Sessions with their last recommendation kept, from ``pipelines.recommended``."""
+    kind = T.DataType.fromDDL(f"array<{PAPER}>")
+    paper = F.struct(*[F.col(f.name) for f in kind.elementType.fields])
+    results = items.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", paper.alias("p")))), lambda x: x["p"]).alias("found"))
+    last = outcomes.where("query IS NOT NULL").join(results, "query_id", "left").select(
+        "query_id",
+        F.struct(
+            F.lit("").alias("original_query"), F.col("query").alias("query"), F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), filled(F.col("reason")).alias("reason"),
+            F.lit(model).alias("rewrite_model"), F.coalesce("found", F.array().cast(kind)).alias("items"), F.col("errors").alias("errors"), now.cast("string").alias("generated_at"),
+        ).alias("made"),
+    )
+    joined = sessions.join(last, sessions["session_id"] == last["query_id"], "left")
+    kept = F.col("paper_search").withField("last_recommendation", F.col("made"))
+    return joined.withColumn("paper_search", F.when(F.col("made").isNotNull(), kept).otherwise(F.col("paper_search"))).select(*sessions.columns)
 
 
 def session_text(content: Column, short: Column) -> Column:

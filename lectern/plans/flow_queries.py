@@ -12,7 +12,7 @@ from lectern.operators import papers, sections, sessions
 from lectern.operators.history import answer_prompt, history_blocks
 from lectern.operators.providers import OfflineProvider, answered
 from lectern.plans import pipelines
-from lectern.plans.text_queries import _compact, _trim, table
+from lectern.plans.text_queries import _compact, _trim, cleaned_sql, table, windows_sql
 from lectern.streaming import events as streams
 
 
@@ -89,8 +89,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RECORDS = f"""records AS (
-  SELECT doc_id % 20 AS query_id, doc_id AS pos, 1 AS src_ord, {_compact('text', 60)} AS title FROM documents
-  UNION ALL SELECT item_id % 20, item_id, 0, {_compact('text', 60)} FROM benchmark
+  SELECT doc_id % 20 AS query_id, doc_id AS pos, 1 AS src_ord, {_compact('text', 300)} AS title FROM documents
+  UNION ALL SELECT item_id % 20, item_id, 0, {_compact('text', 300)} FROM benchmark
 ), keyed AS (SELECT *, lower(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS k FROM records)"""
 
 
@@ -230,7 +230,7 @@ def latest_requests(spark, d):
 def stream_sections(spark, d):
     """The batch twin of the streamed analysis; a test holds the stream against it."""
     out = streams.section_events(table(spark, d, "documents").select("doc_id", "text"), OfflineProvider())
-    return out.select("doc_id", "name", "section.status", F.sha2("section.content", 256).alias("content"))
+    return out.select("doc_id", "seq", "name", "section.status", F.sha2("section.content", 256).alias("content"), "char_count")
 
 
 QUERIES = {f.__name__: f for f in [
@@ -244,6 +244,31 @@ _QA = """qa AS (SELECT session_id, string_agg('### Q' || n || chr(10)||chr(10) |
   SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n, coalesce(nullif(question, ''), '_No question text._') AS q, coalesce(nullif(answer, ''), '_No answer text._') AS a FROM turns) GROUP BY session_id)"""
 _GAPS = """gaps AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 lives AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM gaps)"""
+
+
+def _sentences(x: str) -> str:
+    marked = rf"regexp_replace({x}, '([.。!?])\s+', '\1' || chr(1), 'g')"
+    return rf"list_filter(list_transform(string_split_regex({marked}, '\x01|\n+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def _points(s: str) -> str:
+    return f"coalesce(array_to_string(list_transform({s}[1:3], lambda x: '- ' || x), chr(10)), '')"
+
+
+#: What the offline provider replies, as tables over docs (doc_id, t) and chunks.
+_REPLIES = rf"""
+, points AS (SELECT doc_id, chunk_idx, {_points(_sentences('text'))} AS p FROM chunks),
+joined AS (SELECT doc_id, count(*) FILTER (p <> '') AS n, coalesce(string_agg(p, chr(10)||chr(10)||'--- part ---'||chr(10)||chr(10) ORDER BY chunk_idx) FILTER (p <> ''), '') AS p FROM points GROUP BY doc_id),
+summary AS (SELECT doc_id, CASE WHEN n = 0 THEN 'no summary could be made' WHEN n = 1 THEN p ELSE {_points(_sentences('p'))} END AS reply FROM joined),
+found AS (SELECT doc_id, {_sentences('left(t, 15000)')} AS q, {_sentences('left(t, 10000)')} AS m, {_sentences('left(t, 4000)')} AS d FROM docs),
+picked AS (SELECT doc_id, q, list_sort(list_transform(list_sort(list_transform(range(1, len(q) + 1), lambda i: {{'l': -length(q[i]), 'i': i}}))[1:3], lambda x: x.i)) AS k FROM found),
+quotes AS (SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(k) + 1), lambda j: j || '. "' || q[k[j]] || '"'), chr(10)), '') AS reply FROM picked),
+heads AS (SELECT doc_id, list_transform(m[1:3], lambda x: array_to_string(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')[1:6], ' ')) AS h,
+  list_transform(d[1:3], lambda x: coalesce(nullif(regexp_replace(array_to_string(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')[1:6], ' '), '[^\p{{L}}\p{{N}}_ ]', '', 'g'), ''), 'part')) AS g FROM found),
+mindmap AS (SELECT doc_id, coalesce(array_to_string(list_transform(range(1, len(h) + 1), lambda j: CASE WHEN j = 1 THEN h[j] ELSE '  - ' || h[j] END), chr(10)), '') AS reply FROM heads),
+mermaid AS (SELECT doc_id, CASE WHEN len(g) > 0 THEN 'graph TD' || chr(10) || array_to_string(list_transform(range(1, len(g) + 1), lambda j: CASE WHEN j = 1 THEN '    A[' || g[j] || ']' ELSE '    A --> B' || (j - 1) || '[' || g[j] || ']' END), chr(10)) ELSE '' END AS reply FROM heads)
+"""
+_CLEAN = windows_sql(cleaned_sql("coalesce(text, '')")) + _REPLIES
 _RULE = "chr(10)||chr(10)||'---'||chr(10)||chr(10)"
 
 ORACLES = {
@@ -254,9 +279,9 @@ ORACLES = {
         || 'Answer briefly and exactly; for a follow-up keep the thread without repeating long passages.' AS prompt FROM documents d LEFT JOIN blocks ON session_id = doc_id)
         SELECT session_id, sha256(prompt) AS sha256, CAST(length(prompt) AS INTEGER) AS chars FROM p""",
     "session_markdown": f"WITH {_TURNS}, {_QA} " + f"""SELECT doc_id AS session_id, sha256('# Session report'||{_NL}||{_NL}||'## Session'||{_NL}||{_NL}||'| Item | Value |'||{_NL}||'| --- | --- |'||{_NL}||'| Source file | '||source||' |'||{_NL}||'| Session ID | '||doc_id||' |'||{_NL}||'| Character count | '||n_chars||' |'
-        ||{_RULE}||'## Overview'||{_NL}||{_NL}||left(text, 50)||{_RULE}||'## Citations'||{_NL}||{_NL}||'_No citations generated._'||{_RULE}||'## Structure'||{_NL}||{_NL}||CASE WHEN doc_id % 2 = 0 THEN 'tree' ELSE '_No structure generated._' END
+        ||{_RULE}||'## Overview'||{_NL}||{_NL}||coalesce(nullif(text, ''), '_No summary generated._')||{_RULE}||'## Citations'||{_NL}||{_NL}||'_No citations generated._'||{_RULE}||'## Structure'||{_NL}||{_NL}||CASE WHEN doc_id % 2 = 0 THEN 'tree' ELSE '_No structure generated._' END
         ||CASE WHEN doc_id % 3 = 0 THEN {_RULE}||'## Diagram'||{_NL}||{_NL}||'```mermaid'||{_NL}||'graph TD'||{_NL}||'```' ELSE '' END||coalesce({_RULE}||'## Questions'||{_NL}||{_NL}||qa, '')) AS sha256 FROM documents LEFT JOIN qa ON session_id = doc_id""",
-    "report_markdown": f"""SELECT doc_id, sha256('# Analysis report'||{_NL}||{_NL}||'> Generated: 2024-05-06 07:08:09'||{_NL}||'> Source: '||source||{_NL}||'> Elapsed: 1.5s'||{_RULE}||'## Summary'||{_NL}||{_NL}||left(text, 99)||{_RULE}||'## Quotes'||{_NL}||{_NL}||lang||{_RULE}||'## Structure'||{_NL}||{_NL}||'m'||{_RULE}
+    "report_markdown": f"""SELECT doc_id, sha256('# Analysis report'||{_NL}||{_NL}||'> Generated: 2024-05-06 07:08:09'||{_NL}||'> Source: '||source||{_NL}||'> Elapsed: 1.5s'||{_RULE}||'## Summary'||{_NL}||{_NL}||coalesce(text, '')||{_RULE}||'## Quotes'||{_NL}||{_NL}||lang||{_RULE}||'## Structure'||{_NL}||{_NL}||'m'||{_RULE}
         ||'## Evaluation'||{_NL}||{_NL}||'e'||{_NL}||{_NL}||'---'||{_NL}||'## About'||{_NL}||{_NL}||'- Version: 1'||{_NL}||'- Characters: '||n_chars||{_NL}) AS sha256 FROM documents""",
     "turn_numbers": f"WITH {_TURNS}, {_QA} SELECT session_id, CAST(length(qa) AS INTEGER) AS chars FROM qa",
     "dedup_titles": f"WITH {_RECORDS} SELECT src_ord, pos, title FROM keyed WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY src_ord, pos) = 1",
@@ -265,11 +290,20 @@ ORACLES = {
         one AS (SELECT * FROM cut WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY src_ord, pos) = 1),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src_ord, pos) AS rank FROM one)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, src_ord, pos, title FROM ranked WHERE rank <= top""",
-    "paper_cards": f"""SELECT coalesce(nullif({_compact('left(text, 20)', 300)}, ''), 'Untitled') AS title, lang AS authors, 'No abstract' AS abstract,
+    "paper_cards": f"""SELECT coalesce(nullif({_compact('text', 300)}, ''), 'Untitled') AS title, lang AS authors, 'No abstract' AS abstract,
         'Semantic Scholar|' || (1990 + doc_id % 40) || '|' || CASE WHEN doc_id % 2 = 0 THEN 'Venue' ELSE 'Semantic Scholar' END AS tags, source AS action_key FROM documents""",
     "section_status": f"WITH {_OUTCOMES} SELECT * FROM full_",
     "section_pivot": f"WITH {_OUTCOMES} SELECT doc_id, " + ", ".join(f"max(content) FILTER (name = '{n}') AS {n}" for n in sections.NAMES) + " FROM full_ GROUP BY doc_id",
     "all_failed_rule": f"WITH {_OUTCOMES} SELECT doc_id, min(error) FILTER (name = 'summary') AS error FROM full_ GROUP BY doc_id HAVING count(*) FILTER (status = 'failed' AND name IN ('summary','quotes','mindmap')) = 3",
+    "offline_summary": windows_sql() + _REPLIES + "SELECT doc_id, reply, CAST(NULL AS VARCHAR) AS error FROM summary",
+    "offline_quotes": windows_sql("text") + _REPLIES + "SELECT doc_id, reply, CAST(NULL AS VARCHAR) AS error FROM quotes",
+    "analyse_documents": _CLEAN + """SELECT docs.doc_id, CAST(n AS INTEGER) AS char_count, summary.reply AS summary, quotes.reply AS quotes, mindmap.reply AS mindmap, mermaid.reply AS mermaid,
+        '' AS evaluation, CAST(NULL AS VARCHAR) AS error FROM docs JOIN summary USING (doc_id) JOIN quotes USING (doc_id) JOIN mindmap USING (doc_id) JOIN mermaid USING (doc_id)""",
+    "stream_sections": _CLEAN + """, events AS (
+        SELECT doc_id, 1 AS seq, 'summary' AS name, reply FROM summary UNION ALL SELECT doc_id, 2, 'quotes', reply FROM quotes UNION ALL SELECT doc_id, 3, 'mindmap', reply FROM mindmap)
+        SELECT doc_id, seq, name, CASE WHEN reply = '' THEN 'empty' ELSE 'success' END AS status, sha256(reply) AS content, CAST(NULL AS INTEGER) AS char_count FROM events
+        UNION ALL SELECT doc_id, 4, 'mermaid', 'disabled', sha256(''), NULL FROM docs UNION ALL SELECT doc_id, 5, 'evaluation', 'disabled', sha256(''), NULL FROM docs
+        UNION ALL SELECT doc_id, 6, 'done', NULL, NULL, CAST(n AS INTEGER) FROM docs""",
     "session_ttl_windows": f"WITH {_GAPS} SELECT user_id AS session_id, min(ts) AS first_write, max(ts) AS last_write, max(ts) + INTERVAL 24 HOUR AS expires_at, count(*) AS n_writes FROM lives GROUP BY user_id, life",
     "session_window_counts": f"WITH {_GAPS} SELECT user_id AS session_id, count(DISTINCT life) AS lives, count(*) AS writes FROM lives GROUP BY user_id",
     "latest_session": "SELECT user_id AS session_id, ts AS updated_at, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -280,7 +314,7 @@ ORACLES = {
     "delta_accumulate": """WITH d AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS attempt, event_id, left(event_type, 2) AS text FROM events),
         n AS (SELECT * FROM d QUALIFY attempt = max(attempt) OVER (PARTITION BY user_id))
         SELECT user_id AS request_id, CASE WHEN user_id % 4 = 0 THEN 'final' ELSE string_agg(text, '' ORDER BY event_id) END AS answer FROM n GROUP BY user_id""",
-    "completion_order": """SELECT user_id AS request_id, CAST(seq AS INTEGER) AS seq, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE seq <= 5""",
+    "completion_order": """SELECT user_id AS request_id, CAST(seq AS INTEGER) AS seq, 'event: ' || event_type || chr(10) || 'data: ' || coalesce(props, '{}') || chr(10) || chr(10) AS frame
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)""",
     "latest_requests": "SELECT user_id AS client_id, max(event_id) AS request_id FROM events GROUP BY user_id",
 }

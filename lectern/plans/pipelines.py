@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from lectern.functions.render import analysis_report
 from lectern.functions.text import cleaned, compacted, excerpt, filled, json_object, window
 from lectern.operators.chunking import Chunking
 from lectern.operators.history import ask_prompts
-from lectern.operators.papers import federated
-from lectern.operators.providers import Provider, answered
+from lectern.operators.papers import clamped_limit, federated, source_error
+from lectern.operators.providers import Provider, answered, concurrency_of, streamed
 from lectern.operators.sections import analysed, results
-from lectern.operators.sessions import validated
+from lectern.operators.sessions import session_text, validated
+from lectern.streaming.events import section_events
 
 REWRITE = "struct<original_query:string,rewritten_query:string,topics:array<string>,why:string>"
 REWRITE_TASK = (
@@ -24,11 +27,19 @@ REWRITE_TASK = (
 
 
 def analyse(docs: DataFrame, provider: Provider, settings: Settings = Settings(), mermaid: bool = False, evaluation: bool = False) -> DataFrame:
-    """Per document: sections, char_count, error. Texts are cleaned once; tasks that are off cost nothing."""
-    clean = docs.withColumn("text", cleaned(F.col("text")))
+    """Per document: sections, char_count, error. Tasks that are off cost nothing; a metered provider is
+    called so often at once as the settings say. One pass over the texts: all prompts of a document
+    follow each other in its partition, and only replies are shuffled. With a metered provider chunks and
+    windows are spread over its open calls instead, and joined again."""
     how = Chunking(settings.chunk_size, settings.overlap)
-    wide = results(analysed(clean, provider, mermaid, evaluation, how))
-    return clean.select("doc_id", F.length("text").alias("char_count")).join(wide, "doc_id")
+    open_calls = concurrency_of(provider, settings.max_concurrency)
+    clean = docs.withColumn("text", cleaned(F.col("text")))
+    if open_calls is not None:
+        wide = results(analysed(clean, provider, mermaid, evaluation, how, concurrency=open_calls))
+        return clean.select("doc_id", F.length("text").alias("char_count")).join(wide, "doc_id")
+    events = section_events(docs, provider, mermaid, evaluation, how)
+    counts = events.where("name = 'done'").select("doc_id", "char_count")
+    return counts.join(results(events.where("name <> 'done'")), "doc_id")
 
 
 def reports(analyses: DataFrame, generated_at: Column, evaluation: bool = False) -> DataFrame:
@@ -37,13 +48,28 @@ def reports(analyses: DataFrame, generated_at: Column, evaluation: bool = False)
     return good.select("doc_id", analysis_report(good, __version__, generated_at, evaluation).alias("markdown"))
 
 
-def ask(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provider: Provider) -> DataFrame:
-    """request_id, answer, error. ``requests``: request_id, session_id, token, question; ``sessions``:
-    session_id, token_hash, document."""
+def _asked(requests: DataFrame, sessions: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that may not ask (request_id, answer, error), and the prompts of the others."""
     checked = validated(requests, sessions).where("error IS NOT NULL").select("request_id", F.lit(None).cast("string").alias("answer"), "error")
     passed = requests.join(checked.select("request_id"), "request_id", "left_anti")
-    prompts = ask_prompts(passed, sessions.select("session_id", "document"), turns)
-    replies = answered(prompts.select("request_id", F.lit("answer").alias("task"), "prompt", F.col("error").alias("refused")), provider)
+    return checked, ask_prompts(passed, sessions.select("session_id", "document"), turns)
+
+
+def ask_stream(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provider, settings: Settings = Settings()) -> DataFrame:
+    """``ask`` as events (request_id, event, attempt, seq, text): pieces of answers as they come, then
+    ``done`` or ``error``; ``streaming.answers_stream`` puts them together."""
+    checked, prompts = _asked(requests, sessions, turns)
+    refused = checked.select("request_id", F.lit(None).cast("string").alias("prompt"), "error")
+    both = refused.unionByName(prompts.select("request_id", "prompt", "error"))
+    return streamed(both, provider, settings.max_retries, concurrency_of(provider, settings.max_concurrency))
+
+
+def ask(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provider: Provider, settings: Settings = Settings()) -> DataFrame:
+    """request_id, answer, error. ``requests``: request_id, session_id, token, question; ``sessions``:
+    session_id, token_hash, document."""
+    checked, prompts = _asked(requests, sessions, turns)
+    open_calls = concurrency_of(provider, settings.max_concurrency)
+    replies = answered(prompts.select("request_id", F.lit("answer").alias("task"), "prompt", F.col("error").alias("refused")), provider, open_calls)
     return checked.unionByName(replies.select("request_id", F.col("reply").alias("answer"), F.coalesce("refused", "error").alias("error")))
 
 
@@ -74,3 +100,40 @@ def recommendation_queries(sessions: DataFrame, query: str = "papers closely rel
 def with_reason(items: DataFrame, meta: DataFrame) -> DataFrame:
     """Each recommended item with its query's shared reason."""
     return items.join(meta.select("query_id", "reason"), "query_id", "left")
+
+
+def search_errors(replies: DataFrame) -> DataFrame:
+    """(query_id, errors): a line for each source that failed. ``replies``: query_id, source, status, reason,
+    of the failed calls only."""
+    line = source_error(F.col("source"), F.col("status"), F.col("reason"))
+    return replies.groupBy("query_id").agg(F.array_sort(F.collect_list(line)).alias("errors"))
+
+
+def searched(queries: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(items, outcomes) of ``queries`` (query_id, query, limit). items: ranked records; outcomes: query_id,
+    query, errors for every query, blank ones with the error alone and no call. ``fetch`` takes queries
+    with clamped limits and gives the records of all sources and their failed calls (as ``search_errors``
+    reads them)."""
+    clean = queries.select("query_id", compacted(F.col("query"), 240).alias("query"), clamped_limit(F.col("limit")).alias("limit"))
+    records, failed = fetch(clean.where("query <> ''"))
+    errors = F.when(F.col("query") == "", F.array(F.lit("empty query"))).otherwise(F.coalesce("errors", F.array().cast("array<string>")))
+    outcomes = clean.join(search_errors(failed), "query_id", "left").select("query_id", "query", errors.alias("errors"))
+    return federated(records, clean.select("query_id", F.col("limit").cast("string").alias("limit"))), outcomes
+
+
+def recommended(sessions: DataFrame, provider: Provider, fetch: Callable[[DataFrame], tuple[DataFrame, DataFrame]], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(items, outcomes) per session (session_id, document_content, document_excerpt): its text makes a
+    query, a provider rewrites it, the search runs, and each item has the query's reason. outcomes:
+    query_id, query, topics, reason, errors; a session without text, or whose rewriting failed, has no items."""
+    held = sessions.select("session_id", session_text(F.col("document_content"), F.col("document_excerpt")).alias("document"))
+    asked = rewrite_prompts(recommendation_queries(held.where("document <> ''")))
+    replies = answered(asked.select("query_id", "task", "prompt"), provider, concurrency_of(provider, settings.max_concurrency))
+    made = rewritten(replies.select("query_id", "reply")).withColumnRenamed("error", "unread").join(replies.select("query_id", F.col("error").alias("failed")), "query_id")
+    good = made.where("failed IS NULL AND unread IS NULL")
+    items, found = searched(good.select("query_id", "query", F.lit(settings.recommendation_limit).alias("limit")), fetch)
+    meta = made.select("query_id", "query", "topics", "reason", F.coalesce("failed", "unread").alias("error"))
+    empty = held.where("document = ''").select(F.col("session_id").alias("query_id"), F.lit("no document").alias("error"))
+    whole = meta.unionByName(empty, allowMissingColumns=True).join(found.select("query_id", "errors"), "query_id", "left")
+    outcomes = whole.select("query_id", "query", "topics", "reason", F.coalesce(F.array_compact(F.array("error")), F.array().cast("array<string>")).alias("own"), "errors")
+    outcomes = outcomes.select("query_id", "query", "topics", "reason", F.concat("own", F.coalesce("errors", F.array().cast("array<string>"))).alias("errors"))
+    return with_reason(items, meta.select("query_id", "reason")), outcomes

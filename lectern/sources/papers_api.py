@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_public_http, looks_like_html, type_extension
-from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, from_atom, from_scholar
+from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_inner, is_public_http, looks_like_html, type_extension
+from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, download_error, from_atom, from_scholar
 
 SCHOLAR_URL = "https://api.semanticscholar.org/graph/v1/paper/search"
 ATOM_URL = "http://export.arxiv.org/api/query"
@@ -86,6 +86,18 @@ def atom_records(replies: DataFrame, src_ord: int = 1) -> DataFrame:
     return from_atom(items).withColumn("src_ord", F.lit(src_ord))
 
 
+def live_sources(timeout: int = 20, attempts: int = 3, api_key: str = ""):
+    """The two sources as ``pipelines.searched`` fetches them: records, and failed calls by source."""
+
+    def fetch(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        one, two = fetched(queries, "scholar", timeout, attempts, api_key), fetched(queries, "atom", timeout, attempts)
+        records = scholar_records(one).unionByName(atom_records(two))
+        failed = one.withColumn("source", F.lit("Semantic Scholar")).unionByName(two.withColumn("source", F.lit("arXiv")))
+        return records, failed.where("body IS NULL").select("query_id", "source", "status", "reason")
+
+    return fetch
+
+
 def staged(spark: SparkSession, path: str) -> DataFrame:
     """Replies kept as files named <query_id>.json or .xml."""
     files = spark.read.format("binaryFile").load(path)
@@ -99,6 +111,64 @@ def import_candidates(papers: DataFrame) -> DataFrame:
     return each.withColumn("refused", refused)
 
 
+class _Guarded(urllib.request.HTTPRedirectHandler):
+    """Redirects only lead to public http(s) addresses, as the first address had to."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        parts = urllib.parse.urlparse(newurl)
+        name = (parts.hostname or "").lower()
+        if parts.scheme not in ("http", "https") or not name or name in ("localhost", "localhost.localdomain") or is_inner(name):
+            raise ValueError("redirected to an address that is not public")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def capped(reply, limit: int, step: int = 64 * 1024) -> bytes:
+    """A reply's bytes by chunks; what is larger than ``limit`` or empty raises."""
+    parts, total = [], 0
+    while part := reply.read(step):
+        total += len(part)
+        if total > limit:
+            raise ValueError("larger than 16 MiB")
+        parts.append(part)
+    if not total:
+        raise ValueError("empty file")
+    return b"".join(parts)
+
+
+def downloaded(candidates: DataFrame, timeout: int = 30, limit: int = MAX_FILE_BYTES, key: str = "paper_id", open_url=None) -> DataFrame:
+    """(key, ord, link, content_type, disposition, content, error) of ``import_candidates``, each address
+    tried in a task. Refused ones stay errors; a file is held up to ``limit`` bytes."""
+    kind = candidates.schema[key].dataType.simpleString()
+
+    def opened(link: str):
+        opener = urllib.request.build_opener(_Guarded(), urllib.request.HTTPSHandler(context=trusted_context()))
+        return opener.open(urllib.request.Request(link, headers={"User-Agent": "lectern"}), timeout=timeout)
+
+    def one(link: str, refused: str | None) -> tuple:
+        if refused is not None:
+            return link, None, None, None, None, refused
+        try:
+            with (open_url or opened)(link) as reply:
+                ctype = reply.headers.get("Content-Type") or ""
+                if ctype.lower().startswith("text/html"):
+                    raise ValueError("a web page, not a file")
+                return reply.geturl() or link, ctype, reply.headers.get("Content-Disposition"), capped(reply, limit), None, None
+        except urllib.error.HTTPError as e:
+            return link, None, None, None, e.code, str(e.reason)
+        except Exception as e:  # a file that can't be had is an error row
+            return link, None, None, None, None, str(e) or type(e).__name__
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, ord_, link, refused in zip(f[key], f["ord"], f["link"], f["refused"]):
+                row = pd.DataFrame([(k, ord_, *one(link, refused))], columns=[key, "ord", "link", "content_type", "disposition", "content", "status", "reason"])
+                yield row.astype({"status": "Int64", "content_type": "string", "disposition": "string", "reason": "string"})
+
+    got = candidates.select(key, "ord", "link", "refused").mapInPandas(fn, f"`{key}` {kind}, ord int, link string, content_type string, disposition string, content binary, status long, reason string")
+    own = F.when(F.col("status").isNotNull() | F.upper("reason").contains("CERTIFICATE"), download_error(F.col("status"), F.col("reason"))).otherwise(F.col("reason"))
+    return got.select(key, "ord", "link", "content_type", "disposition", "content", own.alias("error"))
+
+
 def usable_download(reply: DataFrame) -> DataFrame:
     """Replies (link, content_type, content) with ``error`` where they can't be a document."""
     ext = F.coalesce(F.nullif(F.lower(F.regexp_extract("link", r"(?i)\.(?:txt|pdf|docx|pptx)(?=$|[?#])", 0)), F.lit("")), F.nullif(type_extension(F.col("content_type")), F.lit("")))

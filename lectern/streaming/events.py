@@ -12,19 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.functions.sse import frame
 from lectern.functions.text import cleaned, diagram_source
 from lectern.operators.chunking import Chunking
-from lectern.operators.providers import Provider, answered
-from lectern.operators.sections import enabled_tasks, outcome, streamed_summaries, window_prompts
+from lectern.operators.providers import Provider
+from lectern.operators.sections import NAMES, enabled_tasks, outcome, streamed_replies
 
 
 def section_events(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking()) -> DataFrame:
-    """One event row per task of each document of a stream (or table), as tasks complete: doc_id, name,
-    section, as ``pipelines.analyse`` has them. Texts are cleaned, and the summary reads all chunks.
-    Stateless, so it runs on unbounded input."""
+    """(doc_id, seq, name, section, char_count), the events of each document of a stream (or table) in the order of
+    ``seq``: its sections as they complete, then those that are off, then ``done``, which has the
+    cleaned text's length and no section.
+    Texts are cleaned, and the summary reads all chunks. Stateless, so it runs on unbounded input."""
+    tasks = enabled_tasks(mermaid, evaluation)
     clean = docs.select("doc_id", cleaned(F.col("text")).alias("text"))
-    done = streamed_summaries(clean, provider, how).select("doc_id", F.lit("summary").alias("name"), "reply", "error")
-    other = answered(window_prompts(clean, enabled_tasks(mermaid, evaluation)), provider).select("doc_id", F.col("task").alias("name"), "reply", "error")
+    replies = streamed_replies(clean, provider, tasks, how)
     reply = F.when(F.col("name") == "mermaid", diagram_source(F.col("reply"))).otherwise(F.col("reply"))
-    return done.unionByName(other).select("doc_id", "name", outcome(F.lit(True), reply, F.col("error")).alias("section"))
+    off = [n for n in NAMES if n not in tasks]
+    is_done = F.col("name") == "done"
+    none = F.lit(None).cast("int")
+    event = lambda seq, name, result, n=none: F.struct(seq.cast("int").alias("seq"), name.alias("name"), result.alias("section"), n.alias("char_count"))
+    result = outcome(F.lit(True), reply, F.col("error"))
+    last = F.array(
+        *[event(F.col("seq") + k, F.lit(n), outcome(F.lit(False), reply, F.col("error"))) for k, n in enumerate(off)],
+        event(F.col("seq") + len(off), F.lit("done"), F.when(F.lit(False), result), F.col("char_count")),
+    )
+    return replies.select("doc_id", F.inline(F.when(is_done, last).otherwise(F.array(event(F.col("seq"), F.col("name"), result)))))
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -48,7 +58,11 @@ def completed(deltas: DataFrame, finals: DataFrame) -> DataFrame:
     return joined.select("request_id", F.coalesce(F.nullif("answer", F.lit("")), "built", F.lit("")).alias("answer"))
 
 
-_STATE = "parts array<struct<attempt:int,seq:int,text:string>>"
+_STATE = "parts array<struct<attempt:int,seq:int,text:string>>, newest long"
+
+
+#: Silence after which an open request is forgotten, in milliseconds.
+SILENCE = 3_600_000
 
 
 def _gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,16 +70,17 @@ def _gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
         return
     held = [tuple(p) for p in state.get[0]] if state.exists else []
-    done = None
+    done, newest = None, state.get[1] if state.exists else 0
     for f in frames:
+        newest = max(newest, int(f["at"].max().timestamp() * 1000))
         for r in f.itertuples():
             if r.event == "delta":
                 held.append((int(r.attempt), int(r.seq), r.text))
             elif r.event in ("done", "error"):
                 done = r
     if done is None:
-        state.update((held,))
-        state.setTimeoutDuration(3_600_000)
+        state.update((held, newest))
+        state.setTimeoutTimestamp(max(newest + SILENCE, state.getCurrentWatermarkMs() + 1))
         return
     if state.exists:
         state.remove()
@@ -75,11 +90,12 @@ def _gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame({"request_id": [key[0]], "status": [done.event], "answer": [None if failed else (done.text or built)]})
 
 
-def answers_stream(events: DataFrame) -> DataFrame:
+def answers_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """request_id, status, answer once a request's ``done`` or ``error`` arrives. ``events``:
-    request_id, event, attempt, seq, text. State per open request; an hour's silence drops it."""
-    return events.groupBy("request_id").applyInPandasWithState(
-        _gather, "request_id long, status string, answer string", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    request_id, event, attempt, seq, text, at. State per open request; by the events' own time ``at``, an
+    hour's silence drops it."""
+    return events.withWatermark("at", late).groupBy("request_id").applyInPandasWithState(
+        _gather, "request_id long, status string, answer string", _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

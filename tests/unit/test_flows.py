@@ -86,6 +86,21 @@ def failing(task, prompt):
     return OfflineProvider()(task, prompt)
 
 
+class Metered:
+    """A metered provider spreads its prompts over its open calls."""
+
+    metered = True
+
+    def __call__(self, task, prompt):
+        return failing(task, prompt)
+
+    def deltas(self, prompt):
+        if "bad" in prompt:
+            yield "half"
+            raise ValueError("HTTP 503")
+        yield from ("an", "swer")
+
+
 def test_analysis_and_failures(spark):
     docs = spark.createDataFrame([(1, "One two. Three four.\n" * 300), (2, "bad " * 1200), (3, "")], "doc_id long, text string")
     out = {r.doc_id: r for r in pipelines.analyse(docs, failing, mermaid=True).collect()}
@@ -122,7 +137,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     out = events.section_events(stream, OfflineProvider())
     events.run_available(out, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
-    rows = lambda df: sorted((r.doc_id, r.name, r.section) for r in df.collect())
+    rows = lambda df: sorted((r.doc_id, r.seq, r.name, str(r.section), r.char_count) for r in df.collect())
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(events.section_events(docs, OfflineProvider()))
 
 
@@ -133,20 +148,121 @@ def test_stream_equals_analysis_of_long_texts(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     out = events.section_events(stream, failing, mermaid=True)
     events.run_available(out, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"))
-    got = {(r.doc_id, r.name): r.section for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {(r.doc_id, r.name): r.section for r in rows}
     wide = pipelines.analyse(docs, failing, mermaid=True).collect()
-    assert got == {(r.doc_id, n): s for r in wide for n, s in r.sections.items() if s.status != "disabled"}
-    assert got[2, "summary"].status == "failed" and len(got) == 24
+    want = {(r.doc_id, n): s for r in wide for n, s in r.sections.items()}
+    assert got == want | {(r.doc_id, "done"): None for r in wide}
+    assert got[2, "summary"].status == "failed" and len(rows) == 36
+    assert all(sorted(r.seq for r in rows if r.doc_id == d) == [1, 2, 3, 4, 5, 6] for d in range(1, 7))
+    assert {r.doc_id: r.char_count for r in rows if r.name == "done"} == {r.doc_id: r.char_count for r in wide}
+    metered = pipelines.analyse(docs, Metered(), mermaid=True).collect()
+    assert {(r.doc_id, n): s for r in metered for n, s in r.sections.items()} == want
+
+
+def _finish(query, seconds=90):
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise AssertionError("the stream does not end")
 
 
 def test_answers_by_state(spark, tmp_path):
+    at = datetime(2024, 1, 2, 3, 0, 0)
     log = [(1, "delta", 1, 1, "bad"), (1, "delta", 2, 1, "a"), (1, "delta", 2, 2, "b"), (1, "done", 2, 3, ""), (2, "delta", 1, 1, "x"), (2, "error", 1, 2, "HTTP"), (3, "delta", 1, 1, "open"), (4, "done", 1, 1, "whole")]
-    df = spark.createDataFrame(log, "request_id long, event string, attempt int, seq int, text string")
-    df.write.parquet(str(tmp_path / "in"))
-    out = events.answers_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    query = out.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r.request_id, r.status, r.answer) for r in spark.table("answers").collect()} == {(1, "done", "ab"), (2, "error", None), (4, "done", "whole")}
+    schema = "request_id long, event string, attempt int, seq int, text string, at timestamp"
+
+    def run(rows, when):
+        spark.createDataFrame([(*r, when) for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        out = events.answers_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        write = lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out"))
+        _finish(out.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        return {(r.request_id, r.status, r.answer) for r in spark.read.schema("request_id long, status string, answer string").parquet(str(tmp_path / "out")).collect()}
+
+    first = {(1, "done", "ab"), (2, "error", None), (4, "done", "whole")}
+    assert run(log, at) == first
+    # Three hours later request 3 is forgotten: only what comes then is in its answer.
+    assert run([(9, "delta", 1, 1, "z")], at.replace(hour=6)) == first
+    assert run([(3, "delta", 1, 2, "late"), (3, "done", 1, 3, "")], at.replace(hour=6)) == first | {(3, "done", "late")}
+
+
+def test_streamed_answers(spark):
+    from lectern.operators.providers import stream_deltas, streamed
+
+    lines = [b": hi", b"", b'data: {"choices":[{"delta":{"role":"x"}}]}', b'data: {"choices":[{"delta":{"content":"a"}}]}', b"data: not json", b'data:{"choices":[]}', 'data: {"choices":[{"delta":{"content":"数"}}]}', b"data: [DONE]"]
+    assert list(stream_deltas(lines)) == ["a", "数"]
+    try:
+        list(stream_deltas([b"data: [DONE]"]))
+        raise AssertionError
+    except ValueError as e:
+        assert str(e) == "empty reply"
+    rows = [(1, "q", None), (2, "bad", None), (3, None, "no document")]
+    got = streamed(spark.createDataFrame(rows, "request_id long, prompt string, error string"), Metered(), attempts=2, max_concurrency=2, pause=0).collect()
+    by = {k: sorted(tuple(r)[1:] for r in got if r.request_id == k) for k in (1, 2, 3)}
+    assert by[1] == [("delta", 1, 1, "an"), ("delta", 1, 2, "swer"), ("done", 1, 3, "")]
+    assert by[2] == [("delta", 1, 1, "half"), ("delta", 2, 1, "half"), ("error", 2, 2, "HTTP 503")] and by[3] == [("error", 1, 1, "no document")]
+
+
+def test_search_and_recommendations(spark):
+    def fetch(queries):
+        one = papers_api.scholar_records(queries.select("query_id", F.lit(JSON).alias("body")))
+        two = papers_api.atom_records(queries.where("query <> 'down'").select("query_id", F.lit(ATOM).alias("body")))
+        failed = queries.where("query = 'down'").select("query_id", F.lit("arXiv").alias("source"), F.lit(429).cast("long").alias("status"), F.lit(None).cast("string").alias("reason"))
+        return one.unionByName(two), failed
+
+    queries = spark.createDataFrame([(1, " a  b ", "5"), (2, " ", None), (3, "down", "99")], "query_id long, query string, limit string")
+    items, outcomes = pipelines.searched(queries, fetch)
+    assert {r.query_id: (r.query, r.errors) for r in outcomes.collect()} == {1: ("a b", []), 2: ("", ["empty query"]), 3: ("down", ["arXiv: rate limited, try again later"])}
+    assert {(r.query_id, r.rank, r.title) for r in items.collect()} == {(1, 1, "a B"), (1, 2, "c"), (3, 1, "a B")}
+
+    def rewrites(task, prompt):
+        return '{"rewritten_query":"q","topics":["t"],"why":"since"}' if "good" in prompt else "no json"
+
+    held = spark.createDataFrame([("s1", "good text", None), ("s2", "", ""), ("s3", None, "odd")], "session_id string, document_content string, document_excerpt string")
+    text_ids = lambda q: tuple(x.withColumn("query_id", F.col("query_id").cast("string")) for x in fetch(q))
+    items, outcomes = pipelines.recommended(held, rewrites, text_ids)
+    assert {(r.query_id, r.rank, r.title, r.reason) for r in items.collect()} == {("s1", 1, "a B", "since"), ("s1", 2, "c", "since")}
+    got = {r.query_id: (r.query, r.topics, r.errors) for r in outcomes.collect()}
+    assert got == {"s1": ("q", ["t"], []), "s2": (None, None, ["no document"]), "s3": (None, None, ["no query in reply"])}
+    now = F.lit(datetime(2024, 1, 2, 3, 4, 5)).cast("timestamp_ntz")
+    full = sessions.with_defaults(held.withColumn("extra", F.lit(1)), now)
+    r = full.where("session_id = 's1'").first()
+    assert set(full.columns) == {f.name for f in sessions.T.StructType.fromDDL(sessions.SESSION_SCHEMA).fields} | {"extra"}
+    assert (r.qa_history, r.paper_search.last_query, r.session_auth.token_hash, r.analysis.sections, r.document_excerpt) == ([], "", "", {}, "good text")
+    assert (r.expires_at - r.created_at).total_seconds() == 86400
+    kept = sessions.with_last_recommendation(sessions.with_last_search(full, items, outcomes.where("query IS NOT NULL")), items, outcomes, now)
+    got = {r.session_id: r.paper_search for r in kept.collect()}
+    assert [p.title for p in got["s1"].last_results] == ["a B", "c"] and got["s1"].last_recommendation.reason == "since" and got["s2"].last_query == ""
+
+
+class _Reply(io.BytesIO):
+    def __init__(self, body, headers, url):
+        super().__init__(body)
+        self.headers, self.url = headers, url
+
+    def geturl(self):
+        return self.url
+
+
+def _open(link):
+    import urllib.error
+
+    if link.endswith("404.pdf"):
+        raise urllib.error.HTTPError(link, 404, "Not Found", {}, None)
+    body = {"http://x.org/big.pdf": b"x" * 50, "http://x.org/none.pdf": b""}.get(link, b"%PDF")
+    return _Reply(body, {"Content-Type": "text/html" if "page" in link else "application/pdf"}, link)
+
+
+def test_downloads_are_capped_and_guarded(spark):
+    rows = [("a", "http://x.org/a.pdf", None), ("b", "http://x.org/big.pdf", None), ("c", "http://x.org/none.pdf", None), ("d", "http://10.0.0.1/a.pdf", None), ("e", "http://x.org/404.pdf", None), ("f", "http://x.org/page.pdf", None)]
+    tries = papers_api.import_candidates(spark.createDataFrame(rows, "paper_id string, pdf_url string, url string"))
+    got = {r.paper_id: (r.content, r.error) for r in papers_api.downloaded(tries, limit=20, open_url=_open).collect()}
+    assert got == {"a": (bytearray(b"%PDF"), None), "b": (None, "larger than 16 MiB"), "c": (None, "empty file"), "d": (None, "address not public"), "e": (None, "the file is not at its source"), "f": (None, "a web page, not a file")}
+    for url in ("http://127.0.0.1/x", "file:///etc/passwd", "http://localhost/"):
+        try:
+            papers_api._Guarded().redirect_request(None, None, 302, "", {}, url)
+            raise AssertionError(url)
+        except ValueError:
+            pass
 
 
 def test_sessions(spark):

@@ -37,10 +37,14 @@ def test_completion_order_numbers_all_events(spark, tmp_path):
 
 def test_upload_names_has_every_document(spark, tmp_path):
     d = folder(spark, tmp_path, TEXTS | {30: None, 33: None})
-    got = {r.doc_id: (r.allowed, r.ext) for r in text_queries.upload_names(spark, d).collect()}
+    rows = text_queries.upload_names(spark, d).collect()
+    got = {r.doc_id: (r.allowed, r.ext) for r in rows}
     ends = [".PDF", ".txt", ".exe", "", ".tar.docx"]
     ext = {i: os.path.splitext(t + ends[i % 5])[1].lower() for i, t in TEXTS.items()} | {30: "", 33: ""}
     assert got == {i: (e in (".txt", ".pdf", ".docx", ".pptx"), e) for i, e in ext.items()}
+    for r in rows:
+        safe = secure((TEXTS.get(r.doc_id) or "") + ends[r.doc_id % 5])
+        assert r.name == (None if not r.allowed else safe if safe and safe.lower().endswith(r.ext) else "made up")
 
 
 def compact(t, n=300):
