@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,16 @@ END_ID = 0
 #: A bin this full is final before the last round.
 NEARLY = 0.995
 FAN_IN = 8
-#: Items that one task packs in a merge round; more are spread over more tasks.
+#: Items that a task packs at once in any round; more are packed in turn or spread over more tasks.
 MAX_ITEMS = 400_000
-#: Distinct white-space free strings, and as many words, that a Python worker remembers; then it starts afresh.
-MEMO = 1_000_000
+#: Bytes of distinct white-space free strings that a Python worker remembers; then it starts afresh.
+#: Longer strings than LONG_PART are not remembered.
+MEMO_BYTES, LONG_PART = 48 << 20, 200
 #: Characters whose parts are looked up together.
-CHUNK = 1 << 20
+CHUNK = 4 << 20
 #: New words that one call encodes.
 AT_ONCE = 1000
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: How the tokeniser cuts normalised text into words, and the characters (ASCII and Latin, none of
 #: which composes with a neighbour) for which cutting here is sure to agree.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,9 +43,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """text -> little-endian ids as bytes. The tokeniser drops white space and never joins across it,
-    so ids of a text are those of its white-space free parts, and those of a part are its words'.
-    Parts and words are remembered; new words are encoded many at a time."""
+    """Ids of texts. The tokeniser drops white space and never joins across it, so ids of a text are
+    those of its white-space free parts, and those of a part are its words'. Arrow splits texts and finds
+    their distinct parts; only parts not met before are encoded, many words at a time; ids of texts are
+    gathered from the ids of parts by their places."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,28 +55,32 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {"": 0}
         self.words: dict[str, bytes] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_ids, self.n_parts, self.held = 0, 1, 0
 
-    def _learn_words(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > MEMO:
-            self.words.clear()
+    def _encode_words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             owners = np.array(e.word_ids, np.int64)
-            ids = np.array(e.ids, "<u4")
+            if len(owners) and (owners[-1] != len(some) - 1 or (np.diff(owners) < 0).any()):
+                # The tokeniser cuts these otherwise: one by one, then.
+                for word, one in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    yield word, np.array(one.ids, "<u4").tobytes()
+                continue
             ends = np.searchsorted(owners, np.arange(len(some)), side="right").tolist()
-            if len(owners) and owners[-1] != len(some) - 1 or (np.diff(owners) < 0).any():
-                raise AssertionError("the tokeniser cuts words otherwise")
-            raw, start = ids.tobytes(), 0
+            raw, start = np.array(e.ids, "<u4").tobytes(), 0
             for word, end in zip(some, ends):
-                self.words[word] = raw[4 * start : 4 * end]
+                yield word, raw[4 * start : 4 * end]
                 start = end
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.parts) + len(new) > MEMO:
-            self.parts.clear()
+    def _encode_parts(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         cut, odd = {}, []
         for part in new:
             if _PLAIN.fullmatch(part) and not any(s in part for s in self.specials):
@@ -82,25 +88,56 @@ class Encoder:
             else:
                 odd.append(part)
         fresh = {w for ws in cut.values() for w in ws} - self.words.keys()
-        held = {w: self.words[w] for ws in cut.values() for w in ws if w not in fresh} if len(self.words) + len(fresh) > MEMO else None
-        self._learn_words(list(fresh))
-        if held:
-            self.words |= held
+        self.words.update(self._encode_words(list(fresh)))
+        self.held += sum(map(len, fresh))
         for part, ws in cut.items():
-            self.parts[part] = b"".join([self.words[w] for w in ws])
+            yield part, b"".join([self.words[w] for w in ws])
         for part, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.parts[part] = np.array(e.ids, "<u4").tobytes()
+            yield part, np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the memo may be emptied between calls, never within one."""
-        split = [t.translate(_SPACES).split(" ") for t in texts]
-        needed = set().union(*split) if split else set()
-        if new := needed - self.parts.keys():
-            if len(self.parts) + len(new) > MEMO:
-                new = needed
-            self._learn(list(new))
-        parts = self.parts
-        return [b"".join([parts[p] for p in s]) for s in split]
+    def _learn(self, new: list[str]) -> None:
+        encoded = list(self._encode_parts(new))
+        ids = np.frombuffer(b"".join([raw for _, raw in encoded]), "<u4")
+        sizes = np.fromiter((len(raw) // 4 for _, raw in encoded), np.int64, len(encoded))
+        for name, used, more in (("ids", self.n_ids, len(ids)), ("starts", self.n_parts, len(sizes)), ("sizes", self.n_parts, len(sizes))):
+            held = getattr(self, name)
+            if used + more > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), more), held.dtype)]))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        where = slice(self.n_parts, self.n_parts + len(sizes))
+        self.sizes[where] = sizes
+        self.starts[where] = self.n_ids + np.cumsum(sizes) - sizes
+        self.places.update(zip([part for part, _ in encoded], range(self.n_parts, self.n_parts + len(sizes))))
+        self.n_ids, self.n_parts = self.n_ids + len(ids), self.n_parts + len(sizes)
+        self.held += sum(map(len, new)) + 4 * len(ids)
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts in order, ``end`` after each, and where each one's end.
+        The memo may be emptied between calls, never within one."""
+        if self.held > MEMO_BYTES:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts)
+        parts = split.flatten().dictionary_encode()
+        if isinstance(parts, pa.ChunkedArray):
+            parts = parts.combine_chunks()
+        names = parts.dictionary.to_pylist()
+        places = self.places
+        if new := [p for p in names if p not in places]:
+            self._learn(new)
+        place = np.fromiter(map(places.__getitem__, names), np.int64, len(names))
+        for part in new:
+            if len(part) > LONG_PART:
+                del places[part]
+        codes = place[parts.indices.to_numpy()]
+        # Each text's parts, then one place for its end.
+        per_text = np.diff(split.offsets.to_numpy())
+        sizes = np.insert(self.sizes[codes], np.cumsum(per_text), 1)
+        starts = np.insert(self.starts[codes], np.cumsum(per_text), 0)
+        stops = np.cumsum(sizes)
+        ends = stops[np.cumsum(per_text + 1) - 1]
+        ids = self.ids[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        ids[ends - 1] = end
+        return ids, ends
 
 
 def encoder(path: str) -> Encoder:
@@ -109,15 +146,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encoded(encode: Encoder, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
-    """(place, ids) of texts, about CHUNK characters at a time."""
-    held, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= CHUNK or i + 1 == len(texts):
-            yield from enumerate(encode(held), first)
-            held, size, first = [], 0, i + 1
+def _chunked(texts: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of texts of about CHUNK bytes, whole texts."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
 
 
 def _pieces(path: str, capacity: int):
@@ -126,26 +162,27 @@ def _pieces(path: str, capacity: int):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = encoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        width = 4 * capacity
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in _encoded(encode, batch.column("text").to_pylist()):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            done = 0
+            for texts in _chunked(pc.fill_null(batch.column("text"), "")):
+                ids, ends = encode(texts, END_ID)
+                sizes = np.diff(ends, prepend=0)
+                n = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                at = (ends - sizes)[row] + start
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(done + row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)),
+                        pa.array(length.astype(np.int64)), pa.array(crc, pa.int64()),
+                    ],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+                done += len(texts)
 
     return fn
 
@@ -181,18 +218,25 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _packed(capacity: int):
-    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)  # ids and lengths of at most a partition
-        if not held:
-            return
-        items = pd.concat(held, ignore_index=True)
+def _packed(capacity: int, max_items: int):
+    def binned(items: pd.DataFrame) -> pd.DataFrame:
         # Within equal lengths the order is by id, so that a repeated task gives the same bins.
         items = items.sort_values("item", ignore_index=True)
         bins, offsets, fill = best_fit(items["length"].to_numpy(), capacity)
         first = np.full(len(fill), np.iinfo(np.int64).max)
         np.minimum.at(first, bins, items["item"].to_numpy())
-        yield pd.DataFrame({"item": items["item"], "bin": first[bins], "offset": offsets, "fill": fill[bins]})
+        return pd.DataFrame({"item": items["item"], "bin": first[bins], "offset": offsets, "fill": fill[bins]})
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= max_items:
+                yield binned(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield binned(pd.concat(held, ignore_index=True))
 
     return fn
 
@@ -209,13 +253,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly: float = NEARLY, fa
     """
     numbered = stored(pieces.drop("sequence_id", "offset").withColumn("item", F.monotonically_increasing_id()))
     todo = numbered.select("item", "length")
-    width, before, rounds = max(1, todo.rdd.getNumPartitions()), None, []
+    width, before, still, rounds = max(1, todo.rdd.getNumPartitions()), None, 0, []
     while True:
-        rounds.append(stored(todo.mapInPandas(_packed(capacity), _ROUND)))
+        rounds.append(stored(todo.mapInPandas(_packed(capacity, max_items), _ROUND)))
         # One row stands for each bin: its smallest item.
         under = rounds[-1].where((F.col("item") == F.col("bin")) & (F.col("fill") < nearly * capacity))
         n_under = under.count()
-        if n_under == 0 or width == 1 or before is not None and n_under > 0.98 * before:
+        # Bins that could still merge may lie apart: only two rounds over different neighbours that
+        # merge next to nothing end it before one partition has packed all.
+        still = still + 1 if before is not None and n_under > 0.999 * before else 0
+        if n_under == 0 or width == 1 or still == 2:
             break
         before = n_under
         width = max(-(-n_under // max_items), min(-(-width // fan_in), -(-n_under // 64)))
