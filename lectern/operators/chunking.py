@@ -49,10 +49,10 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def spans(text: Column, strips: Column, how: Chunking = Chunking()) -> Column:
-    """array<struct<start, len>> of the windows of one text, in order, 0-based in code points. Linear in
-    the text's length."""
-    n, half = F.length(text), how.size // 2
+def spans(n: Column, strips: Column, how: Chunking = Chunking()) -> Column:
+    """array<struct<start, len>> of the windows of a text of ``n`` code points cut into ``strips``, in
+    order, 0-based in code points. Linear in the text's length."""
+    half = how.size // 2
     kind = "array<struct<start:int,len:int>>"
 
     def step(state: Column, _: Column) -> Column:
@@ -78,16 +78,18 @@ def spans(text: Column, strips: Column, how: Chunking = Chunking()) -> Column:
 
 def chunk_arrays(docs: DataFrame, how: Chunking = Chunking(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, t, chunks: each text and the array<struct<start, len, raw>> of its chunks, as in ``chunks``."""
-    t, strips = F.col("t"), F.col("strips")
-    cut = docs.select(F.col(key), filled(F.col(text)).alias("t")).withColumn("strips", _strips(t, how)).withColumn("spans", spans(t, strips, how))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("len"), t.alias("raw")))
+    t, strips, n = F.col("t"), F.col("strips"), F.col("n")
+    cut = docs.select(F.col(key), filled(F.col(text)).alias("t")).withColumns({"n": F.length(t), "strips": _strips(t, how)})
+    cut = cut.withColumn("spans", spans(n, strips, how))
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("len"), t.alias("raw")))
     part = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), stripped(_piece(strips, s["start"], s["len"], how)).alias("raw")))
-    kept = F.when(F.length(t) <= how.size, whole).otherwise(F.filter(part, lambda p: p["raw"] != ""))
+    kept = F.when(n <= how.size, whole).otherwise(F.filter(part, lambda p: p["raw"] != ""))
     return cut.select(key, "t", kept.alias("chunks"))
 
 
 def chunks(docs: DataFrame, how: Chunking = Chunking(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, chunk_idx, start, len, text. A text within one window is one chunk as it is, even empty;
     those of longer texts are stripped, and blank ones left out before numbering. No shuffle."""
-    out = chunk_arrays(docs, how, text, key).select(key, F.posexplode("chunks").alias("chunk_idx", "c"))
+    # The outer form, as of the other the optimiser makes a filter that works all chunks out once more.
+    out = chunk_arrays(docs, how, text, key).select(key, F.posexplode_outer("chunks").alias("chunk_idx", "c")).where("chunk_idx IS NOT NULL")
     return out.select(key, "chunk_idx", "c.start", "c.len", F.col("c.raw").alias("text"))

@@ -72,7 +72,7 @@ def streamed_replies(docs: DataFrame, provider: Provider, tasks: list[str], how:
         F.transform("chunks", lambda c: one("summary", c["raw"])),
         F.array(*[one(t, window(F.col("t"), t)) for t in tasks if t in WINDOWS], one("done", F.length("t").cast("string"))),
     )
-    rows = chunk_arrays(docs, how, key=key).select(key, F.posexplode(asked).alias("at", "p")).select(key, "at", "p.task", "p.prompt")
+    rows = chunk_arrays(docs, how, key=key).select(key, F.posexplode_outer(asked).alias("at", "p")).select(key, "at", "p.task", "p.prompt")
 
     def merged(replies: list[str], error: str | None) -> tuple[str | None, str | None]:
         if error is not None or len(replies) < 2:
