@@ -202,4 +202,49 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict = {}
+_RATES = {
+    "symbol_rate": ("n_symbols", "word_chars"), "repeat_rate": ("n_repeat_words", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "upper_rate": ("n_upper", "word_chars"), "shout_rate": ("n_shouts", "word_chars"),
+}
+
+ORACLES = {
+    "op8_quality_rules": r"""
+WITH cut AS (
+  SELECT doc_id, lang, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1
+), covered AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY doc_id
+), counts AS (
+  SELECT cut.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper,
+    length(t) - length(replace(t, '!', '')) AS n_shouts, len(l) AS n_lines
+  FROM cut LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('s' || lang, 'n') AS stratum FROM counts
+), measured AS (
+  """
+    + " UNION ALL ".join(
+        f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0) AS value FROM judged" for r, (a, b) in _RATES.items()
+    )
+    + r"""
+), known AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HAVING min(quality) = max(quality)
+), tallies AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND value > cutoff) AS k, count(*) FILTER (quality <> 1 AND value > cutoff) AS bad
+  FROM measured JOIN known USING (doc_id), (SELECT unnest(["""
+    + ", ".join(map(str, GRID))
+    + rf"""]) AS cutoff)
+  WHERE NOT base_failed GROUP BY stratum, rule, cutoff
+), tested AS (
+  SELECT *, CASE WHEN k >= n * {RISK / len(RULES)} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK / len(RULES)}) + (n - j) * ln(1 - {RISK / len(RULES)})))) END AS p_value, count(*) OVER () AS tests FROM tallies
+), cutoffs AS (
+  SELECT stratum, rule, cutoff FROM tested WHERE n > 0 AND p_value * tests <= {LEVEL} AND bad - {GOOD_WEIGHT} * k > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {GOOD_WEIGHT} * k DESC, cutoff DESC) = 1
+), over_ AS (SELECT DISTINCT doc_id FROM measured JOIN cutoffs USING (stratum, rule) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over_) AS kept FROM judged""",
+}
