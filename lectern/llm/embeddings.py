@@ -4,6 +4,8 @@ Equal vectors of one label fall into one class first. Each table gives a class a
 of its products with a few random hyperplanes; classes of one label that share a bucket are compared
 exactly, in blocks of bounded size, however large the bucket. A pair is counted in the first table
 where it meets, so counts need no list of pairs: blocks emit sums per class and a spanning forest.
+Planes follow from a seed, so a block works out the earlier buckets of the few vectors that link in it;
+what travels to a block is the vector alone, and only from buckets that hold two or more.
 The number of tables follows from the wanted probability of missing a pair at the threshold.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,9 +26,10 @@ from lectern.llm.graph import components
 
 THRESHOLD = 0.93
 #: Probability that a pair exactly at the threshold shares no bucket; nearer pairs miss far less often.
-MISS = 1e-7
+MISS = 1e-5
 #: Classes per bucket aimed at, and most rows of a block.
 PER_BUCKET, BLOCK = 64, 1024
+MAX_BITS = 30
 SEED = 20
 
 
@@ -34,23 +38,26 @@ def n_tables(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int
     return max(1, math.ceil(math.log(miss) / math.log1p(-p)))
 
 
-def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
+@lru_cache(maxsize=2048)
+def _planes(dim: int, bits: int, at_table: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, bits, at_table]).standard_normal((dim, bits))
 
 
-def _buckets(bits: int, tables: int):
+def _codes(v: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The buckets of the rows of ``v`` in the first ``tables`` tables."""
     weights = 1 << np.arange(bits)
+    return np.stack([((v @ _planes(v.shape[1], bits, t)) > 0) @ weights for t in range(tables)], axis=1)
+
 
+def _buckets(bits: int, tables: int):
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             codes: list = [None] * len(frame)
-            for dim, rows in frame.groupby(frame["embedding"].map(len)).indices.items():
+            for _, rows in frame.groupby(frame["embedding"].map(len)).indices.items():
                 v = np.array([frame["embedding"].iat[i] for i in rows], np.float64)
-                signs = (v @ _planes(dim, bits, tables)) > 0
-                own = signs.reshape(len(rows), tables, bits) @ weights
-                for i, c in zip(rows, own):
+                for i, c in zip(rows, _codes(v, bits, tables)):
                     codes[i] = c.astype(np.int32)
-            yield frame[["class_id", "label", "dim", "weight", "embedding"]].assign(codes=codes)
+            yield frame[["class_id", "label", "dim"]].assign(codes=codes)
 
     return fn
 
@@ -61,21 +68,26 @@ def _matrix(rows: pa.Table, column: str, kind: type) -> np.ndarray:
     return values.reshape(rows.num_rows, -1).astype(kind, copy=False)
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, bits: int):
     def fn(key: tuple, rows: pa.Table) -> pa.Table:
         _, _, at_table, _, i, j = (k.as_py() for k in key)
         block = rows.column("block").to_numpy()
         v = _matrix(rows, "embedding", np.float64)
+        v = v / np.abs(v).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
         norms = np.sqrt(np.einsum("ij,ij->i", v, v))
-        codes = _matrix(rows, "codes", np.int32)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         near = (v[left] @ v[right].T) / np.outer(norms[left], norms[right]) >= threshold
         if i == j:
             near = np.triu(near, 1)
         a, b = np.nonzero(near)
         a, b = left[a], right[b]
-        new = ~(codes[a, :at_table] == codes[b, :at_table]).any(axis=1)
-        a, b = a[new], b[new]
+        if at_table and len(a):
+            hit, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            codes = _codes(v[hit], bits, at_table)
+            new = np.ones(len(a), bool)
+            for t in range(at_table):
+                new &= codes[place[: len(a)], t] != codes[place[len(a) :], t]
+            a, b = a[new], b[new]
         weight, ids = rows.column("weight").to_numpy(), rows.column("class_id").to_numpy()
         n = np.zeros(rows.num_rows, np.int64)
         np.add.at(n, a, weight[b])
@@ -120,9 +132,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, miss: floa
     # NaN and -0.0 aside, equal arrays group; the class is named by its smallest id.
     classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")))
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
-    bits = max(4, min(20, math.ceil(math.log2(max(1, largest / per_bucket)))))
+    bits = max(4, min(MAX_BITS, math.ceil(math.log2(max(1, largest / per_bucket)))))
     tables = n_tables(bits, threshold, miss)
-    coded = stored(classes.mapInPandas(_buckets(bits, tables), "class_id long, label " + dict(classes.dtypes)["label"] + ", dim int, weight long, embedding " + kind + ", codes array<int>"))
+    coded = stored(classes.mapInPandas(_buckets(bits, tables), "class_id long, label " + dict(classes.dtypes)["label"] + ", dim int, codes array<int>"))
     spots = coded.select("class_id", "label", "dim", F.posexplode("codes").alias("t", "bucket"))
     sizes = spots.groupBy("label", "dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
@@ -133,8 +145,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, miss: floa
         lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     )
     dealt = placed.withColumn("pair", F.explode(pairs)).select("class_id", "label", "dim", "t", "bucket", "block", "pair.i", "pair.j")
-    full = dealt.join(coded.select("class_id", "label", "dim", "weight", "embedding", "codes"), ["class_id", "label", "dim"])
-    found = stored(full.groupBy("label", "dim", "t", "bucket", "i", "j").applyInArrow(_compare(threshold), "class_id long, n long, to long"))
+    full = dealt.join(classes.select("class_id", "label", "dim", "weight", "embedding"), ["class_id", "label", "dim"])
+    found = stored(full.groupBy("label", "dim", "t", "bucket", "i", "j").applyInArrow(_compare(threshold, bits), "class_id long, n long, to long"))
     sums = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     named = good.join(classes.select("label", "embedding", "class_id", "weight"), ["label", "embedding"]).select("vec_id", "class_id", "weight")
