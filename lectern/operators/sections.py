@@ -114,15 +114,17 @@ def analysed(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluat
     return asked.unionByName(off.where("name IS NOT NULL").select(key, "name", section(F.lit("disabled")).alias("section")))
 
 
-def results(sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per document: a column and a section per name, and ``error`` if all required ones failed."""
-    wide = sections.groupBy(key).pivot("name", list(NAMES)).agg(F.first("section"))
+def results(sections: DataFrame, key: str = "doc_id", **more: Column) -> DataFrame:
+    """One row per document: a column and a section per name, and ``error`` if all required ones failed.
+    ``more``: further aggregates by name. Rows of other names only count for those."""
+    each = [F.first(F.when(F.col("name") == n, F.col("section")), ignorenulls=True).alias(n) for n in NAMES]
+    wide = sections.groupBy(key).agg(*each, *[c.alias(k) for k, c in more.items()])
     failed = F.lit(True)
     for n in REQUIRED:
         failed = failed & F.coalesce(F.col(n)["status"] == "failed", F.lit(False))
     first = F.coalesce(*[F.nullif(F.col(n)["error"], F.lit("")) for n in REQUIRED])
     return wide.select(
-        key, *[filled(F.col(n)["content"]).alias(n) for n in NAMES],
+        key, *more, *[filled(F.col(n)["content"]).alias(n) for n in NAMES],
         F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[F.col(n) for n in NAMES])).alias("sections"),
         F.when(failed, first).alias("error"),
     )

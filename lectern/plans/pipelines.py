@@ -37,9 +37,7 @@ def analyse(docs: DataFrame, provider: Provider, settings: Settings = Settings()
     if open_calls is not None:
         wide = results(analysed(clean, provider, mermaid, evaluation, how, concurrency=open_calls))
         return clean.select("doc_id", F.length("text").alias("char_count")).join(wide, "doc_id")
-    events = section_events(docs, provider, mermaid, evaluation, how)
-    counts = events.where("name = 'done'").select("doc_id", "char_count")
-    return counts.join(results(events.where("name <> 'done'")), "doc_id")
+    return results(section_events(docs, provider, mermaid, evaluation, how), char_count=F.max("char_count"))
 
 
 def reports(analyses: DataFrame, generated_at: Column, evaluation: bool = False) -> DataFrame:
