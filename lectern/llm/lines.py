@@ -87,7 +87,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"),
     )
-    found = rows.join(drops, F.col("row_id").eqNullSafe(F.col("drop_id")) & (F.col("row_hash") == F.col("drop_hash")), "left")
+    # Sorted and merged at every size: a plan that broadcasts small inputs would only hold for those.
+    found = rows.join(drops.hint("merge"), F.col("row_id").eqNullSafe(F.col("drop_id")) & (F.col("row_hash") == F.col("drop_hash")), "left")
     split = found.select("row", "places", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
     text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(
