@@ -16,7 +16,7 @@ Lists do not become pairs by joins. A first round pairs each set with the most c
 it shares, links are verified on whole texts and contracted into components, and only lists that still
 hold more than one component go on. Those are compared inside blocks of bounded size by parity sketches,
 which never rule out a link and let few others pass; what passes between different components is
-verified: first a spanning forest, then all that is left.
+verified; where that would be very much, a spanning forest of it first.
 """
 
 from __future__ import annotations
@@ -29,19 +29,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bucketed, dropped, stored, table
+from lectern.llm.common import bucketed, dropped, scratch, stored, table
 from lectern.llm.graph import components
 from lectern.llm.shingles import mixed, shingle_sets
 
 N_GRAM, PERCENT = 5, 80
 #: The table of frequent tokens that every task gets holds at most so many (9 bytes each).
 MAX_KNOWN = 1_000_000
-#: Tokens counted 2 ** HOT_TIER times are in lists of several sets for certain.
-HOT_TIER = 8
+#: Tokens counted 2 ** HOT_TIER times are in lists of several sets for certain: their lists need not meet
+#: in one task to tell, and are looked at in so many parts.
+HOT_TIER, HOT_PARTS = 8, 64
 #: Most sets of a list that are compared at once; most tokens of a combination.
 BLOCK, MAX_TOKENS = 512, 3
 #: List rows that a task gets together.
-TASK_ROWS = 20_000
+TASK_ROWS = 10_000
+#: A task with more pairs for each of its rows first gives a forest of them.
+FOREST = 4
 #: Members that are compared with one copy of a pivot's text.
 HUB = 256
 _U = np.uint64
@@ -123,27 +126,23 @@ def known_tokens(counted: DataFrame, max_known: int = MAX_KNOWN) -> tuple[np.nda
     return tokens[order], got.column("tier").to_numpy()[order]
 
 
-_POSTING = "sig long, node long, n int, q int, odd short, hot boolean"
+_POSTING = "sig long, node long, n int, hot boolean"
 
 
 def _postings(n_gram: int, percent: int, known):
-    """The extended prefix of each different set of a task, a row per token. q: with how many lists of
-    others a set must share at least; odd: its tokens per mille that aren't known as frequent."""
+    """The extended prefix of each different set of a task, a row per token; hot: known as very frequent."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, tiers = known.value
         seen: set[tuple[int, int]] = set()
-        sigs, hots, ids, sizes, least, odds, size = [], [], [], [], [], [], 0
+        sigs, hots, ids, sizes, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             per = np.fromiter(map(len, sigs), np.int64, len(sigs))
             each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), per))
             return pa.RecordBatch.from_arrays(
-                [
-                    _signed(np.concatenate(sigs) if sigs else np.zeros(0, _U)), each(ids, np.int64), each(sizes, np.int32), each(least, np.int32),
-                    each(odds, np.int16), pa.array(np.concatenate(hots) if hots else np.zeros(0, bool)),
-                ],
-                names=["sig", "node", "n", "q", "odd", "hot"],
+                [_signed(np.concatenate(sigs) if sigs else np.zeros(0, _U)), each(ids, np.int64), each(sizes, np.int32), pa.array(np.concatenate(hots) if hots else np.zeros(0, bool))],
+                names=["sig", "node", "n", "hot"],
             )
 
         for batch in batches:
@@ -164,36 +163,43 @@ def _postings(n_gram: int, percent: int, known):
                 hots.append(tier[first] >= HOT_TIER)
                 ids.append(doc_id)
                 sizes.append(n)
-                least.append(shared_tokens(least_overlap(n, percent), percent))
-                odds.append(1000 * int((tier == 0).sum()) // n)
                 size += len(first)
                 if size > 200_000:
                     yield out()
-                    sigs, hots, ids, sizes, least, odds, size = [], [], [], [], [], [], 0
+                    sigs, hots, ids, sizes, size = [], [], [], [], 0
         yield out()
 
     return fn
 
 
-def _lists(postings: DataFrame) -> DataFrame:
+def _sql_shared(n: Column, percent: int) -> Column:
+    overlap = F.ceil(percent * n / 100)
+    return F.greatest(F.lit(1), F.least(overlap, F.greatest(F.lit(MAX_TOKENS), 1 + F.floor((n - overlap + 1) / 8)))).cast("int")
+
+
+def _lists(postings: DataFrame, percent: int) -> DataFrame:
     """sig, node, n, odd, rank, last, room: the lists of two sets or more. Each set's lists are ranked by
     length; those up to rank ``last`` are sure to hold all its partners, those up to ``last`` + j - 1 hold
-    j of the tokens it shares with each, as far as it must share j (``room``: how many it must)."""
-    alone = W.partitionBy("sig")
+    j of the tokens it shares with each, as far as it must share j (``room``: how many it must, with the
+    least partner it may have). odd: how many tokens of its prefix have no list."""
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS))).otherwise(0)
+    alone = W.partitionBy("sig", "part")
     met = (
-        postings.where("NOT hot").withColumns({"a": F.min("node").over(alone), "b": F.max("node").over(alone)})
-        .where("a <> b").select("sig", "node", "n", "q", "odd")
-        .unionByName(postings.where("hot").select("sig", "node", "n", "q", "odd"))
+        postings.withColumn("part", part).withColumns({"a": F.min("node").over(alone), "b": F.max("node").over(alone)})
+        .where("hot OR a <> b").select("sig", "node", "n")
     )
     by_node = W.partitionBy("node")
-    held = stored(met.withColumn("m", F.count(F.lit(1)).over(by_node)).where("m >= q").drop("m"))
+    n = F.col("n")
+    q = _sql_shared(F.ceil(percent * n / 100), percent)
+    held = stored(met.withColumn("m", F.count(F.lit(1)).over(by_node)).where(F.col("m") >= q).drop("m"))
     sizes = held.groupBy("sig").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
     ranked = held.join(sizes, "sig").withColumns(
-        {"m": F.count(F.lit(1)).over(by_node), "rank": F.row_number().over(by_node.orderBy("long", "sig"))}
+        {"m": F.count(F.lit(1)).over(by_node), "rank": F.row_number().over(by_node.orderBy("long", "sig")), "q": q}
     )
+    prefix = n - F.ceil(percent * n / 100) + _sql_shared(n, percent)
     out = stored(
         ranked.where(f"m >= q AND rank <= m - q + {MAX_TOKENS}")
-        .select("sig", "node", "n", "odd", "rank", (F.col("m") - F.col("q") + 1).cast("int").alias("last"), F.col("q").alias("room"))
+        .select("sig", "node", "n", (prefix - F.col("m")).cast("int").alias("odd"), "rank", (F.col("m") - F.col("q") + 1).cast("int").alias("last"), F.col("q").alias("room"))
     )
     dropped(held)
     return out
@@ -243,7 +249,7 @@ class _Sketches:
             wa, wb = kind >> 32, kind & 0xFFFFFFFF
             to, own = min(wa, wb), np.flatnonzero(kinds == kind)
             left, right = self._at_width(wa, to), self._at_width(wb, to)
-            step = max(1, (1 << 24) // to)
+            step = max(1, (1 << 22) // to)
             for k in range(0, len(own), step):
                 part = own[k : k + step]
                 out[part] = np.bitwise_count(left[self.at[a[part]]] ^ right[self.at[b[part]]]).sum(axis=1, dtype=np.int64)
@@ -279,7 +285,7 @@ def _pairs_of_lists(key: np.ndarray, cross: np.ndarray, block: np.ndarray) -> It
         if size > 1:
             a, b = np.triu_indices(size, 1)
             own = starts[plain & (sizes == size)]
-            step = max(1, (1 << 20) // len(a))
+            step = max(1, (1 << 18) // len(a))
             for k in range(0, len(own), step):
                 at = own[k : k + step, None]
                 yield (at + a).ravel(), (at + b).ravel()
@@ -291,32 +297,39 @@ def _pairs_of_lists(key: np.ndarray, cross: np.ndarray, block: np.ndarray) -> It
 
 
 def _compared(percent: int, every: bool):
-    """Pairs of different components in the lists of a task that sketches let pass: all, or a forest
-    that spans what they connect."""
+    """Pairs of different components in the lists of a task that sketches let pass. Where they are many
+    more than its rows, and not ``every`` one is wanted yet, only a forest that spans what they connect,
+    and a row without sets that says so."""
 
-    def fn(rows: pa.Table) -> pa.Table:
+    def fn(rows: pa.Table, held_sketches: pa.Table) -> pa.Table:
         rows = rows.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        held_sketches = held_sketches.sort_by("one")
         sig, i, j = (rows.column(c).to_numpy() for c in ("sig", "i", "j"))
         new = np.concatenate([[False], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        node, place = np.unique(rows.column("node").to_numpy(), return_inverse=True)
-        first = np.zeros(len(node), np.int64)
-        first[place] = np.arange(len(place))
-        comp, size = rows.column("comp").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
+        node, size = held_sketches.column("one").to_numpy(), held_sketches.column("size").to_numpy().astype(np.int64)
+        own = rows.column("node").to_numpy()
+        begin, n = np.searchsorted(node, own), np.searchsorted(node, own, side="right") - np.searchsorted(node, own)
+        # A doc_id with several texts has several sketches: its rows stand for each.
+        row = np.repeat(np.arange(len(own)), n)
+        place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        comp = np.zeros(len(node), np.int64)
+        comp[place] = rows.column("comp").to_numpy()[row]
         held, waiting = [np.zeros(0, np.int64)], 0
-        for a, b in _pairs_of_lists(np.cumsum(new), i != j, rows.column("block").to_numpy()):
-            few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            good = (comp[a] != comp[b]) & (100 * few >= percent * many)
-            x, y = place[a[good]], place[b[good]]
+        for a, b in _pairs_of_lists(np.cumsum(new)[row], (i != j)[row], rows.column("block").to_numpy()[row]):
+            x, y = place[a], place[b]
+            good = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            x, y = x[good], y[good]
             held.append(np.minimum(x, y) * len(node) + np.maximum(x, y))
             waiting += len(x)
-            if waiting > 1 << 22:
+            if waiting > 1 << 20:
                 held, waiting = [np.unique(np.concatenate(held))], 0
         keys = np.unique(np.concatenate(held))
-        a, b = first[keys // len(node)], first[keys % len(node)]
-        sketches = _Sketches(rows.column("sketch").to_pylist())
+        a, b = keys // max(1, len(node)), keys % max(1, len(node))
+        sketches = _Sketches(held_sketches.column("sketch").to_pylist())
         good = _may_link(sketches.flips(a, b), size[a] + size[b], percent)
         a, b = a[good], b[good]
-        if not every:
+        short = not every and len(a) > FOREST * rows.num_rows
+        if short:
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -332,8 +345,8 @@ def _compared(percent: int, every: bool):
                     root[max(x, y)] = min(x, y)
                     keep.append(k)
             a, b = a[keep], b[keep]
-        ids = rows.column("node").to_numpy()
-        return pa.table({"u": np.minimum(ids[a], ids[b]), "v": np.maximum(ids[a], ids[b])})
+        u, v = np.minimum(node[a], node[b]).tolist(), np.maximum(node[a], node[b]).tolist()
+        return pa.table({"u": pa.array([*u, *[None] * short], pa.int64()), "v": pa.array([*v, *[None] * short], pa.int64())})
 
     return fn
 
@@ -359,56 +372,57 @@ def _verified(n_gram: int, percent: int):
     return fn
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose texts link. ``texts`` is bucketed by node, so it stays where it is: pairs go
-    to it as ids, and members then bring their texts to their pivot u. A pivot of many members has a
-    copy of its text for each HUB of them, so no task gets them all."""
-    hubs = stored(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")))
-    copies = (
-        texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")).join(hubs, "u")
-        .select("u", "u_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    )
+def _met(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """u, v and columns of both sets of each pair. ``texts`` is bucketed by node, so it stays where it is:
+    pairs go to it as ids, and members v then go with their columns to their pivot u. A pivot of many
+    members has a copy of its columns for each HUB of them, so no task gets them all."""
+
+    def of(side: str) -> DataFrame:
+        return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+
+    hubs = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts"))
+    copies = of("u").join(hubs, "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     parted = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    members = parted.join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
-    both = members.join(copies, ["u", "part"]).select("u", "v", "u_text", "v_text")
-    out = stored(both.mapInArrow(_verified(n_gram, percent), "u long, v long"))
-    dropped(hubs)
-    return out
+    return parted.join(of("v"), "v").join(copies, ["u", "part"]).drop("part")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose texts link."""
+    both = _met(pairs, texts, "text").select("u", "v", "u_text", "v_text")
+    return stored(both.mapInArrow(_verified(n_gram, percent), "u long, v long"))
 
 
 def _central_pairs(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pivot of a list and size band is the set with the least share of rare tokens: that is
-    the text which near copies were made from, if it is there, and they link with it sooner than with
+    """(u, v): the pivot of a list and size band is the set with the fewest tokens outside any list: that
+    is the text which near copies were made from, if it is there, and they link with it sooner than with
     one another. Each set v is paired with the pivot u that it shares most lists with."""
     banded = lists.where("rank <= last").withColumn("band", F.floor(F.log("n") / np.log(100 / percent)).cast("int") if percent < 100 else F.col("n"))
     firsts = banded.groupBy("sig", "band").agg(F.min(F.struct("odd", "node", "n")).alias("p"))
     met = (
-        banded.join(firsts, ["sig", "band"])
+        banded.select("sig", "band", "node", "n").join(firsts, ["sig", "band"])
         .where((F.col("p.node") != F.col("node")) & (100 * F.least("p.n", "n") >= percent * F.greatest("p.n", "n")))
         .groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("shared"))
     )
-    best = met.groupBy(F.col("node").alias("v")).agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("u"))
-
-    def of(side: str) -> DataFrame:
-        return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "sketch")])
-
-    return best.join(of("v"), "v").join(of("u"), "u").mapInArrow(_near(percent), "u long, v long")
+    best = stored(met.groupBy(F.col("node").alias("v")).agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("u")))
+    out = stored(_met(best, texts, "size", "sketch").mapInArrow(_near(percent), "u long, v long"))
+    dropped(best)
+    return out
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """(sig, long, later): lists that still hold more than one component, with how many sets and how
-    many combinations with one later token they have."""
+    """(sig, head, long, later): lists that still hold more than one component, with their first set, how
+    many sets and how many combinations with one later token they have."""
     per = rows.groupBy("sig").agg(
-        F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("long"),
+        F.min("node").alias("head"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("long"),
         F.sum(F.greatest(F.least(F.col("last") + F.col("depth"), F.col("last") + F.col("room") - 1) - F.col("rank"), F.lit(0))).alias("later"),
     )
-    return per.where("a <> b").select("sig", "long", "later")
+    return per.where("a <> b").select("sig", "head", "long", "later")
 
 
 def _rows_to_compare(lists: DataFrame, labels: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """sig, node, comp, long of all open lists, and what may be dropped after its use. A list longer than a block goes by combinations with one
-    more token if these are fewer rows than its blocks would be; sets that need not share so many
-    tokens are also compared under the shorter combination."""
+    """sig, head, node, comp, long of all open lists, and what may be dropped after its use. A list longer
+    than a block goes by combinations with one more token if these are fewer rows than its blocks would
+    be; sets that need not share so many tokens are also compared under the shorter combination."""
     rows = lists.join(labels, "node")
     level = rows.where("rank <= last").withColumn("depth", F.lit(1))
     out, used = None, []
@@ -417,13 +431,13 @@ def _rows_to_compare(lists: DataFrame, labels: DataFrame, block: int) -> tuple[D
         split = (F.col("long") > block) & (F.col("later") < F.col("long") * F.col("long") / block) if depth < MAX_TOKENS else F.lit(False)
         opened = stored(held.join(_open(held).withColumn("split", split), "sig"))
         used += [held, opened]
-        whole = opened.where("NOT split").select("sig", "node", "comp", "long")
+        whole = opened.where("NOT split").select("sig", "head", "node", "comp", "long")
         out = whole if out is None else out.unionByName(whole)
         longer = opened.where("split")
         if longer.isEmpty():
             break
         few = longer.where(F.col("room") <= depth).drop("long")
-        few = few.join(few.groupBy("sig").agg(F.count(F.lit(1)).alias("long")), "sig").select("sig", "node", "comp", "long")
+        few = few.join(few.groupBy("sig").agg(F.count(F.lit(1)).alias("long")), "sig").select("sig", "head", "node", "comp", "long")
         out = out.unionByName(few)
         later = rows.select("node", F.col("sig").alias("next"), F.col("rank").alias("at"))
         level = (
@@ -434,24 +448,39 @@ def _rows_to_compare(lists: DataFrame, labels: DataFrame, block: int) -> tuple[D
     return out, used
 
 
-def _block_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame, percent: int, every: bool, block: int) -> DataFrame:
+def _block_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame, percent: int, every: bool, block: int) -> DataFrame | None:
     """Pairs (u, v) of open lists between different components that may link by their sketches, but for
-    those tried before."""
+    those tried before; none if no list is open."""
     rows, used = _rows_to_compare(lists, labels, block)
     blocks = F.ceil(F.col("long") / block).cast("int")
     spot = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")})
     # A row goes to each pair of blocks that has its own; a list of one block is one pair.
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = stored(spot.withColumn("meet", F.explode(meet)).select("sig", "node", "comp", "block", "meet.i", "meet.j"))
-    n_tasks = dealt.count() // TASK_ROWS + 1
-    full = dealt.join(texts.select("node", "size", "sketch"), "node").withColumn("task", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(n_tasks)))
-    out = stored(full.groupBy("task").applyInArrow(_compared(percent, every), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
+    dealt = stored(spot.withColumn("meet", F.explode(meet)).select("sig", "head", "node", "comp", "block", "meet.i", "meet.j"))
+    n_tasks = dealt.count() // TASK_ROWS
+    if dealt.isEmpty():
+        dropped(dealt, *used)
+        return None
+    # Lists that begin with the same set hold much the same sets: they share tasks, as many as their rows
+    # need, and each task gets a set's sketch once.
+    heads = dealt.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("tasks"))
+    share = F.pmod(F.xxhash64("sig", "i", "j"), F.col("tasks"))
+    placed = stored(
+        dealt.join(heads, "head").withColumn("task", F.pmod(F.xxhash64("head", share), F.lit(2 * n_tasks + 1))).drop("head", "tasks")
+    )
+    needed = placed.select(F.col("task").alias("at"), F.col("node").alias("of")).distinct()
+    sketches = needed.join(texts.select(F.col("node").alias("of"), "size", "sketch"), "of").select("at", F.col("of").alias("one"), "size", "sketch")
+    met = placed.groupBy("task").cogroup(sketches.groupBy("at")).applyInArrow(_compared(percent, every), "u long, v long")
+    out = stored(met.distinct().join(tried, ["u", "v"], "left_anti"))
+    dropped(placed)
     dropped(dealt, *used)
     return out
 
 
 def _contracted(labels: DataFrame, good: DataFrame) -> DataFrame:
     """Labels (node, comp) after joining the components that verified links join; drops the old ones."""
+    if good.isEmpty():
+        return labels
     ends = good.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
     roots = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     out = stored(labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
@@ -477,22 +506,27 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     classes = stored(sets.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id")))
 
     known = docs.sparkSession.sparkContext.broadcast(known_tokens(scanned.where("token IS NOT NULL").select("token", F.col("n_shingles").alias("n")), max_known))
-    lists = _lists(named.mapInArrow(_postings(n_gram, percent, known), _POSTING))
+    lists = _lists(named.mapInArrow(_postings(n_gram, percent, known), _POSTING), percent)
     labels = stored(lists.select("node").distinct().withColumn("comp", F.col("node")))
     wanted = named.withColumnRenamed("doc_id", "node").join(labels.select("node"), "node")
     texts = bucketed(wanted.mapInArrow(_sketched(n_gram), "node long, text string, size int, sketch binary"), "node")
 
     found, tried = None, None
-    for round_ in ("central", "forest", "rest"):
+    for round_ in ("central", "blocks", "rest"):
         if round_ == "central":
-            pairs = stored(_central_pairs(lists, texts, percent))
+            pairs, more = _central_pairs(lists, texts, percent), True
         else:
-            pairs = _block_pairs(lists, labels, texts, tried, percent, round_ == "rest", block)
+            got = _block_pairs(lists, labels, texts, tried, percent, round_ == "rest", block)
+            if got is None:
+                break
+            pairs, more = got.where("u IS NOT NULL"), not got.where("u IS NULL").isEmpty()
         good = _verify(pairs, texts, n_gram, percent)
         labels = _contracted(labels, good)
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         tried = ordered if tried is None else tried.unionByName(ordered)
         found = good if found is None else found.unionByName(good)
+        if not more:
+            break
     dropped(lists, texts)
 
     # Nodes that are copies of one set are tied by their class, and rows of one doc_id by their id.
@@ -518,8 +552,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the smallest doc_id. Of rows that repeat it, all stay
     that are equal in doc_id: they are one document."""
-    members, _ = near_duplicates(docs)
-    gone = members.where("doc_id <> component_id").select("doc_id").distinct()
+    with scratch() as kept:
+        members, _ = near_duplicates(docs)
+        gone = stored(members.where("doc_id <> component_id").select("doc_id").distinct())
+        kept.append(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

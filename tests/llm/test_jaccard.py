@@ -40,21 +40,21 @@ def test_equals_brute_force_on_documents(spark, sf_dir):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("seed, percent, block, known", [(1, 80, 512, 1000), (2, 80, 4, 0), (3, 50, 8, 1000)])
+@pytest.mark.parametrize("seed, percent, block, known", [(2, 80, 4, 0), (3, 50, 512, 1000)])
 def test_chains_groups_and_odd_texts(spark, seed, percent, block, known):
     """Small blocks make lists go by combinations of tokens and by pairs of blocks."""
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     passage = [f"p{i}" for i in range(60)]
     texts = [None, "", " \n", "z y x w v", "z y x w v u", "one", "ONE ", "a b c d", "A  b c\td", "a b c d e", "a b c d e f", "É a b c d e", "é a b c d e"]
-    for _ in range(6):
+    for _ in range(4):
         base = [rng.choice(vocabulary) for _ in range(rng.randrange(30, 120))]
-        for _ in range(12):  # a chain: each a few words away from the last
+        for _ in range(8):  # a chain: each a few words away from the last
             for _ in range(rng.randrange(3)):
                 base[rng.randrange(len(base))] = rng.choice(vocabulary)
             texts.append(" ".join(base))
             texts.append(" ".join(base + passage[: rng.randrange(60)]))
-    for _ in range(150):  # a large group around one text
+    for _ in range(90):  # a large group around one text
         base = list(passage) * 2
         for _ in range(rng.randrange(4)):
             base[rng.randrange(len(base))] = rng.choice(vocabulary)
@@ -69,10 +69,11 @@ def test_chains_groups_and_odd_texts(spark, seed, percent, block, known):
 
 def test_repeated_null_and_empty(spark):
     t = "a b c d e f g h i j k l m n o p q r s t"
-    rows = [(None, t, 1), (3, t, 1), (3, t, 1), (5, t, 2), (5, None, 2)]
+    two = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, t, 1), (3, t, 1), (3, t, 1), (5, t, 2), (5, None, 2), (7, two + " end", 1), (8, two, 1), (8, "q " * 30 + two, 1), (9, "q " * 31 + two, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs)[0].collect()), key=str)
-    assert got == sorted([(None, 16, None), (3, 16, 3), (3, 16, 3), (5, 16, 3), (5, 0, 5)], key=str)
+    assert got == sorted([(None, 16, None), (3, 16, 3), (3, 16, 3), (5, 16, 3), (5, 0, 5), (7, 37, 7), (8, 36, 7), (8, 41, 7), (9, 41, 7)], key=str)
     assert jaccard.near_duplicates(docs.limit(0))[0].count() == 0
 
 
