@@ -27,9 +27,9 @@ NEARLY = 0.995
 FAN_IN = 8
 #: Items that a task packs at once in any round; more are packed in turn or spread over more tasks.
 MAX_ITEMS = 400_000
-#: Bytes of distinct white-space free strings that a Python worker remembers; then it starts afresh.
-#: Longer strings than LONG_PART are not remembered.
-MEMO_BYTES, LONG_PART = 48 << 20, 200
+#: About how many bytes of distinct white-space free strings, with ENTRY for each, a Python worker
+#: remembers; then it starts afresh. Longer strings than LONG_PART are not remembered.
+MEMO_BYTES, ENTRY, LONG_PART = 160 << 20, 160, 200
 #: Characters whose parts are looked up together.
 CHUNK = 4 << 20
 #: New words that one call encodes.
@@ -89,7 +89,7 @@ class Encoder:
                 odd.append(part)
         fresh = {w for ws in cut.values() for w in ws} - self.words.keys()
         self.words.update(self._encode_words(list(fresh)))
-        self.held += sum(map(len, fresh))
+        self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
         for part, ws in cut.items():
             yield part, b"".join([self.words[w] for w in ws])
         for part, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
@@ -109,7 +109,7 @@ class Encoder:
         self.starts[where] = self.n_ids + np.cumsum(sizes) - sizes
         self.places.update(zip([part for part, _ in encoded], range(self.n_parts, self.n_parts + len(sizes))))
         self.n_ids, self.n_parts = self.n_ids + len(ids), self.n_parts + len(sizes)
-        self.held += sum(map(len, new)) + 4 * len(ids)
+        self.held += sum(map(len, new)) + ENTRY * len(new) + 4 * len(ids)
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts in order, ``end`` after each, and where each one's end.
