@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, ctw, embeddings, jaccard, langid, lines, mixing, packing, quality, sharding
+from lectern.llm import chat, ctw, embeddings, fim, jaccard, langid, lines, mixing, packing, quality, resampling, sharding, topk
 
-MODULES = [packing, langid, embeddings, lines, ctw, mixing, jaccard, quality, sharding, chat]
+MODULES = [packing, langid, embeddings, lines, ctw, mixing, jaccard, quality, sharding, chat, fim, topk, resampling]
 
 
 def queries() -> dict:
