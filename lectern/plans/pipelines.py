@@ -14,7 +14,8 @@ from lectern.functions.text import cleaned, compacted, excerpt, filled, json_obj
 from lectern.operators.chunking import Chunking
 from lectern.operators.history import ask_prompts
 from lectern.operators.papers import clamped_limit, federated, source_error
-from lectern.operators.providers import Provider, answered, concurrency_of, streamed
+from lectern.operators.providers import Provider, concurrency_of, streamed
+from lectern.operators.replies import ReplyStore, answered_once
 from lectern.operators.sections import analysed, results
 from lectern.operators.sessions import session_text, validated
 from lectern.streaming.events import section_events
@@ -62,12 +63,12 @@ def ask_stream(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provi
     return streamed(both, provider, settings.max_retries, concurrency_of(provider, settings.max_concurrency))
 
 
-def ask(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provider: Provider, settings: Settings = Settings()) -> DataFrame:
+def ask(requests: DataFrame, sessions: DataFrame, turns: DataFrame, provider: Provider, settings: Settings = Settings(), store: ReplyStore | None = None) -> DataFrame:
     """request_id, answer, error. ``requests``: request_id, session_id, token, question; ``sessions``:
-    session_id, token_hash, document."""
+    session_id, token_hash, document. Prompts are asked here, once each, and answers read from ``store``."""
     checked, prompts = _asked(requests, sessions, turns)
-    open_calls = concurrency_of(provider, settings.max_concurrency)
-    replies = answered(prompts.select("request_id", F.lit("answer").alias("task"), "prompt", F.col("error").alias("refused")), provider, open_calls)
+    asked = prompts.select("request_id", F.lit("answer").alias("task"), "prompt", F.col("error").alias("refused"))
+    replies = answered_once(asked, provider, store or ReplyStore(requests.sparkSession), settings.max_concurrency)
     return checked.unionByName(replies.select("request_id", F.col("reply").alias("answer"), F.coalesce("refused", "error").alias("error")))
 
 
@@ -119,13 +120,15 @@ def searched(queries: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, D
     return federated(records, clean.select("query_id", F.col("limit").cast("string").alias("limit"))), outcomes
 
 
-def recommended(sessions: DataFrame, provider: Provider, fetch: Callable[[DataFrame], tuple[DataFrame, DataFrame]], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def recommended(sessions: DataFrame, provider: Provider, fetch: Callable[[DataFrame], tuple[DataFrame, DataFrame]], settings: Settings = Settings(), store: ReplyStore | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, outcomes) per session (session_id, document_content, document_excerpt): its text makes a
     query, a provider rewrites it, the search runs, and each item has the query's reason. outcomes:
-    query_id, query, topics, reason, errors; a session without text, or whose rewriting failed, has no items."""
+    query_id, query, topics, reason, errors; a session without text, or whose rewriting failed, has no items.
+    Each session is one call of the provider, made here, whatever is read of the results: replies are in
+    ``store`` before any plan reads them, and one that is there already is not asked for again."""
     held = sessions.select("session_id", session_text(F.col("document_content"), F.col("document_excerpt")).alias("document"))
     asked = rewrite_prompts(recommendation_queries(held.where("document <> ''")))
-    replies = answered(asked.select("query_id", "task", "prompt"), provider, concurrency_of(provider, settings.max_concurrency))
+    replies = answered_once(asked.select("query_id", "task", "prompt"), provider, store or ReplyStore(sessions.sparkSession), settings.max_concurrency)
     made = rewritten(replies.select("query_id", "reply")).withColumnRenamed("error", "unread").join(replies.select("query_id", F.col("error").alias("failed")), "query_id")
     good = made.where("failed IS NULL AND unread IS NULL")
     items, found = searched(good.select("query_id", "query", F.lit(settings.recommendation_limit).alias("limit")), fetch)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_inner, is_public_http, looks_like_html, type_extension
 from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, download_error, from_atom, from_scholar
+from lectern.operators.replies import ReplyStore
 
 SCHOLAR_URL = "https://api.semanticscholar.org/graph/v1/paper/search"
 ATOM_URL = "http://export.arxiv.org/api/query"
-SCHOLAR_FIELDS = "paperId,title,abstract,authors,year,venue,url,openAccessPdf"
+#: Fixed value: the fields a search asks for.
+SCHOLAR_FIELDS = "title,abstract,year,venue,url,authors,openAccessPdf,paperId"
 
 
 def trusted_context() -> ssl.SSLContext:
@@ -46,29 +48,43 @@ def get(url: str, timeout: int, headers: dict[str, str] | None = None, attempts:
     raise AssertionError("attempts must be positive")
 
 
-def fetched(queries: DataFrame, source: str, timeout: int = 20, attempts: int = 3, api_key: str = "") -> DataFrame:
-    """query_id, body, status, reason for rows of query_id, query, limit: one call per query, in tasks."""
+#: The columns of a call's outcome.
+OUTCOME = "body string, status long, reason string"
+AGENT = {"User-Agent": "lectern"}
 
-    def link(query: str, limit: int) -> tuple[str, dict[str, str]]:
-        if source == "scholar":
-            args = {"query": query, "limit": limit, "fields": SCHOLAR_FIELDS}
-            return f"{SCHOLAR_URL}?{urllib.parse.urlencode(args)}", {"x-api-key": api_key} if api_key else {}
-        return f"{ATOM_URL}?{urllib.parse.urlencode({'search_query': f'all:{query}', 'start': 0, 'max_results': limit})}", {}
 
-    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for q, text, limit in zip(f["query_id"], f["query"], f["limit"]):
-                try:
-                    url, headers = link(text, int(limit))
-                    out.append((q, get(url, timeout, headers, attempts), None, None))
-                except urllib.error.HTTPError as e:
-                    out.append((q, None, e.code, str(e.reason)))
-                except Exception as e:  # an unreachable source is an error row
-                    out.append((q, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["query_id", "body", "status", "reason"]).astype({"body": "string", "status": "Int64", "reason": "string"})
+def request_of(source: str, query: str, limit: int, api_key: str = "", base: str | None = None) -> tuple[str, dict[str, str]]:
+    """Address and headers of one search."""
+    if source == "scholar":
+        args = {"query": query, "limit": limit, "fields": SCHOLAR_FIELDS}
+        return f"{base or SCHOLAR_URL}?{urllib.parse.urlencode(args)}", AGENT | ({"x-api-key": api_key} if api_key else {})
+    return f"{base or ATOM_URL}?{urllib.parse.urlencode({'search_query': f'all:{query}', 'start': 0, 'max_results': limit})}", AGENT
+
+
+def outcome_of(url: str, headers: dict[str, str], timeout: int, attempts: int) -> tuple[str | None, int | None, str | None]:
+    """(body, status, reason); a source that can't be reached or refuses is data too."""
+    try:
+        return get(url, timeout, headers, attempts), None, None
+    except urllib.error.HTTPError as e:
+        return None, e.code, str(e.reason)
+    except Exception as e:  # whatever keeps a reply from coming is its row's result
+        return None, None, str(e) or type(e).__name__
+
+
+def fetched(queries: DataFrame, source: str, timeout: int = 20, attempts: int = 3, api_key: str = "", store: ReplyStore | None = None, base: str | None = None, max_concurrency: int | None = None) -> DataFrame:
+    """query_id, body, status, reason for rows of query_id, query, limit. Queries alike are one call; what the
+    store has of earlier runs is not called again, and what is read here comes from the store, however many
+    plans read it."""
+    store = store or ReplyStore(queries.sparkSession, OUTCOME)
+
+    def call(row: dict) -> tuple[dict, bool]:
+        body, status, reason = outcome_of(*request_of(source, row["query"], int(row["limit"]), api_key, base), timeout, attempts)
+        return {"body": body, "status": status, "reason": reason}, body is not None
 
-    return queries.mapInPandas(fn, "query_id long, body string, status long, reason string")
+    key = F.sha2(F.concat_ws("\x1f", F.lit(source), F.col("limit").cast("string"), "query"), 256)
+    keyed = queries.select("query_id", "query", "limit", key.alias("key"))
+    replies = store.evaluated(keyed.select("key", "query", "limit").distinct(), call, max_concurrency)
+    return keyed.select("query_id", "key").join(replies.select("key", "body", "status", "reason"), "key").drop("key")
 
 
 def scholar_records(replies: DataFrame, src_ord: int = 0) -> DataFrame:
@@ -86,11 +102,15 @@ def atom_records(replies: DataFrame, src_ord: int = 1) -> DataFrame:
     return from_atom(items).withColumn("src_ord", F.lit(src_ord))
 
 
-def live_sources(timeout: int = 20, attempts: int = 3, api_key: str = ""):
-    """The two sources as ``pipelines.searched`` fetches them: records, and failed calls by source."""
+def live_sources(timeout: int = 20, attempts: int = 3, api_key: str = "", store: ReplyStore | None = None, bases: dict[str, str] | None = None, max_concurrency: int | None = None):
+    """The two sources as ``pipelines.searched`` fetches them: records, and failed calls by source. Each is
+    called once for a query and limit."""
 
     def fetch(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        one, two = fetched(queries, "scholar", timeout, attempts, api_key), fetched(queries, "atom", timeout, attempts)
+        held = store or ReplyStore(queries.sparkSession, OUTCOME)
+        # Fixed value: the second source is tried twice only.
+        tries = {"scholar": attempts, "atom": min(attempts, 2)}
+        one, two = (fetched(queries, s, timeout, tries[s], api_key if s == "scholar" else "", held, (bases or {}).get(s), max_concurrency) for s in tries)
         records = scholar_records(one).unionByName(atom_records(two))
         failed = one.withColumn("source", F.lit("Semantic Scholar")).unionByName(two.withColumn("source", F.lit("arXiv")))
         return records, failed.where("body IS NULL").select("query_id", "source", "status", "reason")
