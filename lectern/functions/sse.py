@@ -33,3 +33,44 @@ def frames(stream: Column) -> Column:
 def payload(data: Column) -> Column:
     """JSON data as it is; other data wrapped as {"raw": ...}."""
     return F.when(F.try_parse_json(data).isNotNull(), data).otherwise(F.to_json(F.struct(data.alias("raw"))))
+
+
+class FrameFold:
+    """Frames of a stream that comes in pieces of bytes, cut anywhere: what is not yet a whole frame, half a
+    line break or half a letter waits for the next piece. The frames of all pieces are those of ``frames``
+    over the whole. ``rest`` is all there is to keep between pieces."""
+
+    def __init__(self, rest: bytes = b""):
+        self.rest = rest
+
+    def feed(self, piece: bytes, last: bool = False) -> list[tuple[str, str]]:
+        """(event, data) of the frames that this piece completes; the ``last`` one ends the stream."""
+        known = max(0, len(self.rest) - 1)  # no blank line ends before here
+        text = self.rest + piece
+        held = b""
+        if not last and text.endswith(b"\r"):
+            text, held = text[:-1], b"\r"
+        text = text.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+        out: list[tuple[str, str]] = []
+        begin, end = 0, text.find(b"\n\n", min(known, len(text)))
+        while end >= 0:
+            out += _frame_in(text[begin:end])
+            begin = end + 2
+            end = text.find(b"\n\n", begin)
+        if last:
+            out += _frame_in(text[begin:])
+            self.rest = b""
+        else:
+            self.rest = text[begin:] + held
+        return out
+
+
+def _frame_in(block: bytes) -> list[tuple[str, str]]:
+    name, data = "message", []
+    for line in block.decode("utf-8", "replace").split("\n"):
+        if line.startswith("data:"):
+            data.append(line[5:].removeprefix(" "))
+        elif line.startswith("event:"):
+            name = line[6:].strip(" ")
+    text = "\n".join(data)
+    return [(name, text)] if text else []

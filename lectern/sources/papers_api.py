@@ -7,7 +7,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_inner, is_public_http, looks_like_html, type_extension
 from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, download_error, from_atom, from_scholar
 from lectern.operators.replies import ReplyStore
+from lectern.operators.storage import removed, shared_folder
 
 SCHOLAR_URL = "https://api.semanticscholar.org/graph/v1/paper/search"
 ATOM_URL = "http://export.arxiv.org/api/query"
@@ -195,7 +196,7 @@ def usable_download(reply: DataFrame) -> DataFrame:
     size = F.octet_length("content")
     error = (
         F.when(size == 0, "empty file").when(size > MAX_FILE_BYTES, "larger than 16 MiB")
-        .when(content_type(F.col("content_type")).isin("text/html", "application/xhtml+xml") | looks_like_html(F.decode(F.substring("content", 1, 64), "UTF-8")), "a web page, not a file")
+        .when(content_type(F.col("content_type")).isin("text/html", "application/xhtml+xml") | looks_like_html(F.decode(F.substring("content", 1, 64), "ISO-8859-1")), "a web page, not a file")
         .when(ext.isNull(), "unknown file type")
     )
     return reply.withColumn("error", error)
@@ -207,3 +208,29 @@ def first_usable(tries: DataFrame, key: str = "paper_id") -> DataFrame:
     return tries.groupBy(key).agg(best.alias("link"), F.max_by("error", "ord").alias("last_error")).select(key, "link", F.when(F.col("link").isNull(), F.col("last_error")).alias("error"))
 
 
+def resolved(papers: DataFrame, key: str = "paper_id", folder: str | None = None, fetch: Callable[[DataFrame], DataFrame] = downloaded) -> DataFrame:
+    """(key, link, content_type, disposition, content, error) per paper with an address: its addresses are
+    tried in order, the next only where all before failed. Round by round, as many as one paper has
+    addresses; each round's outcomes are written once, and the next leaves out what they resolved. Where all
+    failed, the last error. ``papers``: key, pdf_url, url; rows of one key are one paper, the first row's."""
+    spark = papers.sparkSession
+    folder = folder or shared_folder(spark, "imports")
+    one = papers.groupBy(key).agg(F.min_by(F.struct("pdf_url", "url"), F.struct("pdf_url", "url")).alias("p")).select(key, "p.*")
+    tries = import_candidates(one).select(key, "ord", "link", "refused")
+    schema = f"`{key}` {papers.schema[key].dataType.simpleString()}, ord int, link string, content_type string, disposition string, content binary, error string"
+    seen = lambda n: spark.read.schema(schema).parquet(*[f"{folder}/round={k}" for k in range(n)])
+    for at in range((tries.agg(F.max("ord")).first()[0] or 0) + 1):
+        now = tries.where(F.col("ord") == at)
+        if at:
+            now = now.join(seen(at).where("error IS NULL").select(key), key, "left_anti")
+        # What is told apart afterwards is fetched once: both kinds come from one written outcome.
+        fetch(now).write.parquet(f"{folder}/got={at}")
+        written = spark.read.schema(schema).parquet(f"{folder}/got={at}")
+        checked = usable_download(written.where("error IS NULL").drop("error")).unionByName(written.where("error IS NOT NULL"), allowMissingColumns=True)
+        content = F.when(F.col("error").isNull(), F.col("content")).alias("content")
+        checked.select(key, "ord", "link", "content_type", "disposition", content, "error").write.parquet(f"{folder}/round={at}")
+        removed(spark, f"{folder}/got={at}")
+    rounds = seen(at + 1)
+    good = rounds.where("error IS NULL").drop("ord")
+    bad = rounds.groupBy(key).agg(F.count_if(F.col("error").isNull()).alias("n"), F.max_by(F.struct("link", "content_type", "disposition", "error"), "ord").alias("last")).where("n = 0")
+    return good.unionByName(bad.select(key, "last.*"), allowMissingColumns=True)
