@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import flow_queries, service_queries, text_queries
+from lectern.plans import flow_queries, service_queries, store_queries, text_queries
 
-MODULES = [text_queries, flow_queries, service_queries]
+MODULES = [text_queries, flow_queries, service_queries, store_queries]
 
 
 def queries() -> dict:

@@ -144,6 +144,7 @@ def standalone_svg(svg: Column) -> Column:
     return F.when(named.startswith("<?xml"), named).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), named))
 
 
-def export_timestamp(at: Column) -> Column:
-    """A time as exports show it."""
-    return F.date_format(at, "M/d/yyyy, h:mm:ss a")
+def export_timestamp(at: Column, now: Column | None = None) -> Column:
+    """A time as exports show it; one that can't be read is ``now``."""
+    read = F.coalesce(at.try_cast("timestamp_ntz"), (now if now is not None else F.current_timestamp()).cast("timestamp_ntz"))
+    return F.date_format(read, "M/d/yyyy, h:mm:ss a")

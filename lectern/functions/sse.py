@@ -24,7 +24,7 @@ def frames(stream: Column) -> Column:
     def parsed(block: Column) -> Column:
         lines = F.split(block, "\n")
         data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: value(x, "data"))
-        names = F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.btrim(value(x, "event")))
+        names = F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.coalesce(F.nullif(F.btrim(value(x, "event")), F.lit("")), F.lit("message")))
         return F.struct(F.coalesce(F.element_at(F.nullif(names, F.array().cast("array<string>")), -1), F.lit("message")).alias("event"), F.nullif(F.array_join(data, "\n"), F.lit("")).alias("data"))
 
     return F.filter(F.transform(blocks, parsed), lambda e: e["data"].isNotNull())
@@ -45,7 +45,7 @@ class FrameFold:
 
     def feed(self, piece: bytes, last: bool = False) -> list[tuple[str, str]]:
         """(event, data) of the frames that this piece completes; the ``last`` one ends the stream."""
-        known = max(0, len(self.rest) - 1)  # no blank line ends before here
+        known = max(0, len(self.rest) - 2)  # a blank line may begin with the last break, before a break held back
         text = self.rest + piece
         held = b""
         if not last and text.endswith(b"\r"):
@@ -71,6 +71,6 @@ def _frame_in(block: bytes) -> list[tuple[str, str]]:
         if line.startswith("data:"):
             data.append(line[5:].removeprefix(" "))
         elif line.startswith("event:"):
-            name = line[6:].strip(" ")
+            name = line[6:].strip(" ") or "message"
     text = "\n".join(data)
     return [(name, text)] if text else []

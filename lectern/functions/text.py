@@ -140,9 +140,47 @@ def math_delimiters(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\\((.*?)\\\)", r"\$$1\$")
 
 
+#: Marks that stand for formulas while a text is rendered; what is a formula.
+_MARK = r"@@MATH(?:BLOCK|INLINE)\d+@@"
+_BLOCK = r"(?s)\$\$.*?\$\$|" + _MARK
+_INLINE = r"(?U)\$(?!\s)(?:(?!@@MATH)[^$])+?\$"
+
+
+def protected_math(c: Column) -> Column:
+    """struct<text, blocks, inline>: each formula replaced by a numbered mark and kept under its number, those
+    in $$..$$ in ``blocks``, their marks as paragraphs of their own, then those in $..$ in ``inline``.
+    Delimiters are made alike before, by ``math_delimiters``. What looks like a mark already counts as a
+    formula, and no formula in a line holds a mark, so ``restored_math`` is exact."""
+
+    def marked(text: Column, pattern: str, before: str, after: str) -> Column:
+        pieces = F.split(text, pattern, -1)
+        shown = F.transform(pieces, lambda p, i: F.when(i > 0, F.concat(F.lit(before), (i - 1).cast("string"), F.lit(after), p)).otherwise(p))
+        return F.array_join(shown, "")
+
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    c = math_delimiters(c)
+    shown = marked(c, _BLOCK, "\n\n@@MATHBLOCK", "@@\n\n")
+    return F.struct(marked(shown, _INLINE, "@@MATHINLINE", "@@").alias("text"), found(c, _BLOCK).alias("blocks"), found(shown, _INLINE).alias("inline"))
+
+
+def restored_math(text: Column, blocks: Column, inline: Column) -> Column:
+    """A text with its marks replaced by their formulas: marks in line, as paragraphs, or as the HTML
+    paragraphs a renderer has made of those. In one pass, however many there are; ``blocks`` and ``inline``
+    should be plain columns."""
+    pattern = r"\n\n@@MATHBLOCK\d+@@\n\n|<p>@@MATHBLOCK\d+@@</p>|" + _MARK
+
+    def formula(mark: Column) -> Column:
+        number = F.regexp_extract(mark, r"(\d+)@@", 1).try_cast("int")
+        return F.when(mark.contains("MATHBLOCK"), F.get(blocks, number)).otherwise(F.get(inline, number))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), formula)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
+
+
 def error_hints(c: Column) -> Column:
     """Which of three hints an error message calls for."""
     text = stripped(filled(c))
+    # What each hint goes by.
     return F.array_compact(
         F.array(
             F.when(text.rlike("(?i)API Key|认证失败|401"), "check the API key"),

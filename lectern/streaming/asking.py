@@ -30,7 +30,7 @@ class _Ask(StatefulProcessor):
         self.open = handle.getValueState("open", "session_id string, question string, sent int, attempt int, closed boolean, timer long")
         self.pieces = handle.getListState("pieces", "seq int, text string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(rows)
         ends = every["event"].isin(["done", "error"])
         every = every.assign(ends=ends).sort_values(["ends", "attempt", "seq"], kind="stable")
@@ -66,17 +66,17 @@ class _Ask(StatefulProcessor):
                     break
         if timer:
             self.handle.deleteTimer(timer)
-        timer = max(newest, timer_values.getCurrentWatermarkInMs()) + SILENCE
+        timer = max(newest, timerValues.getCurrentWatermarkInMs()) + SILENCE
         self.handle.registerTimer(timer)
         self.open.update((session, question, sent, attempt, closed, timer))
         yield _frame(out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
         if self.open.exists():
             session, question, sent, _, closed, _ = self.open.get()
             if not closed:
-                at = pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms")
+                at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
                 out.append((key[0], sent + 1, "error", json.dumps({"error": SILENT}), session, question, None, at))
         self.open.clear()
         self.pieces.clear()

@@ -60,7 +60,7 @@ class _Frames(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "rest binary, nth long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rest, nth = self.held.get() if self.held.exists() else (b"", 0)
         fold, out = FrameFold(bytes(rest or b"")), []
         every = pd.concat(rows).sort_values("at", kind="stable")

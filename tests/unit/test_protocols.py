@@ -124,3 +124,19 @@ def test_a_turn_is_stored_before_done_through_a_restart(spark, tmp_path, keyed_s
     feed(spark, tmp_path, asked(7, ("done", 1, 1, "z"), at=AT + timedelta(hours=9)), asking.turns_first(log))
     turns, events = stored(spark, tmp_path)
     assert events[5] == [(1, "start", "s5"), (2, "delta", "x"), (3, "error", asking.SILENT)] and "s5" not in {t[0] for t in turns}
+
+
+def test_formulas_come_back_unchanged(spark):
+    from lectern.functions.text import math_delimiters, protected_math, restored_math
+
+    texts = [
+        "a $$x_1\n*y*$$ b $c<d$ e", r"\[p\] and \(q\)" + "\r\n$ 5 and $6", "no math", "", None, "@@MATHBLOCK0@@ $$z$$ @@MATHINLINE7@@", "\n\n$$x$$\n\n$$y$$$z$", "$$open $a$", "$a$$b$$c$",
+        "<p>@@MATHBLOCK0@@</p> $$q$$", "price $5 and $6", "$$$$ $x $",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", math_delimiters(F.col("t")).alias("plain"), protected_math(F.col("t")).alias("p"))
+    out = rows.select("n", "plain", "p.*", restored_math(F.col("p.text"), F.col("p.blocks"), F.col("p.inline")).alias("back")).collect()
+    assert all(r.back == r.plain for r in out)
+    first = min(out)
+    assert (first.text, first.blocks, first.inline) == ("a \n\n@@MATHBLOCK0@@\n\n b @@MATHINLINE0@@ e", ["$$x_1\n*y*$$"], ["$c<d$"])
+    html = spark.range(1).select(F.lit("<p>@@MATHBLOCK0@@</p><b>@@MATHINLINE0@@</b>").alias("h"), F.array(F.lit("$$a$$")).alias("b"), F.array(F.lit("$b$")).alias("i"))
+    assert html.select(restored_math(F.col("h"), F.col("b"), F.col("i"))).first()[0] == "$$a$$<b>$b$</b>"
