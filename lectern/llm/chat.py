@@ -11,6 +11,7 @@ reads back to exactly its turns.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table
@@ -53,15 +54,19 @@ def format_chats(turns: DataFrame) -> DataFrame:
     turns; a null conv_id is a conversation of its own. An empty table gives no rows. A conversation
     is one output row and so is gathered whole, as its format demands; conversations are independent.
     """
-    rows = turns.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-        ).alias("t"),
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # Where each text begins follows from the lengths of all before it: a running sum, so that no array grows
+    # by copying and a conversation's work is linear in its turns.
+    seen = rows.withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("role").over(order)).withColumn("shown", escaped(F.col("text")))
+    opened = F.length(F.concat(F.lit("<s>"), _opening(F.col("role"))))
+    between = (
+        F.when(F.col("before").isNull(), opened).when(F.col("before") == F.col("role"), len(_TURN))
+        .otherwise(F.length(F.concat(_closing(F.col("before")), F.lit("</s>"))) + opened)
     )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    sized = seen.withColumn("size", F.length("shown").cast("long")).withColumn("upto", F.sum(between + F.col("size")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    placed = sized.select("conv_id", F.struct("n", "role", F.col("shown").alias("text"), (F.col("upto") - F.col("size")).alias("start"), "size").alias("t"))
+    sorted_turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # Blocks begin where the role changes; each is then cut out once, so the work is linear in turns.
     begins = sorted_turns.withColumn(
         "starts", F.array_compact(F.transform("turns", lambda t, i: F.when((i == 0) | (F.get("turns", i - 1)["role"] != t["role"]), i)))
@@ -69,12 +74,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     def block(start: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("turns"))
-        texts = F.transform(F.slice("turns", start + 1, end - start), lambda t: escaped(t["text"]))
+        texts = F.transform(F.slice("turns", start + 1, end - start), lambda t: t["text"])
         return F.struct(F.get("turns", start)["role"].alias("role"), texts.alias("texts"))
 
-    blocks = begins.select("conv_id", F.transform("starts", block).alias("blocks"))
+    blocks = begins.select("conv_id", "turns", F.transform("starts", block).alias("blocks"))
     pieces = blocks.select(
         "conv_id",
+        "turns",
         F.transform(
             "blocks",
             lambda b: F.struct(
@@ -88,28 +94,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     formatted = F.array_join(
         F.transform("pieces", lambda p: F.concat(p["head"], F.array_join(p["texts"], _TURN), p["tail"])), ""
     )
-    span_type = "array<struct<start:long,length:long>>"
-
-    def of_texts(acc: Column, text: Column) -> Column:
-        size = F.length(text).cast("long")
-        return F.struct(
-            (acc["at"] + size + len(_TURN)).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), size.alias("length")))).alias("spans"),
-        )
-
-    def of_pieces(acc: Column, p: Column) -> Column:
-        body = acc["at"] + F.length(p["head"])
-        inside = F.aggregate(p["texts"], F.struct(body.alias("at"), F.array().cast(span_type).alias("spans")), of_texts)
-        return F.struct(
-            (body + F.length(F.array_join(p["texts"], _TURN)) + F.length(p["tail"])).alias("at"),
-            F.when(p["role"] == "assistant", F.concat(acc["spans"], inside["spans"]))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        )
-
-    spans = F.aggregate(
-        "pieces", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span_type).alias("spans")), of_pieces
-    )["spans"]
+    spoken = F.filter("turns", lambda t: t["role"] == "assistant")
+    spans = F.transform(spoken, lambda t: F.struct(t["start"].alias("start"), t["size"].alias("length")))
     return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 

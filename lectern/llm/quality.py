@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule rejects a document whose measure exceeds a cutoff from a fixed grid. Cutoffs are selected on
-labelled documents, per stratum (language): a cutoff may be used only if the exact binomial test
-refutes that it rejects more than ``risk / rules`` of the good documents of that stratum, at level
-``level / tests`` where ``tests`` counts all strata, rules and grid points (Bonferroni), so that with
-probability 1 - level no stratum loses more than ``risk`` of its good documents. Of the permitted
-cutoffs the one is taken that rejects most bad documents, each good one weighing ``GOOD_WEIGHT`` bad
-ones; ties take the highest cutoff. A stratum with too few labels to prove anything uses no cutoff.
+Each rule rejects a document whose measure exceeds a cutoff from a fixed grid. Labelled documents are
+split by a hash of their id, per stratum (language). On the tuning part each rule gets the cutoff that
+rejects most bad documents, each good one weighing ``GOOD_WEIGHT`` bad ones (ties: the highest), and the
+rules that gain anything are put in order of their gain. That fixes a sequence of growing sets of rules.
+On the holdout the sets are tested in turn, from the loosest: a set may be used only if the exact
+binomial test refutes that all its rules together reject more than ``risk`` of the stratum's good
+documents, at level ``level / strata`` (Bonferroni over strata; within one, the first set that fails ends
+the sequence, which needs no further correction). So with probability 1 - level no stratum loses more
+than ``risk`` of its good documents. The largest set that passes is used; a stratum with too few labels
+to prove anything (fewer than some 90 good ones in the holdout) uses none.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ SYMBOLS = "[#*$%&|<>]"
 RULES = ("symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate", "shout_rate")
 GRID = (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8)
 RISK, LEVEL, GOOD_WEIGHT = 0.05, 0.05, 10
+#: Labelled documents whose hash begins with a digit below this tune cutoffs, the others test them.
+TUNING = "5"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -123,32 +128,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * total))
 
 
-def select_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """stratum, rule, cutoff: the rules that may reject. ``labelled``: stratum, quality (1 good, 0 bad)
-    and the measures, of documents that pass the base rules. Sums run before the shuffle."""
+def is_tuning(doc_id: Column) -> Column:
+    """Five of sixteen documents; the rest are the holdout."""
+    return F.substring(F.sha2(F.concat(F.lit("split:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256), 1, 1) < TUNING
+
+
+def tuned_rules(tuning: DataFrame) -> DataFrame:
+    """stratum and path: an array of (gain, at, rule, cutoff), best gain first, then the rules' own order.
+    Sums run before the shuffle."""
     points = F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (F.col(r) > c).cast("long").alias("hit")) for r in RULES for c in GRID
+        F.struct(F.lit(i).alias("at"), F.lit(c).alias("cutoff"), (F.col(r) > c).cast("long").alias("hit")) for i, r in enumerate(RULES) for c in GRID
     ])).alias("p")
     good = (F.col("quality") == 1).cast("long")
-    tallies = (
-        labelled.select("stratum", "quality", points)
-        .groupBy("stratum", F.col("p.rule").alias("rule"), F.col("p.cutoff").alias("cutoff"))
-        .agg(
-            F.sum(good).alias("n"),
-            F.sum(good * F.col("p.hit")).alias("k"),
-            F.sum((1 - good) * F.col("p.hit")).alias("bad"),
-        )
-    )
-    tests = F.count(F.lit(1)).over(W.partitionBy())  # one row per stratum, rule and grid point in all
-    proven = (
-        tallies.withColumn("tests", tests)
-        .where(F.col("n") > 0)
-        .withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk / len(RULES)))
-        .where(F.col("p_value") * F.col("tests") <= level)
-        .withColumn("gain", F.col("bad") - GOOD_WEIGHT * F.col("k"))
-        .where(F.col("gain") > 0)
-    )
-    return proven.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    gain = F.sum((1 - good) * F.col("p.hit")) - GOOD_WEIGHT * F.sum(good * F.col("p.hit"))
+    gains = tuning.select("stratum", "quality", points).groupBy("stratum", F.col("p.at").alias("at"), F.col("p.cutoff").alias("cutoff")).agg(gain.alias("gain")).where("gain > 0")
+    best = gains.groupBy("stratum", "at").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
+    rule = F.element_at(F.array(*map(F.lit, RULES)), F.col("at") + 1)
+    return best.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct((-F.col("b.gain")).alias("loss"), "at", rule.alias("rule"), F.col("b.cutoff").alias("cutoff")))).alias("path"))
+
+
+def select_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """stratum, rule, cutoff: the rules that may reject. ``labelled``: stratum, tuning, quality (1 good, 0
+    bad) and the measures, of documents that pass the base rules."""
+    paths = tuned_rules(labelled.where("tuning"))
+    value = F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])
+    joined = labelled.where("NOT tuning AND quality = 1").select("stratum", value.alias("value")).join(paths, "stratum", "left")
+    # The first rule of the path that rejects it: sets from that one on do too.
+    first = F.array_min(F.filter(F.transform("path", lambda x, i: F.when(F.try_element_at("value", x["rule"]) > x["cutoff"], i)), lambda i: i.isNotNull()))
+    upto = [F.count_if(F.coalesce(F.col("first") <= j, F.lit(False))).alias(f"k{j}") for j in range(len(RULES))]
+    tallies = joined.select("stratum", "path", first.alias("first")).groupBy("stratum").agg(F.first("path").alias("path"), F.count(F.lit(1)).alias("n"), *upto)
+    strata = F.count(F.lit(1)).over(W.partitionBy())  # one row per stratum
+    passed = [F.when((F.size("path") > j) & (binomial_tail(F.col(f"k{j}"), F.col("n"), risk) * F.col("strata") <= level), 1).otherwise(0) for j in range(len(RULES))]
+    n_passed = sum(passed[1:], passed[0])  # a larger set rejects no less, so those that pass come first
+    tested = tallies.withColumn("strata", strata).where("path IS NOT NULL").withColumn("passed", n_passed).where("passed > 0")
+    return tested.select("stratum", F.inline(F.slice("path", F.lit(1), F.col("passed")))).select("stratum", "rule", "cutoff")
 
 
 def _stratum() -> Column:
@@ -165,12 +178,15 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
     documents are judged alike. Columns of ``docs`` with the names of counts keep their values.
     Empty tables give no rows; without labels the base rules alone decide.
     """
-    measured = stored(with_features(docs))
+    return _verdicts(stored(with_features(docs)), labels, risk, level)
+
+
+def _verdicts(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     q = F.col("lectern_quality")
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     labelled = (
         measured.where(~q["base_failed"])
-        .select("doc_id", _stratum().alias("stratum"), *[q[r].alias(r) for r in RULES])
+        .select("doc_id", _stratum().alias("stratum"), is_tuning(F.col("doc_id")).alias("tuning"), *[q[r].alias(r) for r in RULES])
         .dropDuplicates(["doc_id"])
         .join(known, "doc_id")
     )
@@ -191,8 +207,9 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judged(docs, table(spark, sf_dir, "labels"))
+    # Texts are not needed once they are measured: only the counts are stored.
+    measured = stored(with_features(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text"))
+    out = _verdicts(measured, table(spark, sf_dir, "labels"))
     q = F.col("lectern_quality")
     return out.select("doc_id", *[q[c].alias(c) for c in BASE], q["base_failed"].alias("base_failed"), F.col("lectern_kept").alias("kept"))
 
@@ -232,18 +249,28 @@ WITH cut AS (
     )
     + r"""
 ), known AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HAVING min(quality) = max(quality)
-), tallies AS (
-  SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND value > cutoff) AS k, count(*) FILTER (quality <> 1 AND value > cutoff) AS bad
-  FROM measured JOIN known USING (doc_id), (SELECT unnest(["""
+), labelled AS (
+  SELECT measured.*, quality, substr(sha256('split:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1) < '"""
+    + TUNING
+    + r"""' AS tuning FROM measured JOIN known USING (doc_id) WHERE NOT base_failed
+), gains AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (quality <> 1 AND value > cutoff) - """
+    + str(GOOD_WEIGHT)
+    + r""" * count(*) FILTER (quality = 1 AND value > cutoff) AS gain
+  FROM labelled, (SELECT unnest(["""
     + ", ".join(map(str, GRID))
-    + rf"""]) AS cutoff)
-  WHERE NOT base_failed GROUP BY stratum, rule, cutoff
-), tested AS (
-  SELECT *, CASE WHEN k >= n * {RISK / len(RULES)} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK / len(RULES)}) + (n - j) * ln(1 - {RISK / len(RULES)})))) END AS p_value, count(*) OVER () AS tests FROM tallies
+    + r"""]) AS cutoff) WHERE tuning GROUP BY stratum, rule, cutoff
+), best AS (SELECT * FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1
+), path AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, list_position(["""
+    + ", ".join(f"'{r}'" for r in RULES)
+    + rf"""], rule)) AS place FROM best
+), hits AS (SELECT doc_id, min(place) AS place FROM labelled JOIN path USING (stratum, rule) WHERE NOT tuning AND quality = 1 AND value > cutoff GROUP BY doc_id
+), goods AS (SELECT stratum, h.place FROM (SELECT DISTINCT doc_id, stratum FROM labelled WHERE NOT tuning AND quality = 1) LEFT JOIN hits h USING (doc_id)
+), sizes AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM goods GROUP BY stratum
+), tallies AS (SELECT path.stratum, path.rule, path.cutoff, n, strata, (SELECT count(*) FROM goods WHERE goods.stratum = path.stratum AND goods.place <= path.place) AS k FROM path JOIN sizes USING (stratum)
 ), cutoffs AS (
-  SELECT stratum, rule, cutoff FROM tested WHERE n > 0 AND p_value * tests <= {LEVEL} AND bad - {GOOD_WEIGHT} * k > 0
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {GOOD_WEIGHT} * k DESC, cutoff DESC) = 1
+  SELECT stratum, rule, cutoff FROM (SELECT *, CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END AS p_value FROM tallies) WHERE p_value * strata <= {LEVEL}
 ), over_ AS (SELECT DISTINCT doc_id FROM measured JOIN cutoffs USING (stratum, rule) WHERE value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over_) AS kept FROM judged""",

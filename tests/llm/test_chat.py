@@ -39,3 +39,24 @@ def test_null_ties_and_empty(spark):
     out = {r.conv_id: r.formatted for r in chat.format_chats(turns).collect()}
     assert out == {None: "<s>[ROLE][/ROLE]</s><s>[INST]a[TURN]b[/INST]</s>", 1: "<s>[OUT]a[TURN]a[/OUT]</s>"}
     assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def test_long_conversations_cost_in_proportion(spark):
+    """A conversation of twice the turns takes about twice the time, and its spans are right to the end."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("text "), "id").alias("text"))
+        begun = time.time()
+        r = chat.format_chats(turns).select("formatted", "loss_spans").first()
+        spent = time.time() - begun
+        for i in (0, 1, n // 2, n - 1):
+            start, length = r.loss_spans[i]
+            assert r.formatted[start : start + length] == f"text {i}"
+        return spent
+
+    seconds(2000)
+    short = min(seconds(20_000) for _ in range(2))
+    assert min(seconds(40_000) for _ in range(2)) < 2.5 * short + 1

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -57,36 +58,37 @@ def test_binomial_tail_is_exact(spark, n, k):
     assert got == pytest.approx(want, rel=1e-9)
 
 
-def test_cutoffs_hold_the_risk(spark):
-    rows = [("s", 1, 0.0) for _ in range(2000)] + [("s", 0, 0.9) for _ in range(300)] + [("few", 0, 0.9)] * 5 + [("few", 1, 0.0)] * 5
-    data = spark.createDataFrame(rows, "stratum string, quality int, symbol_rate double")
-    for r in quality.RULES[1:]:
-        data = data.withColumn(r, F.lit(0.0))
-    got = quality.select_cutoffs(data).collect()
+def frame(spark, rows):
+    """rows: (stratum, tuning, quality, measures by rule)."""
+    return spark.createDataFrame([(s, t, q, *[m.get(r, 0.0) for r in quality.RULES]) for s, t, q, m in rows], "stratum string, tuning boolean, quality int, " + ", ".join(f"{r} double" for r in quality.RULES))
+
+
+def test_few_labels_decide_nothing_enough_do(spark):
+    rows = []
+    for s, n in (("s", 90), ("few", 60)):
+        for tuning in (True, False):
+            rows += [(s, tuning, 1, {})] * n + [(s, tuning, 0, {"symbol_rate": 0.9})] * 9
+    got = quality.select_cutoffs(frame(spark, rows)).collect()
     assert [(r.stratum, r.rule, r.cutoff) for r in got] == [("s", "symbol_rate", max(c for c in quality.GRID if c < 0.9))]
 
 
 def brute_cutoffs(rows, risk=0.05, level=0.05):
-    """rows: (stratum, quality, measures by rule)."""
-    strata = {r[0] for r in rows}
-    tests = len(strata) * len(quality.RULES) * len(quality.GRID)
-    p = risk / len(quality.RULES)
-    out = {}
+    """(stratum, rule): cutoff of rows as for ``frame``."""
+    out, strata = {}, {r[0] for r in rows if not r[1] and r[2] == 1}
     for s in strata:
-        for rule in quality.RULES:
-            best = None
-            for c in quality.GRID:
-                good = [m[rule] > c for x, q, m in rows if x == s and q == 1]
-                bad = sum(m[rule] > c for x, q, m in rows if x == s and q == 0)
-                n, k = len(good), sum(good)
-                if not n or k >= n * p:
-                    continue
-                tail = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
-                gain = bad - quality.GOOD_WEIGHT * k
-                if tail * tests <= level and gain > 0:
-                    best = max(best or (0, 0), (gain, c))
-            if best:
-                out[s, rule] = best[1]
+        path = []
+        for i, rule in enumerate(quality.RULES):
+            gains = [(sum((-quality.GOOD_WEIGHT if q == 1 else 1) * (m[rule] > c) for x, t, q, m in rows if x == s and t), c) for c in quality.GRID]
+            if max(gains)[0] > 0:
+                path.append((-max(gains)[0], i, rule, max(gains)[1]))
+        path.sort()
+        good = [m for x, t, q, m in rows if x == s and not t and q == 1]
+        for j in range(1, len(path) + 1):
+            n, k = len(good), sum(any(m[rule] > c for *_, rule, c in path[:j]) for m in good)
+            tail = sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) if k < n * risk else 1.0
+            if tail * len(strata) > level:
+                break
+            out[s, path[j - 1][2]] = path[j - 1][3]
     return out
 
 
@@ -96,17 +98,31 @@ def test_cutoffs_equal_brute_force(spark):
     for s, n in (("sa", 1800), ("sb", 900), ("n", 1200), ("s", 60)):
         for _ in range(n):
             good = rng.random() < 0.8
-            rows.append((s, int(good), {r: rng.random() ** (6 if good else 2) * (0.4 if good else 1) for r in quality.RULES}))
-    data = spark.createDataFrame([(s, q, *m.values()) for s, q, m in rows], "stratum string, quality int, " + ", ".join(f"{r} double" for r in quality.RULES))
-    got = {(r.stratum, r.rule): r.cutoff for r in quality.select_cutoffs(data).collect()}
+            rows.append((s, rng.random() < 0.3, int(good), {r: rng.random() ** (9 if good else 2) * (0.4 if good else 1) for r in quality.RULES}))
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.select_cutoffs(frame(spark, rows)).collect()}
     assert got == brute_cutoffs(rows) and len(got) > 4
 
 
+def test_the_risk_holds_in_simulation(spark):
+    """Rules that really reject more good documents than allowed pass in few of many strata."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(200):
+        for i in range(160):
+            good = i % 4 > 0
+            # Six in a hundred good documents exceed any cutoff, and nearly all bad ones.
+            high = rng.random() < (0.06 if good else 0.95)
+            rows.append((f"s{k}", i % 3 == 0, int(good), {"symbol_rate": 0.95 if high else 0.0}))
+    strata = 1  # each stratum is a trial of its own: at the level of one
+    got = quality.select_cutoffs(frame(spark, rows), level=0.05 * 200 * strata).select("stratum").distinct().count()
+    assert got <= 14  # 200 trials at 0.05 or less: 15 or more has a chance below 0.06
+
+
 def test_verdicts_equal_brute_force(spark):
     """Texts whose languages, null and empty among them, need different cutoffs."""
     rng = random.Random(9)
     rows, labels = [], []
-    for i in range(6400):
+    for i in range(3000):
         lang = (None, "", "x")[i % 3]
         good = i % 4 > 0
         words = [f"w{rng.randrange(10**6)}" for _ in range(55)]
@@ -117,7 +133,8 @@ def test_verdicts_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).select("doc_id", "lang", "lectern_kept", "lectern_quality").collect()
     key = lambda lang: "n" if lang is None else "s" + lang
-    cutoffs = brute_cutoffs([(key(r.lang), labels[r.doc_id][1], {k: r.lectern_quality[k] for k in quality.RULES}) for r in got])
+    tuning = lambda d: hashlib.sha256(f"split:{d}".encode()).hexdigest()[0] < quality.TUNING
+    cutoffs = brute_cutoffs([(key(r.lang), tuning(r.doc_id), labels[r.doc_id][1], {k: r.lectern_quality[k] for k in quality.RULES}) for r in got])
     assert {s for s, _ in cutoffs} == {"n", "s"}
     for r in got:
         over = any(r.lectern_quality[k] > cutoffs.get((key(r.lang), k), 9) for k in quality.RULES)
