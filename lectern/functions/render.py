@@ -30,6 +30,7 @@ def prompt_blocks(texts: pd.Series) -> pd.Series:
 
     def block(m: re.Match) -> str:
         title, body = _escaped(m[1].replace("_", " ")), _escaped(m[2].strip())
+        # Fixed value: the markup that style sheets know.
         return f'\n\n<div class="prompt-block"><div class="prompt-block-title">{title}</div><div class="prompt-block-body">{body}</div></div>\n\n'
 
     return texts.map(lambda t: None if t is None else _TAGS.sub(block, t))

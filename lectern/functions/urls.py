@@ -32,7 +32,10 @@ def _ascii_only(names: pd.Series) -> pd.Series:
 
 def secure_name(c: Column) -> Column:
     """A name safe as a file's: ASCII letters, digits, ``_ . -``, no edge dots or runs of ``_``."""
-    c = F.regexp_replace(_ascii_only(filled(c)), r"[/\\]", " ")
+    c = filled(c)
+    # Names that are ASCII already don't leave the JVM.
+    plain = c.rlike(r"^\p{ASCII}*\z")
+    c = F.regexp_replace(F.coalesce(F.when(plain, c), _ascii_only(F.when(~plain, c))), r"[/\\]", " ")
     c = F.regexp_replace(stripped(c), r"[\s\x1c-\x1f]+", "_")
     c = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_.-]", ""), "_+", "_")
     return F.regexp_replace(c, r"^[._]+|[._]+$", "")
@@ -70,6 +73,7 @@ def type_extension(c: Column) -> Column:
 
 def disposition_name(c: Column) -> Column:
     c = filled(c)
+    # The two ways a header names its file.
     encoded = F.regexp_extract(c, r"(?i)filename\*=UTF-8''([^;]+)", 1)
     # The decoder takes + for a space, which this form does not.
     decoded = F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
@@ -124,6 +128,7 @@ def is_direct_file(c: Column) -> Column:
 
 
 def looks_like_html(c: Column) -> Column:
+    # How a web page begins.
     return F.lower(F.left(lstripped(filled(c)), F.lit(20))).rlike("^(<!doctype html|<html|<head|<body|<meta )")
 
 
@@ -143,6 +148,7 @@ def import_name(title: Column, url: Column, disposition: Column, ctype: Column)
     """Name by header, else by address, else by title; extension by name, else by content type, else .pdf."""
     base = F.regexp_extract(path(url), r"([^/]*)$", 1)
     slug = secure_name(title)
+    # Fixed value: the name where nothing else gives one.
     named = [F.nullif(x, F.lit("")) for x in (disposition_name(disposition), base, slug)]
     name = F.coalesce(*named, F.lit("imported_paper"))
     # splitext: the last dot that is not among leading ones

@@ -67,11 +67,6 @@ def clamped_limit(limit: Column, default: int = DEFAULT_LIMIT) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MAX_LIMIT), n))
 
 
-def numbered(records: DataFrame, src_ord: int) -> DataFrame:
-    """A source's records with its rank; ``pos`` is their order in it."""
-    return records.withColumn("src_ord", F.lit(src_ord))
-
-
 def first_wins(records: DataFrame, by: list[str]) -> DataFrame:
     """Per ``by`` and title key the first record by (src_ord, pos); records without title go."""
     keyed = records.withColumn("title_key", title_key(F.col("title"))).where("title_key <> ''")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Calls that a task of a metered provider has open at once.
 CALLS_PER_TASK = 4
+#: Pieces of streamed answers that are handed on together, and seconds after which fewer are.
+HAND_ON, HAND_ON_SECONDS = 100, 0.5
 
 
 class Provider(Protocol):
@@ -159,10 +161,17 @@ def streamed(prompts: DataFrame, provider, attempts: int = 3, max_concurrency: i
                     time.sleep(min(pause * attempt, 8))
 
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pieces are handed on by the hundred, or as many as came in half a second."""
+        held, begun = [], time.monotonic()
         for frame in frames:
             for row in zip(frame["request_id"], frame["prompt"], frame["error"]):
-                rows = list(events(*row))
-                yield pd.DataFrame(rows, columns=["request_id", "event", "attempt", "seq", "text"])
+                for event in events(*row):
+                    held.append(event)
+                    if len(held) >= HAND_ON or time.monotonic() - begun > HAND_ON_SECONDS:
+                        yield pd.DataFrame(held, columns=["request_id", "event", "attempt", "seq", "text"])
+                        held, begun = [], time.monotonic()
+        if held:
+            yield pd.DataFrame(held, columns=["request_id", "event", "attempt", "seq", "text"])
 
     spread = prompts if max_concurrency is None else prompts.repartition(max_concurrency)
     kind = prompts.schema["request_id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,12 +61,13 @@ def summaries(docs: DataFrame, provider: Provider, how: Chunking = Chunking(), k
     return merged.select(key, reply.alias("reply"), F.coalesce("failed", "error").alias("error"))
 
 
-STREAMED = "seq int, name string, reply string, error string, char_count int"
+STREAMED = "seq int, name string, reply string, error string, char_count int, elapsed double"
 
 
 def streamed_replies(docs: DataFrame, provider: Provider, tasks: list[str], how: Chunking = Chunking(), key: str = "doc_id") -> DataFrame:
-    """(key, seq, name, reply, error, char_count) of each task of each document as they complete, then a
-    row ``done``, which alone has the text's length; without a shuffle or state, so of streams too. The prompts of a document follow each other in its
+    """(key, seq, name, reply, error, char_count, elapsed): a row ``start`` numbered 0, one for each task of each
+    document as they complete, then a row ``done``, which alone has the text's length, the seconds since the
+    start, and as its error the first one if all required tasks failed; without a shuffle or state, so of streams too. The prompts of a document follow each other in its
     partition: its chunks first, whose merge is asked when the last is answered, then the windows."""
     one = lambda task, prompt: F.struct(F.lit(task).alias("task"), prompt.alias("prompt"))
     asked = F.concat(
@@ -80,12 +82,18 @@ def streamed_replies(docs: DataFrame, provider: Provider, tasks: list[str], how:
         return reply_or_error(provider, "summary", MERGE_RULE.join(replies))
 
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replies, error, seq = [], None, 0
+        replies, error, seq, begun, failures = [], None, 0, 0.0, {}
         for frame in frames:
             done = []
+
+            def note(k, name: str, reply: str | None, error: str | None) -> None:
+                failures[name] = error
+                done.append((k, seq, name, reply, error, None, None))
+
             for k, at, task, prompt in zip(frame[key], frame["at"], frame["task"], frame["prompt"]):
                 if at == 0:
-                    replies, error, seq = [], None, 0
+                    replies, error, seq, begun, failures = [], None, 0, time.monotonic(), {}
+                    done.append((k, 0, "start", None, None, None, None))
                 if task == "summary":
                     reply, failed = reply_or_error(provider, task, prompt)
                     replies += [reply] if reply else []
@@ -93,12 +101,17 @@ def streamed_replies(docs: DataFrame, provider: Provider, tasks: list[str], how:
                     continue
                 if seq == 0:
                     seq = 1
-                    done.append((k, seq, "summary", *merged(replies, error), None))
+                    note(k, "summary", *merged(replies, error))
                 seq += 1
-                done.append((k, seq, task, *((None, None, int(prompt)) if task == "done" else (*reply_or_error(provider, task, prompt), None))))
+                if task == "done":
+                    wrong = [failures.get(n) for n in REQUIRED]
+                    first = None if None in wrong else next(filter(None, wrong), "")
+                    done.append((k, seq, task, None, first, int(prompt), time.monotonic() - begun))
+                else:
+                    note(k, task, *reply_or_error(provider, task, prompt))
             if done:
-                keys, seqs, names, texts, errors, counts = zip(*done)
-                yield pd.DataFrame({key: pd.Series(keys), "seq": seqs, "name": names, "reply": pd.array(texts, "string"), "error": pd.array(errors, "string"), "char_count": pd.array(counts, "Int32")})
+                keys, seqs, names, texts, errors, counts, spent = zip(*done)
+                yield pd.DataFrame({key: pd.Series(keys), "seq": seqs, "name": names, "reply": pd.array(texts, "string"), "error": pd.array(errors, "string"), "char_count": pd.array(counts, "Int32"), "elapsed": pd.array(spent, "Float64")})
 
     return rows.mapInPandas(fn, f"`{key}` {docs.schema[key].dataType.simpleString()}, {STREAMED}")
 

@@ -55,11 +55,11 @@ def run_sessions(spark: SparkSession, path: str, store: SessionStore, out: str,
     at = F.lit(now).cast("timestamp_ntz")
     store.cleanup(now, settings.cleanup_interval)
     done, rejects = analysed_files(spark, path, provider, settings, mermaid, evaluation)
-    saved_texts(done, out, _report_name(now), analysis_report(done, __version__, at, evaluation))
+    saved_texts(done, out, _report_name(now), analysis_report(done, __version__, at, evaluation, done["elapsed_seconds"]))
     # Tokens are made in tasks and kept, so that what is stored is the hash of what is returned.
     token = F.udf(lambda _: new_token(), "string").asNondeterministic()
     named = done.select("path", F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("session_id"), token(F.col("path")).alias("token"), "source_filename", F.col("text").alias("document"),
-                        F.struct("summary", "quotes", "mindmap", "mermaid", "evaluation", "sections", "char_count").alias("made"))
+                        F.struct("summary", "quotes", "mindmap", "mermaid", "evaluation", "sections", "char_count", "elapsed_seconds").alias("made"))
     folder = shared_folder(spark, "sessions")
     named.write.parquet(folder)
     named = spark.read.schema(named.schema).parquet(folder)

@@ -208,7 +208,7 @@ def token_check(spark, d):
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("request_id"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(2).alias("attempt"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 2).alias("text"))
+    return e.select(F.col("user_id").alias("request_id"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(2).alias("attempt"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
 
 
 def delta_accumulate(spark, d):
@@ -311,7 +311,7 @@ ORACLES = {
         SELECT session_id, updated_at FROM newest WHERE session_id % 7 = 0 OR date_trunc('second', updated_at) + INTERVAL 24 HOUR >= (SELECT max(ts) FROM events)""",
     "session_lookup_missing": """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN 'session id required' WHEN c_custkey NOT IN (SELECT user_id FROM events) THEN 'session not found' WHEN c_custkey % 3 = 0 THEN 'session token invalid' END AS error FROM customer""",
     "token_check": "SELECT conv_id, turn, turn % 4 = 2 AND text <> '' OR turn % 4 = 3 AND text = 'x' AS valid FROM conversations",
-    "delta_accumulate": """WITH d AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS attempt, event_id, left(event_type, 2) AS text FROM events),
+    "delta_accumulate": """WITH d AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS attempt, event_id, event_type AS text FROM events),
         n AS (SELECT * FROM d QUALIFY attempt = max(attempt) OVER (PARTITION BY user_id))
         SELECT user_id AS request_id, CASE WHEN user_id % 4 = 0 THEN 'final' ELSE string_agg(text, '' ORDER BY event_id) END AS answer FROM n GROUP BY user_id""",
     "completion_order": """SELECT user_id AS request_id, CAST(seq AS INTEGER) AS seq, 'event: ' || event_type || chr(10) || 'data: ' || coalesce(props, '{}') || chr(10) || chr(10) AS frame

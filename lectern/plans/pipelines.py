@@ -28,7 +28,7 @@ REWRITE_TASK = (
 
 
 def analyse(docs: DataFrame, provider: Provider, settings: Settings = Settings(), mermaid: bool = False, evaluation: bool = False) -> DataFrame:
-    """Per document: sections, char_count, error. Tasks that are off cost nothing; a metered provider is
+    """Per document: sections, char_count, elapsed_seconds (null where calls are spread), error. Tasks that are off cost nothing; a metered provider is
     called so often at once as the settings say. One pass over the texts: all prompts of a document
     follow each other in its partition, and only replies are shuffled. With a metered provider chunks and
     windows are spread over its open calls instead, and joined again."""
@@ -37,14 +37,15 @@ def analyse(docs: DataFrame, provider: Provider, settings: Settings = Settings()
     clean = docs.withColumn("text", cleaned(F.col("text")))
     if open_calls is not None:
         wide = results(analysed(clean, provider, mermaid, evaluation, how, concurrency=open_calls))
-        return clean.select("doc_id", F.length("text").alias("char_count")).join(wide, "doc_id")
-    return results(section_events(docs, provider, mermaid, evaluation, how), char_count=F.max("char_count"))
+        counts = clean.select("doc_id", F.length("text").alias("char_count"), F.lit(None).cast("double").alias("elapsed_seconds"))
+        return counts.join(wide, "doc_id")
+    return results(section_events(docs, provider, mermaid, evaluation, how), char_count=F.max("char_count"), elapsed_seconds=F.max("elapsed_seconds"))
 
 
 def reports(analyses: DataFrame, generated_at: Column, evaluation: bool = False) -> DataFrame:
     """(doc_id, markdown) of the analyses that succeeded."""
     good = analyses.where("error IS NULL")
-    return good.select("doc_id", analysis_report(good, __version__, generated_at, evaluation).alias("markdown"))
+    return good.select("doc_id", analysis_report(good, __version__, generated_at, evaluation, good["elapsed_seconds"] if "elapsed_seconds" in good.columns else None).alias("markdown"))
 
 
 def _asked(requests: DataFrame, sessions: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:

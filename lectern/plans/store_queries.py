@@ -15,7 +15,7 @@ from lectern.plans.flow_queries import _CLEAN
 from lectern.plans.service_queries import _PIECES, _streamed
 from lectern.plans.text_queries import cleaned_sql, table
 from lectern.sources.file_sink import saved_texts
-from lectern.streaming import asking, frames
+from lectern.streaming import asking, events, frames
 
 
 def session_compaction(spark, d):
@@ -110,8 +110,14 @@ def evaluated_documents(spark, d):
     return out.select("doc_id", "evaluation", F.col("sections.evaluation.status").alias("status"))
 
 
+def analysis_frames(spark, d):
+    """The streamed analysis as its clients get it."""
+    out = events.analysis_protocol(table(spark, d, "documents").select("doc_id", "text"), OfflineProvider(), mermaid=True)
+    return out.select("doc_id", "seq", "event", F.sha2(F.coalesce(F.get_json_object("payload", "$.section.content"), "payload"), 256).alias("sha256"), F.get_json_object("payload", "$.name").alias("name"))
+
+
 QUERIES = {f.__name__: f for f in [
-    session_compaction, saved_files, import_outcomes, request_statuses, frame_pieces, ask_protocol, math_protection, evaluated_documents,
+    session_compaction, saved_files, import_outcomes, request_statuses, frame_pieces, ask_protocol, math_protection, evaluated_documents, analysis_frames,
 ]}
 
 _SERVED = f"SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS t, {cleaned_sql('text')} AS clean FROM documents"
@@ -138,6 +144,10 @@ ORACLES = {
         SELECT doc_id, CAST(2 * n AS INTEGER) AS n,
         sha256(array_to_string(list_transform(range(1, n + 2), lambda i: w[i] || CASE WHEN i <= n THEN '. ' || chr(10) || chr(10) || '@@MATHBLOCK' || (i - 1) || '@@' || chr(10) || chr(10) || ' and @@MATHINLINE' || (i - 1) || '@@ ' ELSE '' END), '')) AS protected,
         sha256(array_to_string(list_transform(range(1, n + 2), lambda i: w[i] || CASE WHEN i <= n THEN '. $$a_' || doc_id || chr(10) || '*b*$$ and $x < ' || doc_id || '$ ' ELSE '' END), '')) AS restored FROM m""",
+    "analysis_frames": _CLEAN + """, sections AS (SELECT doc_id, 1 AS seq, 'summary' AS name, reply FROM summary UNION ALL SELECT doc_id, 2, 'quotes', reply FROM quotes UNION ALL SELECT doc_id, 3, 'mindmap', reply FROM mindmap
+        UNION ALL SELECT doc_id, 4, 'mermaid', reply FROM mermaid UNION ALL SELECT doc_id, 5, 'evaluation', '' FROM docs)
+        SELECT doc_id, seq, 'section' AS event, sha256(reply) AS sha256, name FROM sections UNION ALL SELECT doc_id, 0, 'start', sha256('{"doc_id":' || doc_id || '}'), NULL FROM docs
+        UNION ALL SELECT doc_id, 6, 'done', sha256('{"doc_id":' || doc_id || ',"char_count":' || n || '}'), NULL FROM docs""",
     "evaluated_documents": _CLEAN + """SELECT doc_id, CASE WHEN len(q) > 0 THEN '## Extent' || chr(10) || len(q) || ' sentences, ' || length(left(t, 15000)) || ' characters' ELSE '' END AS evaluation,
         CASE WHEN len(q) > 0 THEN 'success' ELSE 'empty' END AS status FROM found JOIN docs USING (doc_id)""",
 }

@@ -232,7 +232,7 @@ def disposition_name(spark, d):
 
 
 def html_flag(spark, d):
-    odd = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" \n"), F.col("html"))).otherwise(F.substring("html", 10, 100))
+    odd = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" \n"), F.col("html"))).otherwise(F.concat(F.lit("x"), F.col("html")))
     return table(spark, d, "pages").select("page_id", urls.looks_like_html(F.col("html")).alias("html"), urls.looks_like_html(odd).alias("odd"))
 
 
@@ -323,7 +323,7 @@ ORACLES = {
         SELECT page_id, lower(trim(split_part(CASE WHEN page_id % 5 < 3 THEN ['Application/PDF; q=1', ' text/plain ', 'image/png', ''][page_id % 4 + 1] ELSE ' Text/X' || page_id % 7 || ' ;' || url END, ';', 1))) AS ctype FROM pages)""",
     "disposition_name": """SELECT page_id, ['a b+c' || page_id || '.pdf', 'd e' || page_id || '.docx', 'f' || page_id || '.txt', ''][page_id % 4 + 1] AS name,
         ['a_bc' || page_id || '.pdf', 'd_e' || page_id || '.docx', 'f' || page_id || '.txt', 'q.pdf'][page_id % 4 + 1] AS saved FROM pages""",
-    "html_flag": r"SELECT page_id, regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html|<head|<body|<meta )') AS html, regexp_matches(lower(regexp_replace(CASE WHEN page_id % 2 = 0 THEN html ELSE substr(html, 10, 100) END, '^\s+', '')), '^(<!doctype html|<html|<head|<body|<meta )') AS odd FROM pages",
+    "html_flag": r"SELECT page_id, regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html|<head|<body|<meta )') AS html, regexp_matches(lower(regexp_replace(CASE WHEN page_id % 2 = 0 THEN html ELSE 'x' || html END, '^\s+', '')), '^(<!doctype html|<html|<head|<body|<meta )') AS odd FROM pages",
     "sse_roundtrip": "SELECT event_id, CAST(0 AS INTEGER) AS nth, event_type AS event, props ->> '$.k' AS k, CAST(NULL AS VARCHAR) AS raw FROM events UNION ALL SELECT event_id, 1, 'message', NULL, 'not json' || chr(10) || 'two' FROM events",
     "author_list": "SELECT c_custkey, c_name || '|' || c_mktsegment || '|p0|p1|p2|p3|p4|p5' AS authors FROM customer",
     "record_keys": "SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_name END AS action_key, concat_ws(' · ', p_brand, CASE WHEN p_size > 25 THEN p_type END) AS line FROM part",

@@ -16,25 +16,44 @@ from lectern.operators.providers import Provider
 from lectern.operators.sections import NAMES, enabled_tasks, outcome, streamed_replies
 
 
-def section_events(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking()) -> DataFrame:
-    """(doc_id, seq, name, section, char_count), the events of each document of a stream (or table) in the order of
-    ``seq``: its sections as they complete, then those that are off, then ``done``, which has the
-    cleaned text's length and no section.
+def section_events(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking(), start: bool = False) -> DataFrame:
+    """(doc_id, seq, name, section, char_count, elapsed_seconds), the events of each document of a stream (or table) in
+    the order of ``seq``: with ``start`` that first, numbered 0; its sections as they complete, then those that
+    are off, then ``done``, which has the cleaned text's length, the seconds spent and no section; where all
+    required sections failed, ``error`` with the first one's error in its place.
     Texts are cleaned, and the summary reads all chunks. Stateless, so it runs on unbounded input."""
     tasks = enabled_tasks(mermaid, evaluation)
     clean = docs.select("doc_id", cleaned(F.col("text")).alias("text"))
     replies = streamed_replies(clean, provider, tasks, how)
+    if not start:
+        replies = replies.where("name <> 'start'")
     reply = F.when(F.col("name") == "mermaid", diagram_source(F.col("reply"))).otherwise(F.col("reply"))
     off = [n for n in NAMES if n not in tasks]
-    is_done = F.col("name") == "done"
-    none = F.lit(None).cast("int")
-    event = lambda seq, name, result, n=none: F.struct(seq.cast("int").alias("seq"), name.alias("name"), result.alias("section"), n.alias("char_count"))
-    result = outcome(F.lit(True), reply, F.col("error"))
+    error, nothing = F.col("error"), (F.lit(None).cast("int"), F.lit(None).cast("double"))
+
+    def event(seq, name, result, count=nothing[0], spent=nothing[1]):
+        return F.struct(seq.cast("int").alias("seq"), name.alias("name"), result.alias("section"), count.alias("char_count"), spent.alias("elapsed_seconds"))
+
+    result = outcome(F.lit(True), reply, error)
     last = F.array(
-        *[event(F.col("seq") + k, F.lit(n), outcome(F.lit(False), reply, F.col("error"))) for k, n in enumerate(off)],
-        event(F.col("seq") + len(off), F.lit("done"), F.when(F.lit(False), result), F.col("char_count")),
+        *[event(F.col("seq") + k, F.lit(n), outcome(F.lit(False), reply, error)) for k, n in enumerate(off)],
+        event(F.col("seq") + len(off), F.when(error.isNull(), "done").otherwise("error"), F.when(error.isNotNull(), result), F.col("char_count"), F.round("elapsed", 1)),
+    )
+    one = F.array(event(F.col("seq"), F.col("name"), F.when(F.col("name") != "start", result)))
+    return replies.select("doc_id", F.inline(F.when(F.col("name") == "done", last).otherwise(one)))
+
+
+def analysis_protocol(docs: DataFrame, provider: Provider, mermaid: bool = False, evaluation: bool = False, how: Chunking = Chunking()) -> DataFrame:
+    """(doc_id, seq, event, payload) of each document of a stream or table, as clients read them: start,
+    section, ..., then done or error. Payloads are JSON: the document, a section with its name, the length, the
+    error."""
+    rows = section_events(docs, provider, mermaid, evaluation, how, start=True)
+    name, known = F.col("name"), F.col("name").isin(*NAMES)
+    payload = (
+        F.when(name == "start", F.to_json(F.struct("doc_id"))).when(known, F.to_json(F.struct("name", "section")))
+        .when(name == "error", F.to_json(F.struct(F.col("section.error").alias("error")))).otherwise(F.to_json(F.struct("doc_id", "char_count")))
     )
-    return replies.select("doc_id", F.inline(F.when(is_done, last).otherwise(F.array(event(F.col("seq"), F.col("name"), result)))))
+    return rows.select("doc_id", "seq", F.when(known, "section").otherwise(name).alias("event"), payload.alias("payload"))
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -140,3 +140,25 @@ def test_formulas_come_back_unchanged(spark):
     assert (first.text, first.blocks, first.inline) == ("a \n\n@@MATHBLOCK0@@\n\n b @@MATHINLINE0@@ e", ["$$x_1\n*y*$$"], ["$c<d$"])
     html = spark.range(1).select(F.lit("<p>@@MATHBLOCK0@@</p><b>@@MATHINLINE0@@</b>").alias("h"), F.array(F.lit("$$a$$")).alias("b"), F.array(F.lit("$b$")).alias("i"))
     assert html.select(restored_math(F.col("h"), F.col("b"), F.col("i"))).first()[0] == "$$a$$<b>$b$</b>"
+
+
+def test_an_analysis_starts_and_ends(spark):
+    """All required tasks of the second document fail: its stream ends with the first one's error."""
+    from lectern.operators.providers import OfflineProvider
+    from lectern.plans import pipelines
+    from lectern.streaming import events
+
+    def provider(task, prompt):
+        if "bad" in prompt:
+            raise ValueError(f"HTTP 503 in {task}")
+        return OfflineProvider()(task, prompt)
+
+    docs = spark.createDataFrame([(1, "One two. Three."), (2, "bad text"), (3, "")], "doc_id long, text string")
+    got: dict = {}
+    for r in sorted(events.analysis_protocol(docs, provider, mermaid=True).collect()):
+        got.setdefault(r.doc_id, []).append((r.seq, r.event, json.loads(r.payload)))
+    assert [e for _, e, _ in got[1]] == ["start"] + ["section"] * 5 + ["done"] and got[1][0][2] == {"doc_id": 1}
+    assert got[2][-1] == (6, "error", {"error": "HTTP 503 in summary"}) and got[3][-1] == (6, "done", {"doc_id": 3, "char_count": 0})
+    assert [p["name"] for _, e, p in got[2] if e == "section"] == ["summary", "quotes", "mindmap", "mermaid", "evaluation"]
+    out = {r.doc_id: r for r in pipelines.analyse(docs, provider).collect()}
+    assert out[2].error == "HTTP 503 in summary" and out[1].error is None and all(0 <= r.elapsed_seconds < 60 and r.elapsed_seconds == round(r.elapsed_seconds, 1) for r in out.values())
