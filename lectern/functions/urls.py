@@ -8,7 +8,7 @@ import unicodedata
 import urllib.parse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,19 +144,40 @@ def _joined(links: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([urllib.parse.urljoin(b, a) for a, b in zip(links, bases)])
 
 
-def import_name(title: Column, url: Column, disposition: Column, ctype: Column) -> Column:
-    """Name by header, else by address, else by title; extension by name, else by content type, else .pdf."""
+def _first_name(slug: Column, url: Column, disposition: Column) -> Column:
+    """By header, else by address, else by title."""
     base = F.regexp_extract(path(url), r"([^/]*)$", 1)
-    slug = secure_name(title)
     # Fixed value: the name where nothing else gives one.
-    named = [F.nullif(x, F.lit("")) for x in (disposition_name(disposition), base, slug)]
-    name = F.coalesce(*named, F.lit("imported_paper"))
-    # splitext: the last dot that is not among leading ones
-    own = F.regexp_extract(name, r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1)
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (disposition_name(disposition), base, slug)], F.lit("imported_paper"))
+
+
+def _own_extension(name: Column) -> Column:
+    """As it is written: the last dot that is not among leading ones, and what follows."""
+    return F.regexp_extract(name, r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1)
+
+
+def _file_name(name: Column, own: Column, slug: Column, ctype: Column) -> Column:
     root = F.left(name, F.length(name) - F.length(own))
     ext = F.when(F.lower(own).isin(*EXTENSIONS), F.lower(own)).otherwise(F.coalesce(F.nullif(type_extension(ctype), F.lit("")), F.lit(".pdf")))
     safe = F.coalesce(F.nullif(secure_name(root), F.lit("")), F.nullif(slug, F.lit("")), F.lit("imported_paper"))
-    return upload_name(F.concat(safe, ext))
+    return F.concat(safe, ext)
+
+
+def import_name(title: Column, url: Column, disposition: Column, ctype: Column) -> Column:
+    """Name by header, else by address, else by title; extension by name, else by content type, else .pdf."""
+    slug = secure_name(title)
+    name = _first_name(slug, url, disposition)
+    return upload_name(_file_name(name, _own_extension(name), slug, ctype))
+
+
+def with_import_name(files: DataFrame, column: str = "source_filename") -> DataFrame:
+    """``import_name`` of rows with title, link, disposition and content_type, step by step: as one expression
+    it repeats its parts until the code for it is too long to compile."""
+    made = files.withColumn("_slug", secure_name(F.col("title")))
+    made = made.withColumn("_name", _first_name(F.col("_slug"), F.col("link"), F.col("disposition")))
+    made = made.withColumn("_own", _own_extension(F.col("_name")))
+    made = made.withColumn("_file", _file_name(F.col("_name"), F.col("_own"), F.col("_slug"), F.col("content_type")))
+    return made.withColumn(column, upload_name(F.col("_file"))).drop("_slug", "_name", "_own", "_file")
 
 
 def download_candidates(pdf_url: Column, url: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Settings
 from lectern.functions.text import cleaned, filled, is_true, stripped
-from lectern.functions.urls import extension, import_name
+from lectern.functions.urls import extension, with_import_name
 from lectern.operators.providers import Provider
 from lectern.operators.storage import shared_folder
 from lectern.plans import pipelines
@@ -42,7 +42,7 @@ def imported(papers: DataFrame, provider: Provider, settings: Settings = Setting
     one = papers.groupBy("paper_id").agg(F.min_by(F.struct(*papers.columns), F.struct("pdf_url", "url", "title")).alias("p")).select("p.*")
     linked = (stripped(filled(F.col("pdf_url"))) != "") | (stripped(filled(F.col("url"))) != "")
     got = resolved(one.where(linked).select("paper_id", "pdf_url", "url"), folder=f"{folder}/tries", fetch=fetch).join(one.select("paper_id", "title"), "paper_id")
-    named = got.where("error IS NULL").withColumn("source_filename", import_name(F.col("title"), F.col("link"), F.col("disposition"), F.col("content_type")))
+    named = with_import_name(got.where("error IS NULL"))
     # Files are named by paper: two papers may have files of one name.
     ext = extension(F.col("source_filename"))
     held = named.select("paper_id", "source_filename", ext.alias("ext"), F.concat(F.sha2(F.col("paper_id").cast("string"), 256), ext).alias("name"), "content")
@@ -55,14 +55,16 @@ def imported(papers: DataFrame, provider: Provider, settings: Settings = Setting
     wanted = lambda c: is_true(F.col(c).cast("string"), True) if c in papers.columns else F.lit(True)
     flags = one.select(F.col("paper_id").cast("string").alias("path"), wanted("generate_mermaid").alias("mermaid"), wanted("generate_evaluation").alias("evaluation"))
     docs = read.where("error IS NULL").join(flags, "path").select(F.col("path").alias("doc_id"), "text", "mermaid", "evaluation")
+    # One analysis for each pair of wishes that there is, four at most.
     done = None
-    for mermaid in (False, True):
-        for evaluation in (False, True):
-            part = docs.where((F.col("mermaid") == mermaid) & (F.col("evaluation") == evaluation)).select("doc_id", "text")
-            made = pipelines.analyse(part, provider, settings, mermaid, evaluation)
-            done = made if done is None else done.unionByName(made)
+    for mermaid, evaluation in sorted(tuple(r) for r in flags.select("mermaid", "evaluation").distinct().collect()):
+        part = docs.where((F.col("mermaid") == mermaid) & (F.col("evaluation") == evaluation)).select("doc_id", "text")
+        made = pipelines.analyse(part, provider, settings, mermaid, evaluation)
+        done = made if done is None else done.unionByName(made)
     failed = got.select(F.col("paper_id").cast("string").alias("doc_id"), "error").where("error IS NOT NULL").unionByName(read.where("error IS NOT NULL").select(F.col("path").alias("doc_id"), "error"))
     none = one.where(~linked).select(F.col("paper_id").cast("string").alias("doc_id"), F.lit("address required").alias("error"))
-    every = done.unionByName(failed.unionByName(none), allowMissingColumns=True)
+    refused = failed.unionByName(none)
+    done = pipelines.analyse(docs.select("doc_id", "text"), provider, settings) if done is None else done
+    every = done.unionByName(refused, allowMissingColumns=True)
     back = one.select("paper_id").join(held.select("paper_id", "source_filename"), "paper_id", "left").withColumn("doc_id", F.col("paper_id").cast("string"))
     return back.join(every, "doc_id").drop("doc_id").withColumn("status", request_status(F.col("error")))

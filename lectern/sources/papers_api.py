@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_inner, is_public_http, looks_like_html, type_extension
 from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, download_error, from_atom, from_scholar
 from lectern.operators.replies import ReplyStore
-from lectern.operators.storage import removed, shared_folder
+from lectern.operators.storage import shared_folder
 
 SCHOLAR_URL = "https://api.semanticscholar.org/graph/v1/paper/search"
 ATOM_URL = "http://export.arxiv.org/api/query"
@@ -223,13 +223,9 @@ def resolved(papers: DataFrame, key: str = "paper_id", folder: str | None = None
         now = tries.where(F.col("ord") == at)
         if at:
             now = now.join(seen(at).where("error IS NULL").select(key), key, "left_anti")
-        # What is told apart afterwards is fetched once: both kinds come from one written outcome.
-        fetch(now).write.parquet(f"{folder}/got={at}")
-        written = spark.read.schema(schema).parquet(f"{folder}/got={at}")
-        checked = usable_download(written.where("error IS NULL").drop("error")).unionByName(written.where("error IS NOT NULL"), allowMissingColumns=True)
+        checked = usable_download(fetch(now).withColumnRenamed("error", "failed")).withColumn("error", F.coalesce("failed", "error"))
         content = F.when(F.col("error").isNull(), F.col("content")).alias("content")
         checked.select(key, "ord", "link", "content_type", "disposition", content, "error").write.parquet(f"{folder}/round={at}")
-        removed(spark, f"{folder}/got={at}")
     rounds = seen(at + 1)
     good = rounds.where("error IS NULL").drop("ord")
     bad = rounds.groupBy(key).agg(F.count_if(F.col("error").isNull()).alias("n"), F.max_by(F.struct("link", "content_type", "disposition", "error"), "ord").alias("last")).where("n = 0")
