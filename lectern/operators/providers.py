@@ -68,6 +68,8 @@ class HttpProvider:
     temperature: float = 0.7
     max_tokens: int = 4000
     system: str = "You are an assistant for scholarly documents."
+    #: Whether a call that is refused for coming too often is repeated here; a store repeats it for all tasks.
+    retry_limited: bool = True
 
     metered = True
 
@@ -81,7 +83,7 @@ class HttpProvider:
 
     def __call__(self, task: str, prompt: str) -> str:
         request = self._request(prompt, False)
-        return _with_retries(lambda: self._once(request), self.attempts)
+        return _with_retries(lambda: self._once(request), self.attempts, retry_limited=self.retry_limited)
 
     def deltas(self, prompt: str) -> Iterator[str]:
         """The pieces of one streamed reply as they come; one attempt."""
@@ -102,13 +104,13 @@ class HttpProvider:
         return content.strip()
 
 
-def _with_retries(call: Callable[[], str], attempts: int, cap: int = 8) -> str:
-    """Any failure is repeated, each time after a longer wait."""
+def _with_retries(call: Callable[[], str], attempts: int, cap: int = 8, retry_limited: bool = True) -> str:
+    """Any failure is repeated, each time after a longer wait; a 429 only with ``retry_limited``."""
     for attempt in range(attempts):
         try:
             return call()
-        except (urllib.error.URLError, TimeoutError, OSError, ValueError):
-            if attempt + 1 == attempts:
+        except (urllib.error.URLError, TimeoutError, OSError, ValueError) as e:
+            if attempt + 1 == attempts or (getattr(e, "code", None) == 429 and not retry_limited):
                 raise
             time.sleep(min(2 * (attempt + 1), cap))
     raise AssertionError("attempts must be positive")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.urls import MAX_FILE_BYTES, content_type, download_candidates, is_direct_file, is_inner, is_public_http, looks_like_html, type_extension
 from lectern.operators.papers import ATOM_ITEM, SCHOLAR_ITEM, download_error, from_atom, from_scholar
-from lectern.operators.replies import ReplyStore
+from lectern.operators.replies import Limited, ReplyStore
 from lectern.operators.storage import shared_folder
 
 SCHOLAR_URL = "https://api.semanticscholar.org/graph/v1/paper/search"
@@ -33,14 +33,14 @@ def trusted_context() -> ssl.SSLContext:
         return ssl.create_default_context()
 
 
-def get(url: str, timeout: int, headers: dict[str, str] | None = None, attempts: int = 3) -> str:
-    """Repeats after 429 and after failures to connect, waiting longer each time; other replies raise."""
+def get(url: str, timeout: int, headers: dict[str, str] | None = None, attempts: int = 3, retry_limited: bool = True) -> str:
+    """Repeats after 429 (with ``retry_limited``) and after failures to connect, waiting longer each time; other replies raise."""
     for attempt in range(attempts):
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout, context=trusted_context()) as reply:
                 return reply.read().decode("utf-8", "replace")
         except urllib.error.HTTPError as error:
-            if error.code != 429 or attempt + 1 == attempts:
+            if error.code != 429 or not retry_limited or attempt + 1 == attempts:
                 raise
         except (urllib.error.URLError, TimeoutError, OSError):
             if attempt + 1 == attempts:
@@ -62,10 +62,10 @@ def request_of(source: str, query: str, limit: int, api_key: str = "", base: str
     return f"{base or ATOM_URL}?{urllib.parse.urlencode({'search_query': f'all:{query}', 'start': 0, 'max_results': limit})}", AGENT
 
 
-def outcome_of(url: str, headers: dict[str, str], timeout: int, attempts: int) -> tuple[str | None, int | None, str | None]:
+def outcome_of(url: str, headers: dict[str, str], timeout: int, attempts: int, retry_limited: bool = True) -> tuple[str | None, int | None, str | None]:
     """(body, status, reason); a source that can't be reached or refuses is data too."""
     try:
-        return get(url, timeout, headers, attempts), None, None
+        return get(url, timeout, headers, attempts, retry_limited), None, None
     except urllib.error.HTTPError as e:
         return None, e.code, str(e.reason)
     except Exception as e:  # whatever keeps a reply from coming is its row's result
@@ -79,8 +79,12 @@ def fetched(queries: DataFrame, source: str, timeout: int = 20, attempts: int =
     store = store or ReplyStore(queries.sparkSession, OUTCOME)
 
     def call(row: dict) -> tuple[dict, bool]:
-        body, status, reason = outcome_of(*request_of(source, row["query"], int(row["limit"]), api_key, base), timeout, attempts)
-        return {"body": body, "status": status, "reason": reason}, body is not None
+        url, headers = request_of(source, row["query"], int(row["limit"]), api_key, base)
+        body, status, reason = outcome_of(url, headers, timeout, attempts, retry_limited=max_concurrency is None)
+        values = {"body": body, "status": status, "reason": reason}
+        if status == 429 and max_concurrency is not None:
+            raise Limited(values)
+        return values, body is not None
 
     key = F.sha2(F.concat_ws("\x1f", F.lit(source), F.col("limit").cast("string"), "query"), 256)
     keyed = queries.select("query_id", "query", "limit", key.alias("key"))

@@ -151,3 +151,49 @@ def test_one_call_a_query_and_source(spark, tmp_path, interface):
     seen = {k: v for k, v in calls.items() if k.startswith("/")}
     assert set(seen.values()) == {1} and len(seen) == 20  # nine queries that differ and the one that fails, two sources
     assert calls["agent:lectern"] == 20
+
+
+def test_one_limit_for_all_tasks_and_a_pause_all_keep(spark, tmp_path):
+    """A local interface never has more calls open than the limit, and after it refuses one, none comes for
+    the length of the pause."""
+    import time
+
+    from lectern.operators import replies
+    from lectern.operators.providers import HttpProvider
+
+    lock, state, starts = threading.Lock(), {"open": 0, "most": 0, "refused": None, "calls": Counter()}, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][1]["content"]
+            with lock:
+                starts.append(time.time())
+                state["open"] += 1
+                state["most"] = max(state["most"], state["open"])
+                state["calls"][prompt] += 1
+                first = prompt == "number 3" and state["calls"][prompt] == 1
+            time.sleep(0.2)
+            with lock:
+                state["open"] -= 1
+                if first or prompt == "number 5":
+                    state["refused"] = state["refused"] or time.time()
+            body = json.dumps({"choices": [{"message": {"content": "ok " + prompt}}]}).encode()
+            self.send_response(429 if first or prompt == "number 5" else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = HttpProvider(f"http://127.0.0.1:{server.server_port}", "key", "m")
+        out = answered_once(prompts(spark, [f"number {k}" for k in range(24)]), provider, ReplyStore(spark, path=str(tmp_path / "store"), per_round=1), 5)
+        got = {r.prompt: (r.reply, r.error) for r in out.collect()}
+    finally:
+        server.shutdown()
+    assert got["number 3"] == ("ok number 3", None) and got["number 5"] == (None, "HTTP Error 429: Too Many Requests") and sum(r is not None for r, _ in got.values()) == 23
+    assert state["most"] <= 5 and state["calls"]["number 3"] == 2 and state["calls"]["number 5"] == replies.ATTEMPTS
+    quiet = [t for t in starts if state["refused"] + 0.5 < t < state["refused"] + replies.PAUSE - 0.3]
+    assert quiet == []
