@@ -15,7 +15,7 @@ from lectern.plans.flow_queries import _CLEAN
 from lectern.plans.service_queries import _PIECES, _streamed
 from lectern.plans.text_queries import cleaned_sql, table
 from lectern.sources.file_sink import saved_texts
-from lectern.streaming import asking, events, frames
+from lectern.streaming import asking, events, frames, superseding
 
 
 def session_compaction(spark, d):
@@ -116,8 +116,19 @@ def analysis_frames(spark, d):
     return out.select("doc_id", "seq", "event", F.sha2(F.coalesce(F.get_json_object("payload", "$.section.content"), "payload"), 256).alias("sha256"), F.get_json_object("payload", "$.name").alias("name"))
 
 
+def shown_pieces(spark, d):
+    """Every twentieth event of a user begins a request, numbered by its event; the others are pieces of the
+    request before, of the one before that, or of none."""
+    e = table(spark, d, "events")
+    begins = F.col("event_id") % 20 == 0
+    rows = e.select(
+        F.col("user_id").alias("client_id"), F.when(begins, F.col("event_id")).otherwise((F.col("event_id") / 20).cast("long") * 20 - (F.col("event_id") % 3) * 20).alias("request_id"),
+        F.when(begins, "start").otherwise("delta").alias("event"), (F.col("event_id") % 20).alias("seq"), F.col("props").alias("text"), F.col("ts").alias("at"))
+    return superseding.shown_batch(rows)
+
+
 QUERIES = {f.__name__: f for f in [
-    session_compaction, saved_files, import_outcomes, request_statuses, frame_pieces, ask_protocol, math_protection, evaluated_documents, analysis_frames,
+    session_compaction, saved_files, import_outcomes, request_statuses, frame_pieces, ask_protocol, math_protection, evaluated_documents, analysis_frames, shown_pieces,
 ]}
 
 _SERVED = f"SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS t, {cleaned_sql('text')} AS clean FROM documents"
@@ -148,6 +159,8 @@ ORACLES = {
         UNION ALL SELECT doc_id, 4, 'mermaid', reply FROM mermaid UNION ALL SELECT doc_id, 5, 'evaluation', '' FROM docs)
         SELECT doc_id, seq, 'section' AS event, sha256(reply) AS sha256, name FROM sections UNION ALL SELECT doc_id, 0, 'start', sha256('{"doc_id":' || doc_id || '}'), NULL FROM docs
         UNION ALL SELECT doc_id, 6, 'done', sha256('{"doc_id":' || doc_id || ',"char_count":' || n || '}'), NULL FROM docs""",
+    "shown_pieces": """WITH r AS (SELECT user_id AS client_id, CASE WHEN event_id % 20 = 0 THEN event_id ELSE (event_id // 20) * 20 - (event_id % 3) * 20 END AS request_id, event_id % 20 > 0 AS piece, CAST(event_id % 20 AS INTEGER) AS seq, props AS text, ts AS at_ FROM events)
+        SELECT client_id, request_id, seq, text, at_ AS "at" FROM r WHERE piece AND request_id >= coalesce((SELECT max(request_id) FROM r s WHERE s.client_id = r.client_id AND NOT s.piece AND s.at_ <= r.at_), request_id)""",
     "evaluated_documents": _CLEAN + """SELECT doc_id, CASE WHEN len(q) > 0 THEN '## Extent' || chr(10) || len(q) || ' sentences, ' || length(left(t, 15000)) || ' characters' ELSE '' END AS evaluation,
         CASE WHEN len(q) > 0 THEN 'success' ELSE 'empty' END AS status FROM found JOIN docs USING (doc_id)""",
 }

@@ -162,3 +162,32 @@ def test_an_analysis_starts_and_ends(spark):
     assert [p["name"] for _, e, p in got[2] if e == "section"] == ["summary", "quotes", "mindmap", "mermaid", "evaluation"]
     out = {r.doc_id: r for r in pipelines.analyse(docs, provider).collect()}
     assert out[2].error == "HTTP 503 in summary" and out[1].error is None and all(0 <= r.elapsed_seconds < 60 and r.elapsed_seconds == round(r.elapsed_seconds, 1) for r in out.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_superseded_pieces_are_withheld_in_any_order_of_arrival(spark, tmp_path, keyed_state, seed):
+    from lectern.streaming import superseding
+
+    rng = random.Random(seed)
+    schema = "client_id long, request_id long, event string, seq int, text string, at timestamp"
+    rows = []
+    for client in (1, 2, 3):
+        for k in range(40):
+            request = rng.randrange(5)
+            at = AT + timedelta(seconds=rng.randrange(400), microseconds=rng.choice([0, 1, 999]))
+            rows.append((client, request, "start" if rng.random() < 0.2 else "delta", k, f"{client}-{k}", at))
+    rows += [(1, 9, "start", 0, "", rows[3][5]), (1, 8, "delta", 99, "same moment", rows[3][5]), (1, 9, "delta", 98, "newest", rows[3][5])]
+    rng.shuffle(rows)
+    far = [[(7, 1, "delta", 0, "flush", AT + timedelta(hours=h))] for h in (2, 4, 6)]
+    for k, part in enumerate([rows[i::5] for i in range(5)] + far):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    import os
+
+    for k in range(8):  # one batch for each, in this order
+        for name in os.listdir(tmp_path / "in" / str(k)):
+            os.utime(tmp_path / "in" / str(k) / name, (1_700_000_000 + k * 100, 1_700_000_000 + k * 100))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run(superseding.shown_stream(stream), lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "cp"), 240)
+    seen = lambda df: sorted((r.client_id, r.request_id, r.seq, r.text, r.at) for r in df.collect() if r.client_id != 7)
+    want = seen(superseding.shown_batch(spark.createDataFrame(rows, schema)))
+    assert seen(spark.read.parquet(str(tmp_path / "out"))) == want and 0 < len(want) < len(rows)
