@@ -88,3 +88,26 @@ def test_little_labelled_text_and_close_languages(spark):
     sample = langid.samples(copies)["xx"]
     assert b"something else" in sample and len(sample) < 11_000
     assert langid.folded("नमस्ते 12!") == "नमस्ते".encode()
+
+
+def test_whole_result_equals_brute_force(spark, sf_dir):
+    """Choice, ties and scores of every document from plain searches in the same samples, which hold only
+    what may be learned from."""
+    import math
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    rows = docs.collect()
+    ids = spark.createDataFrame([(r.doc_id,) for r in rows if not held(r.doc_id)], "doc_id long")
+    learned = langid.samples(docs.join(F.broadcast(ids), "doc_id"))
+    got = {r.doc_id: r for r in langid.op2_language_id(spark, sf_dir).collect()}
+    assert set(learned) == {r.lang for r in rows if r.lang and not held(r.doc_id)} and len(got) == len(rows)
+    for r in rows:
+        text = langid.folded(r.text or "")
+        bits = sorted((brute(text, s) * math.log2(len(s) + 2), lang) for lang, s in learned.items())
+        lettered = any(map(str.isalpha, text.decode()))
+        want = (bits[0][1], 1 - bits[0][0] / bits[1][0]) if lettered else ("und", 0.0)
+        assert got[r.doc_id].held_out == held(r.doc_id) and got[r.doc_id].lang_pred == want[0] and abs(got[r.doc_id].score - want[1]) < 1e-12, r.doc_id
