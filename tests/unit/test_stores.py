@@ -154,3 +154,25 @@ def test_writers_that_overlap_lose_nothing(spark, tmp_path):
         t.join()
     assert held(store.sessions()) == {"first": "1"} | {f"t{k}": str(k) for k in range(5)}
     assert store.manifest()[0] == 7
+
+
+def test_lookups_shuffle_the_requests_alone(spark, tmp_path):
+    from lectern.operators.sessions import token_hash, validated
+
+    store = SessionStore(spark, str(tmp_path / "s"), "session_id string, updated_at timestamp_ntz, expires_at timestamp_ntz, token_hash string", buckets=4)
+    for k in (0, 1):  # the second write has the token that counts
+        store.append(spark.range(300).select(F.concat(F.lit("s"), "id").alias("session_id"), F.lit(AT + timedelta(k)).cast("timestamp_ntz").alias("updated_at"), token_hash(F.concat(F.lit(f"t{k}-"), "id")).alias("token_hash")))
+    name = f"sessions_{uuid.uuid4().hex}"
+    held_back = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = store.bucketed(name, 6)
+        requests = spark.range(400).select(F.col("id").alias("request_id"), F.concat(F.lit("s"), "id").alias("session_id"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string"), F.lit("-"), "id").alias("token"))
+        out = validated(requests, table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.request_id: r.error for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held_back)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")].split("SortMergeJoin")[-1].split(":- ")[-1]
+    assert got == {k: "session not found" if k >= 300 else None if k % 2 else "session token invalid" for k in range(400)}
