@@ -135,6 +135,8 @@ class ReplyStore:
             part = TaskContext.get().partitionId()
             threads = max(1, limit // tasks + (part % tasks < limit % tasks))
             source, again, left, pause = rows_of(frames), [], True, 0.0
+            if context is not None:
+                context.barrier()  # rounds begin together
             with ThreadPoolExecutor(threads) as pool:
                 while left:
                     batch = again[: threads * per_round]
