@@ -32,10 +32,17 @@ def _ascii_only(names: pd.Series) -> pd.Series:
 
 def secure_name(c: Column) -> Column:
     """A name safe as a file's: ASCII letters, digits, ``_ . -``, no edge dots or runs of ``_``."""
-    c = filled(c)
-    # Names that are ASCII already don't leave the JVM.
+    return _as_name(_in_ascii(filled(c)))
+
+
+def _in_ascii(c: Column) -> Column:
+    """Names that are ASCII already don't leave the JVM."""
     plain = c.rlike(r"^\p{ASCII}*\z")
-    c = F.regexp_replace(F.coalesce(F.when(plain, c), _ascii_only(F.when(~plain, c))), r"[/\\]", " ")
+    return F.coalesce(F.when(plain, c), _ascii_only(F.when(~plain, c)))
+
+
+def _as_name(c: Column) -> Column:
+    c = F.regexp_replace(c, r"[/\\]", " ")
     c = F.regexp_replace(stripped(c), r"[\s\x1c-\x1f]+", "_")
     c = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_.-]", ""), "_+", "_")
     return F.regexp_replace(c, r"^[._]+|[._]+$", "")
@@ -57,9 +64,12 @@ def identifier(c: Column, prefix: str) -> Column:
 
 def upload_name(c: Column) -> Column:
     """A safe name with its extension, one made up where nothing safe is left, null where not allowed."""
-    ext, safe = extension(c), secure_name(c)
+    return _uploaded(secure_name(c), extension(c))
+
+
+def _uploaded(safe: Column, ext: Column) -> Column:
     fresh = F.concat(F.lit("file_"), F.replace(F.uuid(), F.lit("-"), F.lit("")), ext)
-    return F.when(is_allowed_file(c), F.when((safe != "") & F.endswith(F.lower(safe), ext), safe).otherwise(fresh))
+    return F.when(ext.isin(*EXTENSIONS), F.when((safe != "") & F.endswith(F.lower(safe), ext), safe).otherwise(fresh))
 
 
 def content_type(c: Column) -> Column:
@@ -156,10 +166,10 @@ def _own_extension(name: Column) -> Column:
     return F.regexp_extract(name, r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1)
 
 
-def _file_name(name: Column, own: Column, slug: Column, ctype: Column) -> Column:
-    root = F.left(name, F.length(name) - F.length(own))
+def _file_name(root: Column, own: Column, slug: Column, ctype: Column) -> Column:
+    """root: the name before its own extension, made safe."""
     ext = F.when(F.lower(own).isin(*EXTENSIONS), F.lower(own)).otherwise(F.coalesce(F.nullif(type_extension(ctype), F.lit("")), F.lit(".pdf")))
-    safe = F.coalesce(F.nullif(secure_name(root), F.lit("")), F.nullif(slug, F.lit("")), F.lit("imported_paper"))
+    safe = F.coalesce(F.nullif(root, F.lit("")), F.nullif(slug, F.lit("")), F.lit("imported_paper"))
     return F.concat(safe, ext)
 
 
@@ -167,17 +177,28 @@ def import_name(title: Column, url: Column, disposition: Column, ctype: Column)
     """Name by header, else by address, else by title; extension by name, else by content type, else .pdf."""
     slug = secure_name(title)
     name = _first_name(slug, url, disposition)
-    return upload_name(_file_name(name, _own_extension(name), slug, ctype))
+    own = _own_extension(name)
+    return upload_name(_file_name(secure_name(F.left(name, F.length(name) - F.length(own))), own, slug, ctype))
 
 
 def with_import_name(files: DataFrame, column: str = "source_filename") -> DataFrame:
     """``import_name`` of rows with title, link, disposition and content_type, step by step: as one expression
     it repeats its parts until the code for it is too long to compile."""
-    made = files.withColumn("_slug", secure_name(F.col("title")))
-    made = made.withColumn("_name", _first_name(F.col("_slug"), F.col("link"), F.col("disposition")))
-    made = made.withColumn("_own", _own_extension(F.col("_name")))
-    made = made.withColumn("_file", _file_name(F.col("_name"), F.col("_own"), F.col("_slug"), F.col("content_type")))
-    return made.withColumn(column, upload_name(F.col("_file"))).drop("_slug", "_name", "_own", "_file")
+    def step(df: DataFrame, name: str, value: Column) -> DataFrame:
+        # The optimiser puts projections together again, but not what a generator makes.
+        return df.select("*", F.inline_outer(F.array(F.struct(value.alias(name)))))
+
+    def secured(df: DataFrame, name: str, value: Column) -> DataFrame:
+        whole = step(df, f"{name}_raw", filled(value))
+        return step(whole.withColumn(f"{name}_in", _in_ascii(F.col(f"{name}_raw"))), name, _as_name(F.col(f"{name}_in")))
+
+    made = secured(files, "_slug", F.col("title"))
+    made = step(made, "_name", _first_name(F.col("_slug"), F.col("link"), F.col("disposition")))
+    made = step(made, "_own", _own_extension(F.col("_name")))
+    made = secured(made, "_root", F.left("_name", F.length("_name") - F.length("_own")))
+    made = step(made, "_file", _file_name(F.col("_root"), F.col("_own"), F.col("_slug"), F.col("content_type")))
+    made = step(secured(made, "_safe", F.col("_file")), "_ext", extension(F.col("_file")))
+    return made.withColumn(column, _uploaded(F.col("_safe"), F.col("_ext"))).select(*files.columns, column)
 
 
 def download_candidates(pdf_url: Column, url: Column) -> Column:

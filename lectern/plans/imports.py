@@ -41,11 +41,15 @@ def imported(papers: DataFrame, provider: Provider, settings: Settings = Setting
     folder = (folder or shared_folder(spark, "imports")).rstrip("/")
     one = papers.groupBy("paper_id").agg(F.min_by(F.struct(*papers.columns), F.struct("pdf_url", "url", "title")).alias("p")).select("p.*")
     linked = (stripped(filled(F.col("pdf_url"))) != "") | (stripped(filled(F.col("url"))) != "")
-    got = resolved(one.where(linked).select("paper_id", "pdf_url", "url"), folder=f"{folder}/tries", fetch=fetch).join(one.select("paper_id", "title"), "paper_id")
-    named = with_import_name(got.where("error IS NULL"))
-    # Files are named by paper: two papers may have files of one name.
+    got = resolved(one.where(linked).select("paper_id", "pdf_url", "url"), folder=f"{folder}/tries", fetch=fetch)
+    # Names are made of what little they need and written before any content moves.
+    files = got.where("error IS NULL")
+    titled = files.select("paper_id", "link", "content_type", "disposition").join(one.select("paper_id", "title"), "paper_id")
     ext = extension(F.col("source_filename"))
-    held = named.select("paper_id", "source_filename", ext.alias("ext"), F.concat(F.sha2(F.col("paper_id").cast("string"), 256), ext).alias("name"), "content")
+    # Files are named by paper: two papers may have files of one name.
+    named = with_import_name(titled).select("paper_id", "source_filename", ext.alias("ext"), F.concat(F.sha2(F.col("paper_id").cast("string"), 256), ext).alias("name"))
+    named.write.parquet(f"{folder}/names")
+    held = files.select("paper_id", "content").join(spark.read.schema(named.schema).parquet(f"{folder}/names"), "paper_id")
     held.write.parquet(f"{folder}/named")
     held = spark.read.schema(held.schema).parquet(f"{folder}/named")
     saved(held.select("name", "content"), f"{folder}/files")
