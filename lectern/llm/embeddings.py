@@ -1,12 +1,13 @@
 """Embedding near-dedup: random-hyperplane signs in several tables, exact cosines, components.
 
-Equal vectors of one label fall into one class first. Each table gives a class a bucket by the signs
-of its products with a few random hyperplanes; classes of one label that share a bucket are compared
-exactly, in blocks of bounded size, however large the bucket. A pair is counted in the first table
-where it meets, so counts need no list of pairs: blocks emit sums per class and a spanning forest.
-Planes follow from a seed, so a block works out the earlier buckets of the few vectors that link in it;
-what travels to a block is the vector alone, and only from buckets that hold two or more.
-The number of tables follows from the wanted probability of missing a pair at the threshold.
+Equal vectors of one label fall into one class first. A vector's sketch holds the signs of its products
+with a pool of random hyperplanes, and each table picks a few of them for its buckets: so the sketch
+gives the buckets of all tables, and it alone travels to each table. Classes of one label that share a
+bucket are compared by their sketches, in blocks of bounded size, however large the bucket; vectors go
+only where a row has a partner whose sketch may link and which no earlier table has met. There cosines
+are exact. A pair is counted in the first table where it meets, so counts need no list of pairs: blocks
+emit sums per class and a spanning forest. How many tables there are, and how far sketches of a pair at
+the threshold may differ, follows from the wanted probability of missing it.
 """
 
 from __future__ import annotations
@@ -16,48 +17,131 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import dropped, stored, table
 from lectern.llm.graph import components
 
 THRESHOLD = 0.93
 #: Probability that a pair exactly at the threshold shares no bucket; nearer pairs miss far less often.
 MISS = 1e-5
+#: Hyperplanes of the pool: a sketch has so many bits.
+POOL = 512
 #: Classes per bucket aimed at, and most rows of a block.
 PER_BUCKET, BLOCK = 64, 1024
 MAX_BITS = 30
 SEED = 20
 
 
+def _spread(threshold: float) -> np.ndarray:
+    """The chances that the sketches of a pair at the threshold differ in 0 to POOL bits."""
+    apart = math.acos(threshold) / math.pi
+    if apart == 0:
+        return np.eye(1, POOL + 1)[0]
+    log = [math.lgamma(POOL + 1) - math.lgamma(h + 1) - math.lgamma(POOL - h + 1) + h * math.log(apart) + (POOL - h) * math.log1p(-apart) for h in range(POOL + 1)]
+    return np.exp(log)
+
+
+def most_flips(threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """In more bits the sketches of a pair at the threshold differ with a tenth of ``miss`` at most."""
+    tail = np.cumsum(_spread(threshold)[::-1])[::-1]  # of h bits or more
+    return int(np.argmax(np.append(tail, 0)[1:] <= miss / 10))
+
+
 def n_tables(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    p = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(miss) / math.log1p(-p)))
+    """The fewest tables of ``bits`` planes of the pool each that leave a pair at the threshold unmet with
+    nine tenths of ``miss`` at most."""
+    flips = np.arange(most_flips(threshold, miss) + 1)
+    meet = np.prod([(POOL - flips - k) / (POOL - k) for k in range(bits)], axis=0).clip(0, 1)
+    chance = _spread(threshold)[: len(flips)]
+    unmet = lambda tables: float(chance @ (1 - meet) ** tables)
+    high = 1
+    while unmet(high) > 0.9 * miss:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if unmet(mid) > 0.9 * miss else (low, mid)
+    return high
+
+
+@lru_cache(maxsize=64)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, POOL))
 
 
-@lru_cache(maxsize=2048)
-def _planes(dim: int, bits: int, at_table: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim, bits, at_table]).standard_normal((dim, bits))
+@lru_cache(maxsize=8)
+def _picks(bits: int, tables: int) -> np.ndarray:
+    """The planes of each table."""
+    return np.stack([np.random.default_rng([SEED, bits, t]).choice(POOL, bits, replace=False) for t in range(tables)])
 
 
-def _codes(v: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The buckets of the rows of ``v`` in the first ``tables`` tables."""
-    weights = 1 << np.arange(bits)
-    return np.stack([((v @ _planes(v.shape[1], bits, t)) > 0) @ weights for t in range(tables)], axis=1)
+def _codes(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The buckets in the first ``tables`` tables of the rows of ``signs``, of POOL bits each."""
+    weights = (1 << np.arange(bits)).astype(np.int32)
+    return np.stack([signs[:, picked] @ weights for picked in _picks(bits, tables)], axis=1)
 
 
 def _buckets(bits: int, tables: int):
-    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            codes: list = [None] * len(frame)
-            for _, rows in frame.groupby(frame["embedding"].map(len)).indices.items():
-                v = np.array([frame["embedding"].iat[i] for i in rows], np.float64)
-                for i, c in zip(rows, _codes(v, bits, tables)):
-                    codes[i] = c.astype(np.int32)
-            yield frame[["class_id", "label", "dim"]].assign(codes=codes)
+    """Adds the sketch and the buckets of all tables."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            n = batch.column("dim").to_numpy()
+            starts = np.cumsum(n) - n
+            signs = np.zeros((batch.num_rows, POOL), np.int32)
+            for dim in np.unique(n).tolist():
+                own = np.flatnonzero(n == dim)
+                v = values[starts[own, None] + np.arange(dim)]
+                v /= np.abs(v).max(axis=1, keepdims=True)  # no sum overflows
+                signs[own] = v @ _planes(dim) > 0
+            sketches = pa.array([row.tobytes() for row in np.packbits(signs.astype(np.uint8), axis=1)], pa.binary())
+            codes = pa.array(_codes(signs, bits, tables).astype(np.int32).ravel())
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), codes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketches, codes], names=[*batch.schema.names, "sketch", "codes"])
+
+    return fn
+
+
+def _signs(rows: pa.Table) -> np.ndarray:
+    raw = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8)
+    return np.unpackbits(raw.reshape(rows.num_rows, POOL // 8), axis=1)
+
+
+def _new(signs: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, at_table: int) -> np.ndarray:
+    """Whether no earlier table has met the rows a[k] and b[k]."""
+    new = np.ones(len(a), bool)
+    if at_table and len(a):
+        hit, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        codes = _codes(signs[hit].astype(np.int32), bits, at_table)
+        for t in range(at_table):
+            new &= codes[place[: len(a)], t] != codes[place[len(a) :], t]
+    return new
+
+
+def _may_link(bits: int, flips: int):
+    """The rows of a block that have a partner in it by their sketches."""
+
+    def fn(key: tuple, rows: pa.Table) -> pa.Table:
+        _, _, at_table, _, i, j = (k.as_py() for k in key)
+        block = rows.column("block").to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right) or (i == j and len(left) < 2):
+            return rows.slice(0, 0).drop_columns(["sketch"])
+        signs = _signs(rows)
+        turned = signs.astype(np.float32) * 2 - 1
+        near = turned[left] @ turned[right].T >= POOL - 2 * flips  # whole numbers, exact as floats
+        if i == j:
+            near = np.triu(near, 1)
+        a, b = np.nonzero(near)
+        a, b = left[a], right[b]
+        new = _new(signs, a, b, bits, at_table)
+        hit = np.unique(np.concatenate([a[new], b[new]]))
+        return rows.drop_columns(["sketch"]).take(pa.array(hit))
 
     return fn
 
@@ -81,19 +165,14 @@ def _compare(threshold: float, bits: int):
             near = np.triu(near, 1)
         a, b = np.nonzero(near)
         a, b = left[a], right[b]
-        if at_table and len(a):
-            hit, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            codes = _codes(v[hit], bits, at_table)
-            new = np.ones(len(a), bool)
-            for t in range(at_table):
-                new &= codes[place[: len(a)], t] != codes[place[len(a) :], t]
-            a, b = a[new], b[new]
-        weight, ids = rows.column("weight").to_numpy(), rows.column("class_id").to_numpy()
+        new = _new(_signs(rows), a, b, bits, at_table)
+        a, b = a[new], b[new]
+        weight, ids, keys = (rows.column(c).to_numpy() for c in ("weight", "class_id", "key"))
         n = np.zeros(rows.num_rows, np.int64)
         np.add.at(n, a, weight[b])
         np.add.at(n, b, weight[a])
         # Least id reached inside the block: enough edges to connect what links here.
-        root = np.argsort(np.argsort(ids))
+        ranked, root = np.unique(ids, return_inverse=True)
         while True:
             low = root.copy()
             np.minimum.at(low, a, root[b])
@@ -102,7 +181,7 @@ def _compare(threshold: float, bits: int):
                 break
             root = low
         hit = np.flatnonzero(n > 0)
-        return pa.table({"class_id": ids[hit], "n": n[hit], "to": np.sort(ids)[root[hit]]})
+        return pa.table({"key": keys[hit], "class_id": ids[hit], "n": n[hit], "to": ranked[root[hit]]})
 
     return fn
 
@@ -129,31 +208,37 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, miss: floa
     kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = embeddings.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label")
     good = rows.where(_is_usable())
-    # NaN and -0.0 aside, equal arrays group; the class is named by its smallest id.
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding")))
+    # NaN and -0.0 aside, equal arrays group; the class is named by its smallest id. Classes of rows that
+    # repeat a vec_id may share that, so a key that is written with them tells them apart.
+    grouped = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    classes = stored(grouped.withColumns({"dim": F.size("embedding"), "key": F.monotonically_increasing_id()}))
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits = max(4, min(MAX_BITS, math.ceil(math.log2(max(1, largest / per_bucket)))))
     tables = n_tables(bits, threshold, miss)
-    coded = stored(classes.mapInPandas(_buckets(bits, tables), "class_id long, label " + dict(classes.dtypes)["label"] + ", dim int, codes array<int>"))
-    spots = coded.select("class_id", "label", "dim", F.posexplode("codes").alias("t", "bucket"))
+    made = StructType([*classes.schema.fields, *StructType.fromDDL("sketch binary, codes array<int>").fields])
+    coded = stored(classes.mapInArrow(_buckets(bits, tables), made))
+    spots = coded.select("key", "label", "dim", "sketch", F.posexplode("codes").alias("t", "bucket"))
     sizes = spots.groupBy("label", "dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    placed = spots.join(spread, ["label", "dim", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int"))
+    placed = spots.join(spread, ["label", "dim", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     # A row goes to each pair of blocks that has its own; a bucket of one block is one pair.
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     )
-    dealt = placed.withColumn("pair", F.explode(pairs)).select("class_id", "label", "dim", "t", "bucket", "block", "pair.i", "pair.j")
-    full = dealt.join(classes.select("class_id", "label", "dim", "weight", "embedding"), ["class_id", "label", "dim"])
-    found = stored(full.groupBy("label", "dim", "t", "bucket", "i", "j").applyInArrow(_compare(threshold, bits), "class_id long, n long, to long"))
-    sums = found.groupBy("class_id").agg(F.sum("n").alias("n"))
+    place = ["label", "dim", "t", "bucket", "i", "j"]
+    dealt = placed.withColumn("pair", F.explode(pairs)).select("key", "label", "dim", "t", "bucket", "block", "pair.i", "pair.j", "sketch")
+    wanted = stored(dealt.groupBy(*place).applyInArrow(_may_link(bits, most_flips(threshold, miss)), dealt.drop("sketch").schema))
+    full = wanted.join(coded.select("key", "class_id", "weight", "embedding", "sketch"), "key")
+    found = stored(full.groupBy(*place).applyInArrow(_compare(threshold, bits), "key long, class_id long, n long, to long"))
+    dropped(coded, wanted)
+    sums = found.groupBy("key").agg(F.sum("n").alias("n"))
     same_id = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    named = good.join(classes.select("label", "embedding", "class_id", "weight"), ["label", "embedding"]).select("vec_id", "class_id", "weight")
+    named = good.join(classes.select("label", "embedding", "key", "class_id", "weight"), ["label", "embedding"]).select("vec_id", "key", "class_id", "weight")
     tied = named.join(same_id, "vec_id").select(F.col("vec_id").alias("u"), F.col("class_id").alias("v"))
     roots = components(found.select(F.col("class_id").alias("u"), F.col("to").alias("v")).unionByName(tied))
     linked = (
-        named.join(sums, "class_id", "left")
+        named.join(sums, "key", "left")
         .join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
         .select("vec_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"))
     )

@@ -59,7 +59,32 @@ def test_groups_blocks_and_bad_vectors(spark, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_link_as_vectors_of_their_own(spark):
+    near, far = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, near, 0), (1, far, 0), (2, [1.0, 0.0, 0.0, 0.0], 0), (3, [0.0, 1.0, 0.1, 0.0], 0)]
+    got = sorted(tuple(r)[:3] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_miss_bound():
     for bits in (4, 8, 12):
         p = (1 - np.arccos(0.93) / np.pi) ** bits
         assert (1 - p) ** embeddings.n_tables(bits) <= embeddings.MISS
+
+
+def test_pool_meets_pairs_at_the_threshold():
+    """Pairs at the threshold, by their sketches: with fewer tables the share met is as the bound says."""
+    rng = np.random.default_rng(3)
+    dim, n, bits, tables = 24, 4000, 8, 6
+    a = rng.standard_normal((n, dim))
+    b = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    one, two = ((v @ embeddings._planes(dim) > 0).astype(np.int32) for v in (a, b))
+    met = (embeddings._codes(one, bits, tables) == embeddings._codes(two, bits, tables)).any(axis=1)
+    flips = np.arange(embeddings.POOL + 1)
+    meet = np.prod([(embeddings.POOL - flips - k) / (embeddings.POOL - k) for k in range(bits)], axis=0).clip(0, 1)
+    told = embeddings._spread(0.93) @ (1 - (1 - meet) ** tables)
+    assert abs(met.mean() - told) < 0.06 and (one != two).sum(axis=1).max() <= embeddings.most_flips()
+    assert abs(embeddings._spread(0.93).sum() - 1) < 1e-9
