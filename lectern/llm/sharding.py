@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import dropped, stored, table
 
 N_SLOTS = 4096
+#: A group of equal texts is spread beyond so many slots' mean bytes, or so many slots' mean rows and HOT_ROWS.
+HOT_SLOTS, HOT_ROWS = 8, 1000
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
@@ -117,21 +119,35 @@ def numbered(records: DataFrame, stats: DataFrame, slot_map: DataFrame, order: l
     )
 
 
+def grouped_slots(sized: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds ``virtual_slot`` to rows of doc_id, size, text_crc32: equal texts get one slot, but for groups with
+    more bytes or rows than HOT_SLOTS slots have on average, whose rows are spread over all slots by their
+    doc_id. There are fewer than n_slots / 4 such groups, so they are broadcast."""
+    groups = sized.groupBy("size", "text_crc32").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    total = sized.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    hot = groups.where((F.col("bytes") * n_slots > HOT_SLOTS * (total.bytes or 0)) | (F.col("rows") > max(HOT_ROWS, HOT_SLOTS * total.rows // n_slots)))
+    spread = hot.where("rows > 1").select("size", "text_crc32", F.lit(True).alias("spread"))
+    own, salt = [F.col("size"), F.col("text_crc32")], F.when(F.col("spread"), F.xxhash64("doc_id", F.lit(9)))
+    return sized.join(F.broadcast(spread), ["size", "text_crc32"], "left").withColumn("virtual_slot", virtual_slot(*own, salt, n_slots=n_slots)).drop("spread")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(placed, map): per document doc_id, size, text_crc32, virtual_slot, shard, slot; and the map used.
 
-    Size is the UTF-8 bytes of the text (null: none) plus 1; shards hold nearly equal bytes. The slot
-    hashes doc_id, size and crc, so a hot source or group of copies spreads over all slots; null ids
-    and repeated rows are placed like others, with places of their own. Other columns don't matter.
-    An empty table gives no rows and a full map.
+    Size is the UTF-8 bytes of the text (null: none) plus 1; shards hold nearly equal bytes. Equal texts
+    (by size and crc) share a slot and so a shard, unless their group is larger than HOT_SLOTS slots are on
+    average (``grouped_slots``): those spread over all slots, or shards would be uneven.
+    Null ids and repeated rows are placed like others, with places of their own. Other columns don't
+    matter. An empty table gives no rows and a full map.
     """
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    sized = stored(sized.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("size"), F.col("text_crc32"), n_slots=n_slots)))
-    stats = stored(slot_stats(sized))
+    sized = stored(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    placed = stored(grouped_slots(sized, n_slots))
+    dropped(sized)
+    stats = stored(slot_stats(placed))
     slot_map = stored(build_map(stats, n_shards, n_slots))
-    placed = assign(numbered(sized, stats, slot_map, ["doc_id", "text_crc32", "size"]), slot_map)
-    return placed, slot_map
+    out = assign(numbered(placed, stats, slot_map, ["doc_id", "text_crc32", "size"]), slot_map)
+    return out.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot"), slot_map
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,19 @@ def test_odd_rows(spark):
     assert sharding.shard_documents(docs.limit(0), 2)[0].count() == 0
 
 
+def test_equal_texts_share_a_shard_but_for_large_groups(spark):
+    rows = [(i, f"text {i // 3}") for i in range(3000)] + [(5000 + i, "hot") for i in range(1500)] + [(9000 + i, "") for i in range(1500)]
+    placed, _ = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4, n_slots=512)
+    texts = dict(rows)
+    shards, loads = defaultdict(set), defaultdict(int)
+    for r in placed.collect():
+        shards[texts[r.doc_id]].add(r.shard)
+        loads[r.shard] += r.size
+    assert all(len(shards[t]) == 1 for t in texts.values() if t not in ("hot", ""))
+    assert len(shards["hot"]) == len(shards[""]) == 4
+    assert max(loads.values()) - min(loads.values()) <= 100
+
+
 def test_versions_move_only_what_they_must(spark, tmp_path):
     stats = spark.range(4096).selectExpr("int(id) virtual_slot", "1000 + id % 97 bytes", "1L rows")
     one = sharding.build_map(stats, 8)
