@@ -96,3 +96,10 @@ def test_settings():
     s = Settings.load({"OPENAI_MAX_CONCURRENCY": "99", "SESSION_TTL_SECONDS": "x", "PAPER_SEARCH_ENABLE_REWRITE": "off"})
     assert (s.max_concurrency, s.session_ttl, s.enable_rewrite) == (32, 86400, False)
     assert parse_int(None, 5, 1, 32) == 5 and parse_bool(" YES ", False) and worker_count(0, 5) == 1
+
+
+def test_size_halves_in_decimals_go_to_the_even_digit(spark):
+    # 1.25, 1.75, 9.25 and 2.35 KB, 1.25 MB; whole numbers go up: 10.5 KB.
+    sizes = {"0": "0 B", "1023": "1023 B", "1280": "1.2 KB", "1792": "1.8 KB", "9472": "9.2 KB", "2406": "2.3 KB", "1310720": "1.2 MB", "10752": "11 KB", "10239": "10.0 KB"}
+    got = evaluated(spark, list(sizes), size=lambda c: text.human_size(c.cast("long")))
+    assert [r["size"] for r in got] == list(sizes.values())
