@@ -46,3 +46,18 @@ def test_pieces_keep_every_row_in_order():
 def test_answering_holds_few_prompts(spark):
     prompts = long_texts(spark).select(F.lit("quotes").alias("task"), F.col("text").alias("prompt"))
     assert peak(providers.answered(prompts, Traced())) < 32 * MB
+
+
+def test_upload_names_walk_each_text_once(spark):
+    plan = catalog.queries()["upload_names"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace(") <= 2 and plan.count("_ascii_only(") <= 1
+
+
+@pytest.mark.parametrize("raw", ["a b.PDF", " ./é ü/..c d_ _(x).txt", "..pdf", ".a.pdf", "a/.pdf", "", None, "a.b/c", "x\x1c\x85y\\z.docx", "___.txt", "日本.pptx", "a\n.pdf", "a.tar.docx.", "..a.txt"])
+def test_upload_names_by_steps_are_those_of_one_expression(spark, raw):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    shown = lambda n: F.regexp_replace(n, "^file_[0-9a-f]{32}", "made up")
+    one = df.select(urls.extension(F.col("raw")).alias("ext"), shown(urls.upload_name(F.col("raw"))).alias("name")).first()
+    assert urls.with_upload_name(df, "raw").select("ext", shown(F.col("name")).alias("name")).first() == one
+    rule = F.lower(F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1))
+    assert df.select(rule.alias("ext")).first().ext == one.ext
