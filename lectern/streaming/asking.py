@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -103,22 +102,19 @@ def protocol_stream(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
 def protocol_batch(rows: DataFrame) -> DataFrame:
     """request_id, seq, event, text, session_id, question of requests that have all their rows: the batch twin. text: of a
     delta its piece, of ``done`` the answer, of ``error`` the reason."""
-    by = W.partitionBy("request_id")
-    last = rows.withColumn("last", F.max(F.when(F.col("event") == "delta", F.col("attempt"))).over(by))
-    piece = F.when((F.col("event") == "delta") & (F.col("attempt") == F.col("last")), F.struct("seq", "text"))
-    end = F.when(F.col("event") != "delta", F.struct(F.col("attempt"), F.col("seq"), F.col("event"), F.col("text")))
-    ends = last.groupBy("request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias("built"), F.min(end).alias("end"),
+    delta = F.col("event") == "delta"
+    held = rows.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.when(delta, F.struct("attempt", "seq", "text")))).alias("pieces"), F.min(F.when(~delta, F.struct("attempt", "seq", "event", "text"))).alias("end"),
         F.min_by("session_id", F.struct("attempt", "seq")).alias("session_id"), F.min_by("question", F.struct("attempt", "seq")).alias("question"),
     )
-    ends = ends.where("end IS NOT NULL")
-    shown = F.when(F.col("end.event") == "done", F.coalesce(F.nullif("end.text", F.lit("")), "built")).otherwise(F.col("end.text"))
-    head = ends.select("request_id", F.lit(0).alias("part"), F.lit(0).alias("attempt"), F.lit(0).alias("at"), F.lit("start").alias("event"), F.lit(None).cast("string").alias("text"))
-    middle = rows.where("event = 'delta'").select("request_id", F.lit(1).alias("part"), "attempt", F.col("seq").alias("at"), "event", "text").join(ends.select("request_id"), "request_id", "left_semi")
-    tail = ends.select("request_id", F.lit(2).alias("part"), F.lit(0).alias("attempt"), F.lit(0).alias("at"), F.col("end.event").alias("event"), shown.alias("text"))
-    order = by.orderBy("part", "attempt", "at")
-    numbered = head.unionByName(middle).unionByName(tail).withColumn("seq", F.row_number().over(order))
-    return numbered.join(ends.select("request_id", "session_id", "question"), "request_id").select("request_id", "seq", "event", "text", "session_id", "question")
+    # All rows of a request are put together from its one row, so ``rows`` is read, and its calls made, once.
+    last = F.filter("pieces", lambda p: p["attempt"] == F.try_element_at("pieces", F.lit(-1))["attempt"])
+    built = F.array_join(F.transform(last, lambda p: p["text"]), "")
+    shown = F.when(F.col("end.event") == "done", F.coalesce(F.nullif("end.text", F.lit("")), built)).otherwise(F.col("end.text"))
+    one = lambda event, text: F.struct(event.alias("event"), text.alias("text"))
+    sent = F.concat(F.array(one(F.lit("start"), F.lit(None).cast("string"))), F.transform("pieces", lambda p: one(F.lit("delta"), p["text"])), F.array(one(F.col("end.event"), shown)))
+    numbered = held.where("end IS NOT NULL AND request_id IS NOT NULL").select("request_id", "session_id", "question", F.posexplode(sent).alias("at", "e"))
+    return numbered.select("request_id", (F.col("at") + 1).alias("seq"), "e.event", "e.text", "session_id", "question")
 
 
 def turns_first(folder: str, between: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:

@@ -61,3 +61,8 @@ def test_upload_names_by_steps_are_those_of_one_expression(spark, raw):
     assert urls.with_upload_name(df, "raw").select("ext", shown(F.col("name")).alias("name")).first() == one
     rule = F.lower(F.regexp_extract(F.coalesce("raw", F.lit("")), r"(?s)^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)\z", 1))
     assert df.select(rule.alias("ext")).first().ext == one.ext
+
+
+def test_ask_protocol_asks_once_and_shuffles_once(spark):
+    plan = catalog.queries()["ask_protocol"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Join" not in plan and "Window" not in plan
