@@ -66,3 +66,7 @@ def test_upload_names_by_steps_are_those_of_one_expression(spark, raw):
 def test_ask_protocol_asks_once_and_shuffles_once(spark):
     plan = catalog.queries()["ask_protocol"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapIn") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_summaries_hold_few_texts(spark):
+    assert peak(sections.summaries(long_texts(spark), Traced())) < 32 * MB
