@@ -70,3 +70,16 @@ def test_ask_protocol_asks_once_and_shuffles_once(spark):
 
 def test_summaries_hold_few_texts(spark):
     assert peak(sections.summaries(long_texts(spark), Traced())) < 32 * MB
+
+
+def test_sink_copies_no_batch(tmp_path):
+    texts = [b"x" * 4000] * 5000
+    batch = pa.record_batch({"name": [f"{i}.txt" for i in range(len(texts))], "content": pa.array(texts, pa.binary())})
+    sink = file_sink.FileSink({"path": str(tmp_path)}).writer(None, False)
+    tracemalloc.start()
+    try:
+        sink.commit([sink.write(iter([batch]))])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 12 * MB and {Path(tmp_path, f"{i}.txt").read_bytes() for i in (0, 4999)} == {texts[0]}
