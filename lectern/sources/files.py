@@ -11,12 +11,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import cleaned, filled
 from lectern.functions.urls import EXTENSIONS, MAX_FILE_BYTES, extension
+from lectern.operators.batches import pieces
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -122,12 +123,14 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] |
         except Exception as e:  # whatever a broken file makes its reader raise is that row's error
             return None, f"could not read {ext}: {e}"
 
-    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [one(e, bytes(c)) for e, c in zip(f["ext"], f["content"])]
-            yield pd.DataFrame({"path": f["path"], "ext": f["ext"], "raw_text": pd.array([x for x, _ in got], "string"), "error": pd.array([e for _, e in got], "string")})
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            path, exts = rows.column("path"), rows.column("ext")
+            got = [one(e, c.as_py()) for e, c in zip(exts.to_pylist(), rows.column("content"))]
+            texts, errors = (pa.array([g[i] for g in got], path.type) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([path, exts, texts, errors], names=["path", "ext", "raw_text", "error"])
 
-    return files.select("path", "ext", "content").mapInPandas(fn, "path string, ext string, raw_text string, error string")
+    return files.select("path", "ext", "content").mapInArrow(fn, "path string, ext string, raw_text string, error string")
 
 
 def read_documents(spark: SparkSession, path: str, reject_empty: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -83,3 +83,14 @@ def test_sink_copies_no_batch(tmp_path):
     finally:
         tracemalloc.stop()
     assert most < 12 * MB and {Path(tmp_path, f"{i}.txt").read_bytes() for i in (0, 4999)} == {texts[0]}
+
+
+def test_extraction_holds_few_files(spark):
+    traced = Traced()
+    rows = long_texts(spark).select(F.col("doc_id").cast("string").alias("path"), F.lit(".txt").alias("ext"), F.encode("text", "UTF-8").alias("content"))
+    assert peak(files.extracted(rows, {".txt": lambda raw: traced("", raw.decode())}), "raw_text") < 32 * MB
+
+
+def test_streamed_sections_hold_few_prompts(spark):
+    replies = sections.streamed_replies(long_texts(spark), Traced(), ["summary", "quotes"])
+    assert peak(replies.where("name <> 'done'")) < 32 * MB
