@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,11 +59,25 @@ def created(spark: SparkSession, path: str, text: str) -> bool:
     out = fs.create(aside, False)
     out.write(bytearray(text.encode()))
     out.close()
+    folder = fs.resolvePath(p.getParent()).toUri()
+    linked = _linked(folder.getPath(), aside.getName(), p.getName()) if folder.getScheme() == "file" else None
     # A rename onto a name that is taken fails, here or, where a store lets it pass, by the check before.
-    if not fs.exists(p) and fs.rename(aside, p):
+    if linked is None and not fs.exists(p) and fs.rename(aside, p):
         return True
     fs.delete(aside, False)
-    return False
+    return bool(linked)
+
+
+def _linked(folder: str, name: str, other: str) -> bool | None:
+    """Give a local file another name, unless that is taken, which a local rename would overwrite; none
+    where a file has only one name."""
+    try:
+        os.link(f"{folder}/{name}", f"{folder}/{other}")
+    except FileExistsError:
+        return False
+    except OSError:
+        return None
+    return True
 
 
 def content(spark: SparkSession, path: str) -> str:

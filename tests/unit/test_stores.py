@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import storage
 from lectern.operators.providers import OfflineProvider
 from lectern.operators.session_store import SessionStore
 from lectern.plans.imports import imported, request_status
@@ -156,6 +157,30 @@ def test_writers_that_overlap_lose_nothing(spark, tmp_path):
     assert store.manifest()[0] == 7
 
 
+@pytest.mark.parametrize("links", [True, False])
+def test_a_name_is_taken_by_one_writer(spark, tmp_path, monkeypatch, links):
+    writers, wins = 8 if links else 1, []
+    if not links:
+        monkeypatch.setattr(os, "link", lambda *a: (_ for _ in ()).throw(PermissionError("no hard links")))
+    start = threading.Barrier(writers)
+
+    def write(k):
+        for n in range(20):
+            start.wait()
+            if storage.created(spark, f"{tmp_path}/m/{n}.json", f"writer {k}"):
+                wins.append((n, f"writer {k}"))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(writers)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(n for n, _ in wins) == list(range(20))
+    assert all(storage.content(spark, f"{tmp_path}/m/{n}.json") == text for n, text in wins)
+    assert storage.entries(spark, f"{tmp_path}/m") == sorted(f"{n}.json" for n in range(20))
+    assert not storage.created(spark, f"{tmp_path}/m/0.json", "late")
+
+
 def test_lookups_shuffle_the_requests_alone(spark, tmp_path):
     from lectern.operators.sessions import token_hash, validated
 
