@@ -14,7 +14,7 @@ from lectern.plans import imports, pipelines
 from lectern.plans.flow_queries import _CLEAN
 from lectern.plans.service_queries import _PIECES, _streamed
 from lectern.plans.text_queries import cleaned_sql, table
-from lectern.sources.file_sink import saved_texts
+from lectern.sources.file_sink import saved_texts, stored
 from lectern.streaming import asking, events, frames, superseding
 
 
@@ -34,12 +34,11 @@ def session_compaction(spark, d):
 
 
 def saved_files(spark, d):
-    """Each document's text as a file, read back as Spark reads files."""
+    """Each document's text as a file, read back by tasks that list the files' folders."""
     folder = shared_folder(spark, "files")
     docs = table(spark, d, "documents")
-    saved_texts(docs, folder, F.concat(F.lit("d"), "doc_id", F.lit(".txt")), F.col("text"))
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    saved_texts(docs, folder, F.concat(F.lit("d"), "doc_id", F.lit(".txt")), F.col("text"), spread=True)
+    return stored(spark, folder).select("name", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def _served(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import catalog
 from lectern.functions import urls
-from lectern.operators import batches, providers, sections
+from lectern.operators import batches, providers, sections, storage
 from lectern.sources import file_sink, files
 
 DATA = "/root/testdata/sf0.001"
@@ -85,6 +85,25 @@ def test_sink_copies_no_batch(tmp_path):
     assert most < 12 * MB and {Path(tmp_path, f"{i}.txt").read_bytes() for i in (0, 4999)} == {texts[0]}
 
 
+def test_the_driver_knows_of_no_saved_file(spark):
+    """A scan of files holds each one's address there, nearly a kilobyte."""
+    made = catalog.queries()["saved_files"](spark, DATA)
+    assert made.count() > 150 and len(made.inputFiles()) < 10
+
+
+def test_files_are_read_back_by_pieces(tmp_path):
+    for i in range(500):
+        Path(tmp_path, f"{i}.txt").write_bytes(b"%d" % i * 20_000)
+    fs, base = storage.opened(str(tmp_path))
+    tracemalloc.start()
+    try:
+        n = sum(batch.num_rows for batch in file_sink._read(fs, file_sink._files(fs, base)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 500 and most < 6 * MB
+
+
 def test_extraction_holds_few_files(spark):
     traced = Traced()
     rows = long_texts(spark).select(F.col("doc_id").cast("string").alias("path"), F.lit(".txt").alias("ext"), F.encode("text", "UTF-8").alias("content"))

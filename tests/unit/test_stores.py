@@ -43,6 +43,23 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert files_in(path) == {f"{k}.md": "té".encode() for k in range(3)}
 
 
+def test_spread_files_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "out")
+    want = {f"{k}.txt": b"x" * k for k in range(1, 300)} | {n: n.encode() for n in ("a b.txt", "_x.md", ".y", "%20é.txt", "z.gz", "00")} | {"large.txt": b"y" * 5_000_000}
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in want.items()] + [("empty", bytearray())], "name string, content binary")
+    for _ in range(2):  # again: the same files
+        assert [r.error for r in file_sink.saved(rows, path, spread=True).collect()] == ["empty file"]
+        got = file_sink.stored(spark, path).collect()
+        assert len(got) == len(want) and {r.name: bytes(r.content) for r in got} == want and all(r.length == len(want[r.name]) for r in got)
+    assert os.listdir(path) and set(os.listdir(path)) <= set(file_sink.FOLDERS)
+    rows.where("name = 'z.gz'").write.format("lectern_files").option("spread", True).mode("overwrite").save(path)
+    assert [r.name for r in file_sink.stored(spark, path).collect()] == ["z.gz"]
+    file_sink.saved(rows.where("name = 'z.gz'"), str(tmp_path / "flat"))
+    assert files_in(str(tmp_path / "flat")) == {"z.gz": b"z.gz"}
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        file_sink.stored(spark, str(tmp_path / "none")).collect()
+
+
 def opener(folder):
     def open_url(link):
         with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
